@@ -61,7 +61,7 @@ star AS (
   UNION SELECT id, min(id) OVER (PARTITION BY q, b) FROM m WHERE b IS NOT NULL AND q IS NOT NULL),
 edge AS (SELECT id AS x, lead AS y FROM star WHERE id <> lead UNION SELECT lead, id FROM star WHERE id <> lead),
 reach(id, root) AS (SELECT id, id FROM m UNION SELECT e.y, r.root FROM reach r JOIN edge e ON e.x = r.id),
-kept AS (SELECT id, arg_min(root, (s.seq IS NULL, coalesce(s.seq, 0), s.id)) AS first FROM reach JOIN m s ON s.id = root GROUP BY id)
+kept AS (SELECT r.id, arg_min(r.root, (s.seq IS NULL, coalesce(s.seq, 0), s.id)) AS first FROM reach r JOIN m s ON s.id = r.root GROUP BY r.id)
 """
 
 _P3 = """
