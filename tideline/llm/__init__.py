@@ -1 +1 @@
-
+"""Operators for training text. Nothing else in the library imports this subpackage."""
