@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table as t
-from . import mixing, packing, terms
+from . import mixing, packing, spam, terms
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(t(spark, d, "documents"), t(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_containers, p6_fill, p7_draws, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.promotional_documents(t(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_containers, p6_fill, p7_draws, p7_shares, p8_found)}
 
 ORACLE: dict[str, str] = {}
