@@ -1,6 +1,706 @@
-"""Queries of the log, overlay, lakehouse and governance operators, and the SQL that checks them."""
+"""Queries of the log, overlay, lakehouse and governance operators, and the SQL that checks them.
+
+``events`` stands for the log: its streams are the event types, arrival is (ts, event_id), and the payload a JSON object of its
+columns. Journals are derived from it by a fixed rule, so that SQL can tell their outcome: an offset whose event_id divides by 11 fails
+three times and is given up; else it fails event_id mod 3 times and is then acknowledged, or still leased if event_id divides by 13.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..operators import govern, lookup, metrics, overlay, producer, registry, shred
+from ..session import scratch
+from ..session import table as t
+from ..sources import ledger, log
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+NTZ = "timestamp_ntz"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- the log -------------------------------------------------------------------------------------------------------------
+
+LOG = "WITH log AS (SELECT event_type AS stream_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS log_offset, * FROM events)"
+
+
+def the_log(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").withColumn("stream_id", F.col("event_type"))
+    return log.dense_offsets(e, "stream_id", ["ts", "event_id"], F.to_date("ts"))
+
+
+@query(LOG + " SELECT stream_id, log_offset, event_id FROM log")
+def log_append_offsets(spark, d):
+    return the_log(spark, d).select("stream_id", "log_offset", "event_id")
+
+
+@query(LOG + " SELECT stream_id, max(log_offset) + 1 AS head_offset, count(*) AS n_records FROM log GROUP BY 1")
+def log_registry_heads(spark, d):
+    return log.registry_heads(the_log(spark, d))
+
+
+@query(LOG + " SELECT stream_id, log_offset, event_id, (SELECT max(log_offset) FROM log WHERE stream_id = 'click') > 149 AS has_more FROM log WHERE stream_id = 'click' AND log_offset BETWEEN 50 AND 149")
+def log_fetch_range(spark, d):
+    return log.fetch(the_log(spark, d), "click", 50, 100).select("stream_id", "log_offset", "event_id", "has_more")
+
+
+@query("SELECT count(DISTINCT batch_id // 100) AS n_segments, count(DISTINCT batch_id) AS n_batches, count(*) AS n_records, max(logical_offset) AS last_offset FROM record_entries")
+def log_replay_report(spark, d):
+    r = t(spark, d, "record_entries").select(F.floor(F.col("batch_id") / 100).alias("segment"), "batch_id", F.col("logical_offset").alias("log_offset"))
+    return log.replay_report(r, "segment", ["batch_id"])
+
+
+@query(LOG + " SELECT log_offset AS _offset, 1700000000000000000::BIGINT AS _timestamp_ns, props AS payload FROM log WHERE stream_id = 'view' AND log_offset >= 200")
+def flight_projection(spark, d):
+    own = the_log(spark, d).where("stream_id = 'view' AND log_offset >= 200").withColumn("bytes", F.col("props").cast("binary"))
+    return log.flight_projection(own, "bytes", 1_700_000_000_000_000_000)
+
+
+@query(LOG + """ SELECT stream_id, min(log_offset) AS start_offset, max(log_offset) AS end_offset, count(*) AS n_records, sum(length(props))::BIGINT AS n_bytes,
+  stream_id || '/' || printf('%016x', min(log_offset)) || '.parquet' AS uri FROM log GROUP BY stream_id, log_offset // 500""")
+def chunk_manifest(spark, d):
+    return log.chunk_manifest(the_log(spark, d), 500, F.length("props"))
+
+
+@query(LOG + """, chunks AS (SELECT stream_id, min(log_offset) AS s, max(log_offset) AS e FROM log GROUP BY stream_id, log_offset // 500)
+SELECT l.stream_id, l.log_offset, c.s AS start_offset, c.e AS end_offset FROM log l LEFT JOIN chunks c ON c.stream_id = l.stream_id AND l.log_offset BETWEEN c.s AND c.e WHERE l.event_id % 7 = 0""")
+def chunk_covering_lookup(spark, d):
+    rows = the_log(spark, d)
+    points = rows.where("event_id % 7 = 0").select("stream_id", "log_offset")
+    return lookup.covering(points, log.chunk_manifest(rows, 500, F.length("props")), "stream_id", "log_offset", 500, ["start_offset", "end_offset"])
+
+
+@query(LOG + """, idx AS (SELECT stream_id, log_offset AS at, event_id AS segment_id FROM log WHERE log_offset % 100 = 0)
+SELECT l.stream_id, l.log_offset, i.at AS indexed_offset, i.segment_id FROM log l ASOF LEFT JOIN idx i ON l.stream_id = i.stream_id AND l.log_offset >= i.at""")
+def sparse_floor_lookup(spark, d):
+    rows = the_log(spark, d).select("stream_id", "log_offset", "event_id")
+    index = rows.where("log_offset % 100 = 0").select("stream_id", "log_offset", F.col("log_offset").alias("indexed_offset"), F.col("event_id").alias("segment_id"))
+    return lookup.asof_backward(rows.select("stream_id", "log_offset"), index, "stream_id", "log_offset", ["indexed_offset", "segment_id"], 1000)
+
+
+@query("""WITH p AS (SELECT left(md5(s_suppkey::VARCHAR || '#' || v), 8) AS h, s_suppkey::VARCHAR AS n FROM supplier, range(16) r(v) WHERE s_suppkey <= 8),
+k AS (SELECT c_custkey, left(md5(c_custkey::VARCHAR), 8) AS h FROM customer)
+SELECT c_custkey, coalesce(p.n, (SELECT arg_min(n, (h, n)) FROM p)) AS ring_node FROM k ASOF LEFT JOIN p ON p.h >= k.h""")
+def ring_successor(spark, d):
+    nodes = t(spark, d, "supplier").where("s_suppkey <= 8")
+    return lookup.ring_successor(t(spark, d, "customer").select("c_custkey"), nodes, "c_custkey", "s_suppkey")
+
+
+@query(LOG + " SELECT stream_id, min(log_offset) AS earliest, min(log_offset) FILTER (ts >= TIMESTAMP '2024-01-15') AS at_or_after, max(log_offset) + 1 AS latest FROM log GROUP BY 1")
+def offset_for_time(spark, d):
+    return lookup.offset_for_time(the_log(spark, d), "ts", F.lit("2024-01-15").cast(NTZ))
+
+
+_BRIDGE = """WITH b AS (SELECT stream_id, min(logical_offset) AS source_base, max(logical_offset) - 5 AS high_water, 500 + 10 * min(logical_offset) AS own_base FROM record_entries WHERE stream_id IS NOT NULL GROUP BY 1),
+c AS (SELECT group_id, stream_id, max(log_offset) AS committed_offset FROM lease_deltas WHERE op = 'Ack' GROUP BY 1, 2),
+j AS (SELECT c.*, own_base + committed_offset - source_base AS moved, CASE WHEN own_base IS NULL THEN 'unmapped' WHEN committed_offset > high_water THEN 'above_high_water' ELSE 'translated' END AS outcome FROM c LEFT JOIN b ON b.stream_id = c.stream_id)
+"""
+
+
+def _translated(spark, d):
+    own = t(spark, d, "record_entries").where("stream_id IS NOT NULL").groupBy("stream_id").agg(F.min("logical_offset").alias("source_base"), (F.max("logical_offset") - 5).alias("high_water"))
+    return lookup.translate(_commits(spark, d), own.withColumn("own_base", 500 + 10 * F.col("source_base")), ["stream_id"])
+
+
+def _commits(spark, d):
+    return t(spark, d, "lease_deltas").where("op = 'Ack'").groupBy("group_id", "stream_id").agg(F.max("log_offset").alias("committed_offset"))
+
+
+@query(_BRIDGE + "SELECT group_id, stream_id, committed_offset, CASE WHEN outcome = 'translated' THEN moved END AS own_offset, outcome FROM j")
+def offset_translation(spark, d):
+    return _translated(spark, d)
+
+
+@query(_BRIDGE + "SELECT outcome, count(*) AS n, max(committed_offset) AS high FROM j GROUP BY 1")
+def migration_report(spark, d):
+    return _translated(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.max("committed_offset").alias("high"))
+
+
+@query("SELECT group_id, stream_id, max(log_offset) AS committed_offset FROM lease_deltas WHERE op = 'Ack' GROUP BY 1, 2")
+def committed_offsets(spark, d):
+    return _commits(spark, d)
+
+
+@query("SELECT region_name, count(*) AS n_batches, max(last_offset) AS last_applied FROM (SELECT DISTINCT * FROM batch_headers) GROUP BY 1")
+def replication_applied(spark, d):
+    return t(spark, d, "batch_headers").distinct().groupBy("region_name").agg(F.count(F.lit(1)).alias("n_batches"), F.max("last_offset").alias("last_applied"))
+
+
+# --- shredding -----------------------------------------------------------------------------------------------------------
+
+_JSON = "json_object('event_id', event_id, 'user_id', user_id, 'event_type', event_type, 'value', value, 'k', CAST(json_extract(props, '$.k') AS BIGINT))"
+_PAY = """WITH p AS (SELECT payload_id, min(payload) AS payload FROM shred_payloads GROUP BY 1), v AS (SELECT payload_id, payload, CASE WHEN json_valid(payload) THEN payload END AS j FROM p),
+o AS (SELECT payload_id, payload, j, coalesce(json_type(j) = 'OBJECT', false) AS is_object FROM v),
+k AS (SELECT payload_id, unnest(json_keys(j)) AS field FROM o WHERE is_object), f AS (SELECT field, count(*) AS n_seen, min(payload_id) AS first_at FROM (SELECT DISTINCT * FROM k) GROUP BY 1)
+"""
+
+
+def _payloads(spark, d):
+    return t(spark, d, "shred_payloads").groupBy("payload_id").agg(F.min("payload").alias("payload"))
+
+
+def _events_json(spark, d):
+    e = t(spark, d, "events")
+    body = F.to_json(F.struct("event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k")))
+    return e.select("event_id", "ts", "user_id", "event_type", "value", body.alias("payload"))
+
+
+@query(_PAY + "SELECT field, n_seen, first_at FROM f")
+def field_frequency(spark, d):
+    return shred.field_observations(_payloads(spark, d), "payload_id", "payload")
+
+
+@query(_PAY + "SELECT field FROM f ORDER BY first_at, field LIMIT 64")
+def shred_first_come(spark, d):
+    return shred.first_come(field_frequency(spark, d))
+
+
+@query(_PAY + "SELECT row_number() OVER (ORDER BY n_seen DESC, field)::INT AS rank, field, n_seen FROM f ORDER BY n_seen DESC, field LIMIT 61")
+def shred_rank_top61(spark, d):
+    return shred.ranked_schema(field_frequency(spark, d))
+
+
+@query(_PAY + """, top AS (SELECT field FROM f ORDER BY first_at, field LIMIT 64)
+SELECT o.payload_id, coalesce(any_value(is_object), false) AS is_object, count(DISTINCT k.field) FILTER (k.field IN (SELECT field FROM top)) AS n_columns, count(DISTINCT k.field) FILTER (k.field NOT IN (SELECT field FROM top)) AS n_overflow
+FROM o LEFT JOIN k ON k.payload_id = o.payload_id GROUP BY 1""")
+def shred_fixed_cap(spark, d):
+    names = [r.field for r in shred_first_come(spark, d).collect()]  # at most 64 names
+    return shred.split_report(_payloads(spark, d), "payload_id", "payload", names)
+
+
+@query(f"SELECT event_id, event_id::VARCHAR AS c_event_id, event_type AS c_event_type, user_id::VARCHAR AS c_user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS overflow_k, value AS overflow_value FROM events")
+def shred_overflow_json(spark, d):
+    s = shred.shred(_events_json(spark, d).withColumnRenamed("event_id", "id"), "payload", ["event_id", "event_type", "user_id"], keep=["id"])
+    over = F.col(shred.OVERFLOW)
+    return s.select(F.col("id").alias("event_id"), F.col("event_id").alias("c_event_id"), F.col("event_type").alias("c_event_type"), F.col("user_id").alias("c_user_id"), F.get_json_object(over, "$.k").cast("bigint").alias("overflow_k"), F.get_json_object(over, "$.value").cast("double").alias("overflow_value"))
+
+
+@query(_PAY + "SELECT payload_id, payload IS NOT NULL AS has_overflow FROM o WHERE NOT coalesce(is_object, false)")
+def shred_not_objects(spark, d):
+    s = shred.shred(_payloads(spark, d), "payload", ["stock_ref"], keep=["payload_id", "payload"])
+    return s.where(~F.coalesce(shred.is_object(F.col("payload")), F.lit(False))).select("payload_id", F.col(shred.OVERFLOW).isNotNull().alias("has_overflow"))
+
+
+@query(_PAY + ", n AS (SELECT count(*) AS n FROM o WHERE is_object) SELECT field, n_seen, round(n_seen::DOUBLE / n * 0.95, 6) AS score, n_seen::DOUBLE / n * 0.95 >= 0.7 AS promote FROM f, n")
+def shred_promotion_score(spark, d):
+    n = _payloads(spark, d).where(shred.is_object(F.col("payload"))).agg(F.count(F.lit(1)).alias("n"))
+    f = field_frequency(spark, d).crossJoin(F.broadcast(n))
+    return shred.promotion_score(f, F.col("n"), F.lit(0.95), F.lit(1.0)).select("field", "n_seen", "score", "promote")
+
+
+# --- the lakehouse -------------------------------------------------------------------------------------------------------
+
+_HIST = """WITH s AS (SELECT committed_at::DATE AS committed, count(*) AS n_files, sum(record_count)::BIGINT AS added_records, sum(file_size_bytes)::BIGINT AS added_bytes FROM data_files GROUP BY 1),
+h AS (SELECT *, row_number() OVER (ORDER BY committed) AS snapshot_id, row_number() OVER (ORDER BY committed) - 1 AS p, sum(added_records) OVER (ORDER BY committed)::BIGINT AS total_records FROM s)
+"""
+
+
+def _history(spark, d):
+    files = t(spark, d, "data_files").withColumn("day", F.to_date("committed_at"))
+    return ledger.history(files, "day"), files
+
+
+@query(_HIST + "SELECT committed, n_files, added_records, added_bytes, snapshot_id, nullif(p, 0) AS parent_id, total_records FROM h")
+def snapshot_history(spark, d):
+    return _history(spark, d)[0]
+
+
+@query(_HIST + "SELECT committed, snapshot_id, total_records FROM h WHERE committed >= DATE '2024-03-05' OR snapshot_id = (SELECT max(snapshot_id) FROM h)")
+def snapshot_expire(spark, d):
+    return ledger.expire(_history(spark, d)[0], F.lit("2024-03-05").cast("date")).select("committed", "snapshot_id", "total_records")
+
+
+@query(_HIST + "SELECT file_id, subject, record_count FROM data_files WHERE committed_at::DATE IN (SELECT committed FROM h WHERE snapshot_id <= 4)")
+def snapshot_as_of(spark, d):
+    h, files = _history(spark, d)
+    return ledger.as_of(files, h, "day", 4).select("file_id", "subject", "record_count")
+
+
+@query("SELECT file_path FROM data_files WHERE file_id NOT IN (SELECT file_id FROM shred_payloads WHERE file_id IS NOT NULL) AND partition_spec_id <> 2")
+def orphan_files(spark, d):
+    f = t(spark, d, "data_files").select("file_path", "file_id", "partition_spec_id")
+    used = f.join(t(spark, d, "shred_payloads").select("file_id").distinct(), "file_id", "left_semi").select("file_path")
+    return ledger.orphan_files(f.select("file_path"), used, f.where("partition_spec_id = 2").select("file_path"))
+
+
+@query("SELECT file_id, CASE WHEN file_id % 3 = 0 THEN file_id - 2 WHEN file_id = 1 THEN NULL ELSE file_id - 1 END AS expected_parent, nullif(file_id - 1, 0) AS current, CASE WHEN file_id % 3 = 0 THEN 'conflict' ELSE 'accepted' END AS outcome FROM data_files")
+def occ_outcomes(spark, d):
+    f = t(spark, d, "data_files").select("file_id")
+    expected = F.when(F.col("file_id") % 3 == 0, F.col("file_id") - 2).when(F.col("file_id") > 1, F.col("file_id") - 1)
+    return ledger.commit_outcomes(f.withColumn("expected_parent", expected).withColumn("current", F.when(F.col("file_id") > 1, F.col("file_id") - 1)))
+
+
+_DUE = "SELECT file_id, greatest(epoch_ms(committed_at) % 100000 - 4000, 0) >= 60000 AS standard_due, greatest(epoch_ms(committed_at) % 100000 - 4000, 0) >= 5000 AS fast_due FROM data_files"
+
+
+@query(_DUE)
+def commit_due(spark, d):
+    ms = F.unix_millis(F.col("committed_at").cast("timestamp"))
+    elapsed = F.greatest(F.pmod(ms, F.lit(100_000)) - 4000, F.lit(0))
+    return t(spark, d, "data_files").select("file_id", (elapsed >= ledger.CADENCE_MS["standard"]).alias("standard_due"), (elapsed >= ledger.CADENCE_MS["fast"]).alias("fast_due"))
+
+
+@query("SELECT subject, count(*) AS n_files, sum(file_size_bytes)::BIGINT AS n_bytes, round(avg(file_size_bytes), 3) AS mean_bytes, round(avg((file_size_bytes < 4096)::INT), 6) AS small_share FROM data_files GROUP BY 1")
+def file_hygiene(spark, d):
+    return metrics.hygiene(t(spark, d, "data_files"), 4096, ["subject"])
+
+
+@query("SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN NULL ELSE value END AS humidity, event_id, event_type FROM events")
+def schema_evolution_union(spark, d):
+    e = t(spark, d, "events")
+    old = e.where("ts < timestamp_ntz '2024-01-10'").select("event_id", "event_type")
+    new = e.where("ts >= timestamp_ntz '2024-01-10'").select("event_id", "event_type", F.col("value").alias("humidity"))
+    return registry.evolve(old, new)
+
+
+@query("SELECT event_type, event_id, value, ts::DATE AS event_date FROM events WHERE ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' AND event_type = 'click'")
+def partitioned_round_trip(spark, d):
+    at = scratch(spark, "layout")
+    rows = the_log(spark, d).select("stream_id", "log_offset", "event_type", "event_id", "value", F.col("ts").alias("ingest_ts"))
+    log.write_layout(rows, at, buckets=4, codec="zstd")
+    kept = log.read_layout(spark, at).where("event_date BETWEEN date'2024-01-03' AND date'2024-01-05' AND stream_id = 'click'")
+    return kept.select("event_type", "event_id", "value", "event_date")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def ledger_round_trip(spark, d):
+    book = ledger.Ledger(spark, scratch(spark, "ledger"))
+    e = t(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    book.append(e.where("event_id % 2 = 0"), commit_id="even")
+    book.append(e.where("event_id % 2 = 1"), codec="zstd", commit_id="odd")
+    book.append(e.where("event_id % 2 = 1"), commit_id="odd")  # a repeated micro-batch adds nothing
+    return book.read()
+
+
+# --- schemas -------------------------------------------------------------------------------------------------------------
+
+
+def _fields(spark, d, version: int):
+    from ..operators import drift
+
+    v = drift.versions(t(spark, d, "schema_entries")).where(F.col("version") == version)
+    e = t(spark, d, "schema_entries").where(F.col("version") == version).groupBy("subject").agg(F.min_by("definition", "schema_id").alias("definition"))
+    required = e.select("subject", F.from_json(F.get_json_object("definition", "$.required_fields"), "array<string>").alias("required_fields"))
+    flat = v.join(required, "subject").select("subject", F.explode("fields").alias("f"), "required_fields").where("f.top")
+    return flat.select("subject", F.col("f.path").alias("field"), F.col("f.type").alias("type"), F.coalesce(F.array_contains("required_fields", F.col("f.path")), F.lit(False)).alias("required"))
+
+
+_TYPES = "CASE lower(t) WHEN 'boolean' THEN 'bool' WHEN 'int32' THEN 'int' WHEN 'integer' THEN 'int' WHEN 'int64' THEN 'long' WHEN 'bigint' THEN 'long' WHEN 'float32' THEN 'float' WHEN 'real' THEN 'float' WHEN 'float64' THEN 'double' WHEN 'utf8' THEN 'string' WHEN 'text' THEN 'string' WHEN 'bytes' THEN 'binary' WHEN 'record' THEN 'struct' ELSE lower(t) END"
+_COMPAT = f"""WITH e AS (SELECT subject, version, arg_min(definition::JSON, schema_id) AS j FROM schema_entries WHERE version IN (1, 2) GROUP BY 1, 2),
+l AS (SELECT subject, version, j, unnest(json_extract(j, '$.fields[*]')) AS f FROM e WHERE json_type(j, '$.fields') = 'ARRAY'),
+o AS (SELECT subject, version, j, unnest(json_keys(j, '$.fields')) AS k FROM e WHERE json_type(j, '$.fields') = 'OBJECT'),
+r AS (SELECT subject, version, j, f->>'$.name' AS field, f->>'$.type' AS t FROM l
+  UNION ALL SELECT subject, version, j, k, CASE WHEN json_type(json_extract(j, '$.fields."' || k || '"')) = 'OBJECT' THEN 'struct' ELSE json_extract_string(j, '$.fields."' || k || '"') END FROM o),
+x AS (SELECT subject, version, field, {_TYPES} AS type, list_contains(CAST(json_extract(j, '$.required_fields') AS VARCHAR[]), field) AS required FROM r),
+a AS (SELECT * FROM x WHERE version = 1), b AS (SELECT * FROM x WHERE version = 2),
+m AS (SELECT coalesce(a.subject, b.subject) AS subject, a.field AS fa, b.field AS fb, a.type AS ta, b.type AS tb, coalesce(a.required, false) AS ra, coalesce(b.required, false) AS rb FROM a FULL JOIN b ON a.subject = b.subject AND a.field = b.field)
+SELECT subject, NOT bool_or((fb IS NOT NULL AND rb AND NOT ra) OR (fa IS NOT NULL AND fb IS NOT NULL AND ta <> tb)) AS backward, NOT bool_or(ra AND fb IS NULL) AS forward,
+  NOT bool_or((fb IS NOT NULL AND rb AND NOT ra) OR (fa IS NOT NULL AND fb IS NOT NULL AND ta <> tb)) AND NOT bool_or(ra AND fb IS NULL) AS "full" FROM m GROUP BY 1"""
+
+
+@query(_COMPAT)
+def schema_compatibility(spark, d):
+    return registry.compatibility(_fields(spark, d, 1), _fields(spark, d, 2))
+
+
+@query("SELECT subject, max(version) AS version, arg_max(schema_id, (version, -schema_id)) AS schema_id, count(DISTINCT version) AS n_versions FROM schema_entries GROUP BY 1")
+def schema_latest(spark, d):
+    return registry.latest(t(spark, d, "schema_entries"))
+
+
+@query("SELECT schema_id, version, sha256(regexp_replace(definition, '\\s+', '', 'g')) AS fingerprint FROM schema_entries")
+def schema_fingerprints(spark, d):
+    return t(spark, d, "schema_entries").select("schema_id", "version", registry.fingerprint(F.col("definition")).alias("fingerprint"))
+
+
+# --- the overlay ---------------------------------------------------------------------------------------------------------
+
+STATE = LOG + """, s AS (SELECT stream_id, log_offset, event_id, ts, user_id, CASE WHEN event_id % 11 = 0 THEN 'EVICTED_DLQ' WHEN event_id % 13 = 0 THEN 'LEASED' ELSE 'ACKED' END AS state,
+  CASE WHEN event_id % 11 = 0 THEN 3 WHEN event_id % 13 = 0 THEN event_id % 3 + 1 ELSE 0 END AS attempts FROM log),
+w AS (SELECT stream_id, coalesce(min(log_offset) FILTER (state IN ('LEASED', 'READY')), max(log_offset) + 1) AS w_base, max(log_offset) AS head FROM s GROUP BY 1)
+"""
+
+
+def the_journal(spark, d, rows=None):
+    rows = the_log(spark, d) if rows is None else rows
+    fails = F.when(F.col("event_id") % 11 == 0, 3).otherwise(F.col("event_id") % 3).cast("int")
+    token = lambda k: (F.col("event_id") * 10 + k).cast("bigint")
+    step = lambda op, k, i: F.struct(F.lit(op).alias("op"), token(k).alias("token"), (F.col("event_id") * 10 + i).cast("bigint").alias("seq"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(k < fails, F.array(step("Acquire", k, 2 * k), step("Nack", k, 2 * k + 1))).otherwise(F.array().cast("array<struct<op:string,token:bigint,seq:bigint>>"))))
+    last = F.when(F.col("event_id") % 11 != 0, F.array(step("Acquire", fails, 2 * fails))).otherwise(F.array().cast("array<struct<op:string,token:bigint,seq:bigint>>"))
+    ack = F.when((F.col("event_id") % 11 != 0) & (F.col("event_id") % 13 != 0), F.array(step("Ack", fails, 2 * fails + 1))).otherwise(F.array().cast("array<struct<op:string,token:bigint,seq:bigint>>"))
+    deadline = (F.unix_micros(F.col("ts").cast("timestamp")) + 30_000_000).alias("deadline_us")
+    return rows.select("stream_id", "log_offset", deadline, F.explode(F.concat(pairs, last, ack)).alias("o")).select("stream_id", "log_offset", "o.seq", "o.op", "o.token", F.when(F.col("o.op") == "Acquire", F.col("deadline_us")).alias("deadline_us"))
+
+
+def the_states(spark, d):
+    rows = the_log(spark, d)
+    return overlay.state_of_log(rows, overlay.fold_journal(the_journal(spark, d, rows), ["stream_id"]))
+
+
+@query(STATE + "SELECT stream_id, log_offset, state, attempts::INT AS attempts FROM s")
+def overlay_state(spark, d):
+    return the_states(spark, d).select("stream_id", "log_offset", "state", "attempts")
+
+
+@query(STATE + "SELECT stream_id, w_base, head FROM w")
+def overlay_w_base(spark, d):
+    return overlay.base_offsets(the_states(spark, d))
+
+
+@query(STATE + "SELECT stream_id, log_offset, event_id FROM s WHERE state = 'EVICTED_DLQ'")
+def overlay_dlq_view(spark, d):
+    return overlay.dead_letters(the_log(spark, d), the_states(spark, d)).select("stream_id", "log_offset", "event_id")
+
+
+@query(STATE + """, q AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY log_offset) AS rn FROM s WHERE state = 'EVICTED_DLQ')
+SELECT s.stream_id, any_value(w_base) AS w_base, count(*) FILTER (state = 'READY') AS n_ready, count(*) FILTER (state = 'LEASED') AS n_leased, count(*) FILTER (state = 'ACKED' AND log_offset > w_base) AS n_acked_above,
+ count(*) FILTER (state = 'EVICTED_DLQ') AS n_dlq, any_value((SELECT sum(log_offset)::BIGINT FROM q WHERE q.stream_id = s.stream_id AND rn <= 100)) AS sample_sum FROM s JOIN w ON w.stream_id = s.stream_id GROUP BY 1""")
+def overlay_inspection(spark, d):
+    return overlay.inspect(the_states(spark, d)).withColumn("sample_sum", F.aggregate("dlq_samples", F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("dlq_samples")
+
+
+@query(STATE + "SELECT stream_id, log_offset, 'open_below_base' AS breach FROM s JOIN w USING (stream_id) WHERE log_offset < w_base AND state NOT IN ('ACKED', 'EVICTED_DLQ')")
+def overlay_invariants(spark, d):
+    return overlay.invariant_breaches(the_states(spark, d).select("stream_id", "log_offset", "state"))
+
+
+@query(STATE + "SELECT stream_id, count(*) AS produced, count(*) FILTER (state = 'ACKED') AS acked, count(*) FILTER (state = 'EVICTED_DLQ') AS dead, count(*) FILTER (state = 'LEASED') AS leased FROM s GROUP BY 1")
+def conservation_check(spark, d):
+    n = lambda s: F.count_if(F.col("state") == s)
+    return the_states(spark, d).groupBy("stream_id").agg(F.count(F.lit(1)).alias("produced"), n("ACKED").alias("acked"), n("EVICTED_DLQ").alias("dead"), n("LEASED").alias("leased"))
+
+
+@query(STATE + "SELECT stream_id, log_offset, CASE WHEN event_id % 3 = 2 THEN 'EVICTED_DLQ' ELSE 'READY' END AS next_state FROM s WHERE state = 'LEASED' AND ts <= TIMESTAMP '2024-01-20' - INTERVAL 30 SECONDS")
+def lease_expiry(spark, d):
+    return overlay.expired_leases(the_states(spark, d), 1_705_708_800_000_000).select("stream_id", "log_offset", "next_state")
+
+
+@query(LOG + " SELECT log_offset FROM log WHERE stream_id = 'click' AND event_id % 5 <> 0 ORDER BY log_offset LIMIT 25")
+def lease_candidates(spark, d):
+    rows = the_log(spark, d).withColumn("state", F.when(F.col("event_id") % 5 == 0, "LEASED").otherwise("READY")).withColumn("attempts", F.lit(0))
+    return overlay.lease_candidates(rows, "click", 25).select("log_offset")
+
+
+@query(LOG + " SELECT log_offset, (event_id % 3)::INT AS attempts FROM log WHERE stream_id = 'click' AND event_id % 5 <> 0 ORDER BY event_id % 3 DESC, log_offset LIMIT 25")
+def retry_first_candidates(spark, d):
+    rows = the_log(spark, d).withColumn("state", F.when(F.col("event_id") % 5 == 0, "LEASED").otherwise("READY")).withColumn("attempts", (F.col("event_id") % 3).cast("int"))
+    return overlay.lease_candidates(rows, "click", 25, retry_first=True).select("log_offset", "attempts")
+
+
+@query(STATE + "SELECT stream_id, log_offset, CASE state WHEN 'EVICTED_DLQ' THEN 'READY' ELSE state END AS state FROM s WHERE event_id % 11 = 0")
+def dlq_redrive(spark, d):
+    rows = the_log(spark, d)
+    journal = the_journal(spark, d, rows)
+    dead = overlay.fold_journal(journal, ["stream_id"]).where("state = 'EVICTED_DLQ'")
+    again = dead.select("stream_id", "log_offset", F.lit(2**62).cast("bigint").alias("seq"), F.lit("Redrive").alias("op"), F.lit(None).cast("bigint").alias("token"), F.lit(None).cast("bigint").alias("deadline_us"))
+    folded = overlay.fold_journal(journal.unionByName(again), ["stream_id"])
+    return folded.join(rows.where("event_id % 11 = 0").select("stream_id", "log_offset"), ["stream_id", "log_offset"]).select("stream_id", "log_offset", "state")
+
+
+@query(STATE + "SELECT s.stream_id, count(*) FILTER (state = 'READY') AS ready, count(*) FILTER (state = 'LEASED') AS in_flight, any_value(head + 1 - w_base) AS lag FROM s JOIN w ON w.stream_id = s.stream_id GROUP BY 1")
+def queue_depth(spark, d):
+    return overlay.depth(the_states(spark, d))
+
+
+@query(LOG + """, a AS (SELECT stream_id, log_offset, event_id, unnest(range(CASE WHEN event_id % 11 = 0 THEN 3 ELSE event_id % 3 + 1 END)) AS k FROM log)
+SELECT stream_id, log_offset, event_id * 10 + k AS token, k + 1 AS attempt FROM a""")
+def attempt_numbers(spark, d):
+    return overlay.attempts(the_journal(spark, d), ["stream_id"]).select("stream_id", "log_offset", "token", "attempt")
+
+
+@query()
+def overlay_fold(spark, d):
+    """The journal as it is: repeated rows, rows out of order, outdated tokens. Tested against a plain fold."""
+    return overlay.fold_journal(t(spark, d, "lease_deltas"), ["tenant_id", "stream_id", "group_id"])
+
+
+@query()
+def overlay_fold_base(spark, d):
+    key = ["tenant_id", "stream_id", "group_id"]
+    return overlay.base_of_sparse(overlay.fold_journal(t(spark, d, "lease_deltas"), key), key)
+
+
+# --- producers, epochs, transactions -------------------------------------------------------------------------------------
+
+
+def _batches(spark, d):
+    o = t(spark, d, "orders").select((F.col("o_custkey")).alias("producer_id"), "o_orderkey", (F.col("o_orderkey") % 4 + 1).cast("int").alias("n_records"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("producer_id").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    first = o.withColumn("base_sequence", F.coalesce(F.sum("n_records").over(w), F.lit(0)).cast("bigint")).withColumn("arrival", F.col("o_orderkey") * 2)
+    again = first.where("o_orderkey % 5 = 0").withColumn("arrival", F.col("o_orderkey") * 2 + 1)
+    return first.unionByName(again)
+
+
+_PROD = """WITH o AS (SELECT o_custkey AS producer_id, o_orderkey, (o_orderkey % 4 + 1)::INT AS n FROM orders),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY producer_id ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base_sequence FROM o)
+SELECT producer_id, o_orderkey * 2 AS arrival, base_sequence, 'accepted' AS outcome FROM b UNION ALL SELECT producer_id, o_orderkey * 2 + 1, base_sequence, 'duplicate' FROM b WHERE o_orderkey % 5 = 0"""
+
+
+@query(_PROD)
+def producer_dedup(spark, d):
+    return producer.check_sequences(_batches(spark, d), ["producer_id"], "arrival").select("producer_id", "arrival", "base_sequence", "outcome")
+
+
+@query(_PROD)
+def producer_fold(spark, d):
+    b = _batches(spark, d).withColumn("producer_epoch", F.lit(0)).withColumn("next_offset", F.col("o_orderkey"))
+    return producer.fold_producers(b, ["producer_id"]).select("producer_id", "arrival", "base_sequence", "outcome")
+
+
+@query("""WITH g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts)) AS gap FROM events)
+SELECT event_id, coalesce(gap <= 600000000, false) AS duplicate FROM g""")
+def dedup_within_window(spark, d):
+    return producer.window_duplicates(t(spark, d, "events"), ["user_id", "event_type"], "ts", 600).select("event_id", "duplicate")
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts, (event_id * 7 % 20)::INT AS epoch FROM events), m AS (SELECT *, max(epoch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS max_epoch FROM e) SELECT event_id, epoch, max_epoch, epoch < max_epoch AS fenced FROM m")
+def epoch_fence(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_id") * 7 % 20).cast("int").alias("epoch"))
+    return producer.fence_epochs(e, ["user_id"], "at").select("event_id", "epoch", "max_epoch", "fenced")
+
+
+@query("""WITH h AS (SELECT batch_id, hlc_node_id, max(physical_ms) OVER (PARTITION BY hlc_node_id ORDER BY batch_id) AS hlc_ms FROM (SELECT DISTINCT batch_id, hlc_node_id, physical_ms FROM batch_headers))
+SELECT batch_id, hlc_node_id, hlc_ms, row_number() OVER (PARTITION BY hlc_node_id, hlc_ms ORDER BY batch_id) - 1 AS hlc_count FROM h""")
+def hlc_plateaus(spark, d):
+    h = t(spark, d, "batch_headers").select("batch_id", "hlc_node_id", "physical_ms").distinct()
+    return producer.hlc_now(h, ["hlc_node_id"], "batch_id").select("batch_id", "hlc_node_id", "hlc_ms", "hlc_count")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events")
+def entity_order(spark, d):
+    return log.dense_offsets(t(spark, d, "events"), "user_id", ["ts", "event_id"], F.to_date("ts"), "nth").select("user_id", "event_id", (F.col("nth") + 1).alias("nth"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem SEMI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey)")
+def txn_read_committed(spark, d):
+    done = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return t(spark, d, "lineitem").join(done, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'logout'")
+def latest_per_key(spark, d):
+    last = t(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("l"))
+    return last.where("l.event_type <> 'logout'").select("user_id", "l.event_id")
+
+
+# --- gateway -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT delivery_id, 'sqs-group-' || split_part(queue_url, '/', -1) AS group_id, printf('msg-%016x-', coalesce(sequence_number, 0)) || left(md5(message_body), 8) AS made_id, md5(message_body) = md5_of_body AS body_ok FROM sqs_messages""")
+def queue_ids(spark, d):
+    m = t(spark, d, "sqs_messages")
+    return m.select("delivery_id", ids.queue_group(F.col("queue_url")).alias("group_id"), ids.message_id(F.coalesce("sequence_number", F.lit(0)), F.col("message_body")).alias("made_id"), (F.md5("message_body") == F.col("md5_of_body")).alias("body_ok"))
+
+
+@query("""WITH h AS (SELECT delivery_id, string_split(receipt_handle, '-') AS p FROM sqs_messages WHERE regexp_full_match(receipt_handle, 'RH-[0-9a-f]{8}-[0-9a-f]{16}-[0-9a-f]{16}-[0-9a-f]{8}'))
+SELECT delivery_id, ('0x' || p[2])::BIGINT AS shard, ('0x' || p[3])::BIGINT AS epoch, ('0x' || p[4])::BIGINT AS log_offset, ('0x' || p[5])::BIGINT AS nonce FROM h""")
+def receipt_handles(spark, d):
+    m = t(spark, d, "sqs_messages").select("delivery_id", ids.parse_handle(F.col("receipt_handle")).alias("h")).where("h IS NOT NULL")
+    return m.select("delivery_id", "h.*")
+
+
+@query("SELECT event_id, ((user_id & 32767) << 48) | ((event_id & 65535) << 32) | ((event_id * 31) & 4294967295) AS token, user_id & 32767 AS shard, event_id & 65535 AS epoch, (event_id * 31) & 4294967295 AS log_offset FROM events")
+def token_pack(spark, d):
+    e = t(spark, d, "events").select("event_id", ids.pack_token(F.col("user_id"), F.col("event_id"), F.col("event_id") * 31).alias("token"))
+    return e.select("event_id", "token", ids.unpack_token(F.col("token")).alias("u")).select("event_id", "token", "u.*")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 7 <> 3 THEN 'wrong_shard' WHEN event_id % 5 < 2 THEN 'fenced' WHEN event_id % 5 > 2 THEN 'from_the_future' WHEN event_id > 5000 THEN 'beyond_head' ELSE 'valid' END AS outcome FROM events""")
+def ack_outcomes(spark, d):
+    e = t(spark, d, "events")
+    return e.select("event_id", ids.token_outcome(F.col("user_id") % 7, F.col("event_id") % 5, F.lit(3), F.lit(2), F.col("event_id"), F.lit(5000)).alias("outcome"))
+
+
+@query("SELECT delivery_id, CASE WHEN x LIKE 'amq.topic%' OR x LIKE '%.topic.%' THEN 'rejected:topic' WHEN x LIKE 'amq.headers%' THEN 'rejected:headers' ELSE 'routed' END AS outcome FROM (SELECT delivery_id, CASE delivery_id % 4 WHEN 0 THEN 'amq.topic' WHEN 1 THEN 'amq.headers' WHEN 2 THEN 'a.topic.b' ELSE 'amq.direct' END AS x FROM sqs_messages)")
+def exchange_routing(spark, d):
+    i = F.col("delivery_id") % 4
+    x = F.when(i == 0, "amq.topic").when(i == 1, "amq.headers").when(i == 2, "a.topic.b").otherwise("amq.direct")
+    return t(spark, d, "sqs_messages").select("delivery_id", ids.exchange_outcome(x).alias("outcome"))
+
+
+@query("SELECT record_id, (ceil(payload_len / 4096.0) * 4096)::BIGINT AS padded FROM record_entries")
+def page_padding(spark, d):
+    return t(spark, d, "record_entries").select("record_id", ids.page_padded(F.col("payload_len")).alias("padded"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (stream_id IS NULL) AS n_null FROM record_entries")
+def checksum_coverage(spark, d):
+    r = t(spark, d, "record_entries").select("stream_id", F.crc32(F.concat_ws("|", "stream_id", "logical_offset").cast("binary")).alias("crc"))
+    return r.agg(F.count("crc").alias("n"), F.count_if(F.col("stream_id").isNull()).alias("n_null"))
+
+
+# --- governance ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE ts <= TIMESTAMP '2024-01-20' AND user_id % 10 <> 0")
+def pitr_restore(spark, d):
+    e = t(spark, d, "events")
+    gone = e.where("user_id % 10 = 0").select("user_id")
+    return govern.restore(e, gone, "ts", F.lit("2024-01-20").cast(NTZ), "user_id").select("event_id", "user_id", "value")
+
+
+@query("SELECT count(*) FILTER (user_id % 10 <> 0) AS recovered, count(*) FILTER (user_id % 10 = 0) AS blocked FROM events WHERE ts <= TIMESTAMP '2024-01-20'")
+def pitr_report(spark, d):
+    e = t(spark, d, "events")
+    return govern.restore_report(e, e.where("user_id % 10 = 0").select("user_id"), "ts", F.lit("2024-01-20").cast(NTZ), "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' OR user_id % 25 = 0")
+def retention_visible(spark, d):
+    e = t(spark, d, "events")
+    return govern.visible(e, e.where("user_id % 25 = 0").select("user_id"), "ts", F.lit("2024-01-20").cast(NTZ), "user_id").select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id % 25 = 0")
+def legal_hold_filter(spark, d):
+    e = t(spark, d, "events")
+    return e.join(e.where("user_id % 25 = 0").select("user_id").distinct(), "user_id", "left_semi").select("event_id")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey <> c_custkey % 25 AND c_mktsegment <> 'BUILDING' THEN 'deny:tenant' WHEN c_nationkey = 3 THEN 'deny:rule'
+  WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') AND c_custkey % 2 = 0 THEN 'allow' ELSE 'deny:default' END AS decision FROM customer""")
+def abac_decisions(spark, d):
+    role = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("super-admin"), F.lit("producer"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("producer"))).otherwise(F.array(F.lit("guest")))
+    req = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("tenant_id"), role.alias("roles"), F.when(F.col("c_custkey") % 2 == 0, "produce").otherwise("consume").alias("action"), (F.col("c_custkey") % 25).alias("resource_tenant"))
+    rules = spark.createDataFrame([("allow", None, ["producer"], ["produce"]), ("deny", 3, [], ["produce", "consume"])], "effect string, tenant_scope bigint, required_roles array<string>, actions array<string>")
+    return govern.authorize(req, rules).select("c_custkey", "decision")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN props END AS payload FROM events")
+def crypto_shred_visible(spark, d):
+    e = t(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 50).cast("int").alias("dek_id"), "props")
+    dek = spark.range(50).select(F.col("id").cast("int").alias("dek_id"), F.unhex(F.substring(F.sha2(F.concat(F.lit("test key "), F.col("id").cast("string")), 256), 1, 32)).alias("dek"))
+    sealed = govern.encrypt(e, "props", dek, "dek_id", F.col("event_type"))
+    return govern.decrypt(sealed, dek.where("dek_id % 10 <> 0"), "dek_id", F.col("event_type")).select("event_id", "payload")
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 97 <> 0) AS n_intact FROM events GROUP BY 1")
+def audit_chain_verify(spark, d):
+    e = t(spark, d, "events").select(F.col("user_id").alias("tenant_id"), F.col("event_id").alias("seq"), "event_type", "value")
+    chain = govern.build_chain(e, ["seq", "event_type", "value"])
+    tampered = chain.withColumn("value", F.when(F.col("seq") % 97 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return govern.verify_chain(tampered, ["seq", "event_type", "value"]).groupBy(F.col("tenant_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if("intact").alias("n_intact"))
+
+
+# --- telemetry -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS total, max(user_id) AS most, floor(sum(user_id) / count(user_id))::BIGINT AS mean_floor FROM events GROUP BY 1")
+def metrics_rollup(spark, d):
+    return metrics.rollup(t(spark, d, "events"), ["event_type"], "user_id")
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, coalesce(max(value) FILTER (i = floor(n * 0.5)), 0) AS p500, coalesce(max(value) FILTER (i = floor(n * 0.95)), 0) AS p950, coalesce(max(value) FILTER (i = floor(n * 0.99)), 0) AS p990 FROM r GROUP BY 1""")
+def latency_index_percentiles(spark, d):
+    return metrics.index_percentiles(t(spark, d, "events"), "event_type", "value", [0.5, 0.95, 0.99], "event_id")
+
+
+@query("SELECT printf('events_total{group=\"%s\"} %d', event_type, count(*)) AS line FROM events GROUP BY event_type")
+def prometheus_lines(spark, d):
+    m = t(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("value")).withColumn("name", F.lit("events_total"))
+    return metrics.prometheus(m)
+
+
+@query("""WITH b AS (SELECT file_id, subject, sum(CASE WHEN file_id % 3 = 0 THEN -record_count ELSE record_count END) OVER (PARTITION BY subject ORDER BY file_id)::BIGINT AS backlog FROM data_files) SELECT file_id, backlog, backlog >= 20 AS backpressure FROM b""")
+def backlog_backpressure(spark, d):
+    f = t(spark, d, "data_files").withColumn("delta", F.when(F.col("file_id") % 3 == 0, -F.col("record_count")).otherwise(F.col("record_count")))
+    return metrics.backpressure(f, "file_id", "delta", 20, ["subject"]).select("file_id", "backlog", "backpressure")
+
+
+@query("WITH h AS (SELECT DISTINCT batch_id, region_name, physical_ms - timestamp_us // 1000 AS lag_ms FROM batch_headers) SELECT region_name, count(*) AS n, max(lag_ms) AS most, quantile_disc(lag_ms, 0.95) AS p95 FROM h GROUP BY 1")
+def freshness_p95(spark, d):
+    h = t(spark, d, "batch_headers").select("batch_id", "region_name", (F.col("physical_ms") - F.floor(F.col("timestamp_us") / 1000)).alias("lag_ms")).distinct()
+    return h.groupBy("region_name").agg(F.count(F.lit(1)).alias("n"), F.max("lag_ms").alias("most"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY lag_ms)").cast("bigint").alias("p95"))
+
+
+@query("SELECT code, remediation, count(*) AS n FROM (SELECT 'E00' || (event_id % 8 + 1) AS code FROM events) JOIN (VALUES " + ", ".join(f"('{c}', '{r.replace(chr(39), chr(39) * 2)}')" for c, _, r in metrics.DIAGNOSTICS) + ") v(code, remediation) USING (code) GROUP BY 1, 2")
+def diagnostics_lookup(spark, d):
+    codes = spark.createDataFrame(metrics.DIAGNOSTICS, "code string, text string, remediation string")
+    e = t(spark, d, "events").groupBy(F.concat(F.lit("E00"), (F.col("event_id") % 8 + 1).cast("string")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(F.broadcast(codes), "code").select("code", "remediation", "n")
+
+
+# --- analytics -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS orders, round(sum(value), 2) AS revenue, round(avg(value), 4) AS average FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def hourly_revenue(spark, d):
+    """Shredded payloads, committed to a ledger and read back through its snapshot."""
+    s = shred.shred(_events_json(spark, d), "payload", ["event_type", "value"], keep=["ts"])
+    book = ledger.Ledger(spark, scratch(spark, "revenue"))
+    book.append(s)
+    own = book.read().where("event_type = 'purchase'").select(F.date_trunc("hour", "ts").cast(NTZ).alias("hour"), F.expr("try_cast(value AS double)").alias("amount"))
+    return own.groupBy("hour").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("amount"), 2).alias("revenue"), F.round(F.avg("amount"), 4).alias("average"))
+
+
+@query("SELECT user_id AS sensor, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS most, count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS n_new FROM events GROUP BY 1")
+def sensor_rollup(spark, d):
+    e = t(spark, d, "events")
+    both = registry.evolve(e.where("ts < timestamp_ntz '2024-01-10'").select("user_id", "value"), e.where("ts >= timestamp_ntz '2024-01-10'").select("user_id", "value", F.lit(1).alias("version")))
+    return both.groupBy(F.col("user_id").alias("sensor")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("most"), F.count("version").alias("n_new"))
+
+
+@query("SELECT l_returnflag AS level, l_suppkey AS service, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, level, service LIMIT 10")
+def top_errors(spark, d):
+    g = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("level"), F.col("l_suppkey").alias("service")).agg(F.count(F.lit(1)).alias("n"))
+    return g.orderBy(F.col("n").desc(), "level", "service").limit(10)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' AND l_returnflag = 'R' AND l_extendedprice > 1000")
+def pushdown_range_filter(spark, d):
+    where = "l_shipdate >= timestamp_ntz '1995-01-01' AND l_shipdate < timestamp_ntz '1996-01-01' AND l_returnflag = 'R' AND l_extendedprice > 1000"
+    return log.pushdown(t(spark, d, "lineitem"), where, ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+@query("SELECT count(*) AS scanned, count(*) FILTER (l_quantity > 40) AS matched FROM lineitem")
+def pushdown_counts(spark, d):
+    return t(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("l_quantity") > 40).alias("matched"))
+
+
+@query("SELECT (SELECT count(*) FROM events) AS ingested, (SELECT count(*) FROM events) AS stored")
+def count_reconcile(spark, d):
+    stored = the_log(spark, d).agg(F.count(F.lit(1)).alias("stored"))
+    return t(spark, d, "events").agg(F.count(F.lit(1)).alias("ingested")).crossJoin(stored)
+
+
+@query("SELECT event_id, event_type FROM events")
+def projection_subset(spark, d):
+    return t(spark, d, "events").select("event_id", "event_type")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+def overflow_read(spark, d):
+    s = shred.shred(_events_json(spark, d).withColumnRenamed("event_id", "id"), "payload", ["event_type"], keep=["id"])
+    k = F.get_json_object(shred.OVERFLOW, "$.k").cast("bigint")
+    return s.select(F.col("id").alias("event_id"), k.alias("k")).where("k > 50")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'")
+def time_range(spark, d):
+    return log.pushdown(t(spark, d, "events"), "ts BETWEEN timestamp_ntz '2024-01-05' AND timestamp_ntz '2024-01-06'", ["event_id", "ts"])
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'view'")
+def stream_only(spark, d):
+    return log.pushdown(t(spark, d, "events"), "event_type = 'view'", ["event_id", "value"])
+
+
+@query(LOG + " SELECT log_offset, user_id, value FROM log WHERE stream_id = 'click' AND log_offset >= 10 AND user_id % 3 = 0 ORDER BY log_offset LIMIT 20")
+def keyed_replay(spark, d):
+    return log.pushdown(the_log(spark, d), "stream_id = 'click' AND log_offset >= 10 AND user_id % 3 = 0", ["log_offset", "user_id", "value"], 20, ["log_offset"])

@@ -87,4 +87,26 @@ FROM record_entries r LEFT JOIN streams s ON s.stream_id = r.stream_id GROUP BY
     "p4_tenants": """SELECT tenant_id, count(*) FILTER (op = 'Acquire') AS n_acquire, count(*) FILTER (op = 'Ack') AS n_ack, count(*) FILTER (op = 'Nack') AS n_nack,
   count(*) FILTER (op = 'EvictDlq') AS n_evictdlq, count(*) FILTER (op IS NULL OR op NOT IN ('Acquire', 'Ack', 'Nack', 'EvictDlq')) AS n_other FROM lease_deltas GROUP BY tenant_id""",
     "p4_tagged": "SELECT record_id, r.stream_id, payload_len, tenant_id FROM record_entries r LEFT JOIN streams s ON s.stream_id = r.stream_id",
+    "p5_found": """
+WITH e AS (SELECT subject, version, arg_min(definition::JSON, schema_id) AS j FROM schema_entries GROUP BY 1, 2),
+l AS (SELECT subject, version, unnest(json_extract(j, '$.fields[*]')) AS f FROM e WHERE json_type(j, '$.fields') = 'ARRAY'),
+o AS (SELECT subject, version, j, unnest(json_keys(j, '$.fields')) AS k FROM e WHERE json_type(j, '$.fields') = 'OBJECT'),
+ov AS (SELECT subject, version, j, k, json_extract(j, '$.fields."' || k || '"') AS v FROM o),
+r AS (
+  SELECT subject, version, f->>'$.name' AS path, f->>'$.type' AS t, true AS top, f->>'$.field_id' AS no, coalesce(CAST(json_extract(f, '$.aliases') AS VARCHAR[]), []) AS former FROM l
+  UNION ALL SELECT subject, version, k, CASE WHEN json_type(v) = 'OBJECT' THEN 'struct' ELSE v->>'$' END, true, NULL, CASE WHEN json_extract_string(j, '$.renamed_from."' || k || '"') IS NULL THEN [] ELSE [json_extract_string(j, '$.renamed_from."' || k || '"')] END FROM ov
+  UNION ALL SELECT subject, version, path || '.' || (c->>'$.name'), c->>'$.type', false, NULL, [] FROM (SELECT subject, version, f->>'$.name' AS path, unnest(json_extract(f, '$.fields[*]')) AS c FROM l WHERE lower(f->>'$.type') IN ('struct', 'record'))
+  UNION ALL SELECT subject, version, k || '.' || c, json_extract_string(i, '$."' || c || '"'), false, NULL, [] FROM (SELECT subject, version, k, i, unnest(json_keys(i)) AS c FROM (SELECT subject, version, k, json_extract(v, '$.*')[1] AS i FROM ov WHERE json_type(v) = 'OBJECT'))),
+x AS (SELECT subject, version, path, top, no, former, CASE lower(t) WHEN 'boolean' THEN 'bool' WHEN 'int32' THEN 'int' WHEN 'integer' THEN 'int' WHEN 'int64' THEN 'long' WHEN 'bigint' THEN 'long' WHEN 'float32' THEN 'float'
+  WHEN 'real' THEN 'float' WHEN 'float64' THEN 'double' WHEN 'utf8' THEN 'string' WHEN 'text' THEN 'string' WHEN 'bytes' THEN 'binary' WHEN 'record' THEN 'struct' ELSE lower(t) END AS type FROM r),
+n AS (SELECT subject, version, lag(version) OVER (PARTITION BY subject ORDER BY version) AS prev FROM e),
+m AS (SELECT n.subject, n.version, n.prev, a.path AS pa, a.type AS ta FROM n JOIN x a ON a.subject = n.subject AND a.version = n.prev),
+born AS (SELECT b.*, n.prev FROM x b JOIN n ON n.subject = b.subject AND n.version = b.version WHERE n.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x a WHERE a.subject = b.subject AND a.version = n.prev AND a.path = b.path)),
+gone AS (SELECT a.*, n.version AS upto FROM x a JOIN n ON n.subject = a.subject AND n.prev = a.version WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.subject = a.subject AND b.version = n.version AND b.path = a.path)),
+tied AS (SELECT b.subject, b.version, b.path, b.type, g.path AS was, g.type AS was_type FROM born b JOIN gone g ON g.subject = b.subject AND g.upto = b.version AND b.top AND g.top AND (b.no = g.no OR list_contains(b.former, g.path)))
+SELECT subject, version, path AS field_name, 'renamed' AS change_kind FROM tied
+UNION ALL SELECT subject, version, path, 'type_changed' FROM tied WHERE type <> was_type
+UNION ALL SELECT m.subject, m.version, m.pa, 'type_changed' FROM m JOIN x b ON b.subject = m.subject AND b.version = m.version AND b.path = m.pa WHERE b.type <> m.ta
+UNION ALL SELECT subject, version, path, 'added' FROM born b WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.subject = b.subject AND t.version = b.version AND t.path = b.path)
+UNION ALL SELECT subject, upto, path, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.subject = g.subject AND t.version = g.upto AND t.was = g.path)""",
 }
