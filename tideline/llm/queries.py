@@ -38,4 +38,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_containers, p6_fill, p7_draws, p7_shares, p8_found)}
 
-ORACLE: dict[str, str] = {}
+_TERMS = """WITH p AS (SELECT payload_id, min(payload) AS payload FROM shred_payloads GROUP BY 1), v AS (SELECT payload_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM p),
+o AS (SELECT payload_id, j FROM v WHERE json_type(j) = 'OBJECT'), n AS (SELECT count(*) AS n FROM o),
+k AS (SELECT o.payload_id, t.key FROM o, LATERAL (SELECT a.key FROM json_tree(o.j) a JOIN json_tree(o.j) b ON a.parent = b.id WHERE b.type = 'OBJECT') t),
+f AS (SELECT key AS field_name, count(*) AS n_occurrences, count(DISTINCT payload_id) AS n_records FROM k GROUP BY 1),
+m AS (SELECT *, CASE WHEN n_records < 5 THEN 'rare' WHEN n_records > 0.4 * (SELECT n FROM n) THEN 'common' END AS mark FROM f)
+"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": _TERMS + "SELECT field_name, mark FROM m WHERE mark IS NOT NULL",
+    "p2_terms": _TERMS + "SELECT * FROM m",
+}
