@@ -24,10 +24,10 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
     most = math.ceil(2 / share)
     part = F.pmod(F.spark_partition_id(), F.lit(FAN_IN))
     level = df.select(F.col(key).alias("k"), part.alias("p"))
+    if level.isEmpty():  # sketches of nothing can't be combined
+        return []
     counted = level.groupBy("p").agg(F.expr(f"approx_top_k_accumulate(k, {items})").alias("sketch"), F.count(F.lit(1)).alias("n"))
     top = counted.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {items}), {min(most, items)})").alias("top"), F.sum("n").alias("n")).first()
-    if not top.n:
-        return []
     floor = share * top.n
     candidates = [r["item"] for r in top.top or [] if r["item"] is not None and r["count"] > floor]
     if not candidates:
