@@ -12,12 +12,16 @@ knows and can take is kept, what it doesn't know or can't cast is rescued, what
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 #: The spellings of the registry's types.
 TYPE_NAMES = {
     "boolean": "bool", "bool": "bool",
@@ -187,17 +191,6 @@ def cast_value(value: object, kind: str) -> tuple[bool, str | None]:
     return False, None
 
 
-def kind_of(value: object) -> str | None:
-    """The narrowest type of a JSON scalar; None for null, 'json' for an array or object."""
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return "bool"
-    if isinstance(value, int):
-        return "long" if -(1 << 63) <= value < 1 << 63 else "double"
-    return {float: "double", str: "string"}.get(type(value), "json")
-
-
 def flatten(obj: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
     """(path, value) of the members; objects are entered, so that a struct's fields are fields of their own."""
     todo = [(prefix, obj)]
@@ -267,65 +260,95 @@ def ingest(payloads: DataFrame, files: DataFrame, entries: DataFrame, promote: s
     p = payloads.where("payload_id IS NOT NULL").groupBy("payload_id").agg(F.min(F.struct("file_id", "payload")).alias("p")).select("payload_id", "p.file_id", "p.payload")
     f = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("subject", F.col("schema_version").alias("version"))).alias("f")).select("file_id", "f.subject", "f.version")
     t = target_tables(entries)
-    rows = p.join(f, "file_id", "left").join(t, "subject", "left")
-
-    @F.pandas_udf("struct<status:string,typed:map<string,string>,rescued:map<string,string>>")
-    def enforce_rows(payload: pd.Series, version: pd.Series, renames: pd.Series, target: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, v, n, g in zip(payload, version, renames, target, strict=True):
-            if g is None:
-                out.append(("no_schema", {}, {"_raw": json.dumps(text)}))
-                continue
-            status, typed, rescued = route(text, None if pd.isna(v) else int(v), [] if n is None else list(n), dict(g))
-            out.append((status, typed, {k: json.dumps(v) for k, v in rescued.items()}))
-        return pd.DataFrame(out, columns=["status", "typed", "rescued"])
-
-    done = rows.select("subject", "payload_id", "file_id", enforce_rows("payload", "version", "renames", "target").alias("r")).select("subject", "payload_id", "file_id", "r.*")
+    plan = t.select("subject", F.to_json(F.struct("target", "renames")).alias("plan"))
+    rows = p.join(f, "file_id", "left").join(plan, "subject", "left").select("subject", "payload_id", "file_id", "version", "plan", "payload")
+    done, _ = settle(rows.mapInArrow(_enforce_batches, ROUTED), "routed")
     if promote == "approved":
         done = replay(done, approved_fields(done, files))
     return done.withColumn("rescued", F.when(F.size("rescued") > 0, _object("rescued")))
 
 
+ROUTED = "subject string, payload_id bigint, file_id bigint, status string, typed map<string,string>, rescued map<string,string>"
+
+
+@lru_cache(maxsize=4096)
+def _plan(text: str) -> tuple[dict[str, str], list[dict]]:
+    root = json.loads(text)
+    return root["target"], root.get("renames") or []
+
+
+def _map_array(rows: list[dict[str, str | None]]) -> pa.Array:
+    offsets, keys, items = [0], [], []
+    for r in rows:
+        keys.extend(r)
+        items.extend(r.values())
+        offsets.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(items, pa.string()))
+
+
+def _enforce_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """route() over batches; a subject's plan comes as text and is read once per task, not once per row."""
+    for b in batches:
+        status, typed, rescued = [], [], []
+        for version, plan, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            if plan is None:
+                s, good, bad = "no_schema", {}, {"_raw": text}
+            else:
+                target, renames = _plan(plan)
+                s, good, bad = route(text, version, renames, target)
+            status.append(s)
+            typed.append({_utf8(k): None if v is None else _utf8(v) for k, v in good.items()})
+            rescued.append({_utf8(k): json.dumps(v) for k, v in bad.items()})
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(status, pa.string()), _map_array(typed), _map_array(rescued)], names=["subject", "payload_id", "file_id", "status", "typed", "rescued"])
+
+
+def _utf8(text: str) -> str:
+    """Lone surrogates, which JSON allows and UTF-8 doesn't, as question marks."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
+
+
 def _object(column: str) -> Column:
     """A JSON object text from a map of JSON texts, keys in order."""
     items = F.array_sort(F.map_entries(column))
     return F.concat(F.lit("{"), F.array_join(F.transform(items, lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"(?s)^\[(.*)\]$", 1), F.lit(":"), e["value"])), ","), F.lit("}"))
 
 
-def approved_fields(done: DataFrame, files: DataFrame) -> DataFrame:
-    """(subject, promoted): the undeclared fields any file of the subject promoted, with the type that holds their values."""
-    wanted = files.where("subject IS NOT NULL").select("subject", F.explode("promoted_fields").alias("path")).where("path IS NOT NULL").distinct()
+def _kind(value: Column) -> Column:
+    """The narrowest type of a JSON text; NULL for null, 'json' for an array or object."""
+    first = F.substring(value, 1, 1)
+    number = F.when(value.rlike("[.eE]") | F.expr("try_cast(value AS bigint)").isNull(), "double").otherwise("long")
+    return F.when(first == '"', "string").when(first.isin("t", "f"), "bool").when(first.isin("[", "{"), "json").when(first != "n", number)
 
-    @F.pandas_udf("string")
-    def kinds(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: kind_of(json.loads(t)))
 
-    seen = done.where("subject IS NOT NULL").select("subject", F.explode("rescued").alias("path", "value")).select("subject", "path", kinds("value").alias("kind")).where("kind IS NOT NULL")
-    per = seen.groupBy("subject", "path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # at most five kinds
-    one = F.when(F.size("kinds") == 1, F.col("kinds")[0]).when(F.size(F.array_except("kinds", F.array(F.lit("long"), F.lit("double")))) == 0, "double").when(F.array_contains("kinds", "json"), "json").otherwise("text")
+def approved_fields(done: DataFrame, files: DataFrame) -> DataFrame:
+    """(subject, promoted): the undeclared fields any file of the subject promoted, with the type that holds their values.
+
+    Long and double make double, other mixtures of scalars text; a field with arrays or objects isn't promoted. One subject's promoted
+    fields are a part of its schema, as many as its files name.
+    """
+    wanted = files.where("subject IS NOT NULL").select("subject", F.explode("promoted_fields").alias("path")).where("path IS NOT NULL").distinct()
+    seen = done.where("subject IS NOT NULL").select("subject", F.explode("rescued").alias("path", "value")).select("subject", "path", _kind(F.col("value")).alias("kind")).where("kind IS NOT NULL")
+    per = seen.groupBy("subject", "path").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in ("bool", "long", "double", "string", "json")])
+    n = sum((F.col(k).cast("int") for k in ("bool", "long", "double", "string", "json")), F.lit(0))
+    one = F.when(F.col("json"), "json").when((n == 2) & F.col("long") & F.col("double"), "double").when(n > 1, "text")
+    for k in ("bool", "long", "double", "string"):
+        one = one.when(F.col(k), k)
     # a declared field isn't promoted anew: its rescued values are mismatches, not missing columns
     typed = done.where("subject IS NOT NULL").select("subject", F.explode(F.map_keys("typed")).alias("path")).distinct()
     return wanted.join(per, ["subject", "path"]).join(typed, ["subject", "path"], "left_anti").withColumn("kind", one).where("kind <> 'json'").groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "kind")))).alias("promoted"))
 
 
 def replay(done: DataFrame, promoted: DataFrame) -> DataFrame:
-    """Move the rescued values of promoted fields into typed columns."""
-
-    @F.pandas_udf("map<string,string>")
-    def fill(rescued: pd.Series, promoted: pd.Series) -> pd.Series:
-        out = []
-        for r, p in zip(rescued, promoted, strict=True):
-            r, p = dict(r), dict(p)
-            got = {k: cast_value(json.loads(v), p[k]) for k, v in r.items() if k in p}
-            out.append({k: text for k, (fits, text) in got.items() if fits})
-        return pd.Series(out, dtype=object)
-
+    """Move the rescued values of promoted fields into typed columns; their types hold every value, so none is left behind."""
     rows = done.join(promoted, "subject", "left")
+    goes = lambda k: F.coalesce(F.map_contains_key(F.col("promoted"), k), F.lit(False))
+    plain = lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
+    text = lambda k, v: F.when(F.try_element_at(F.col("promoted"), k) == "double", plain(v).cast("double").cast("string")).otherwise(plain(v))
+    moved = F.transform_values(F.map_filter("rescued", lambda k, _: goes(k)), text)
     has = F.col("promoted").isNotNull() & (F.size("rescued") > 0)
-    moved = rows.withColumn("moved", F.when(has, fill(F.coalesce("rescued", F.create_map().cast("map<string,string>")), F.coalesce("promoted", F.create_map().cast("map<string,string>")))))
-    rest = F.when(F.col("moved").isNotNull(), F.map_filter("rescued", lambda k, _: ~F.array_contains(F.map_keys("moved"), k))).otherwise(F.col("rescued"))
-    typed = F.when(F.col("moved").isNotNull(), F.map_concat("typed", "moved")).otherwise(F.col("typed"))
-    out = moved.select("subject", "payload_id", "file_id", "status", typed.alias("typed"), rest.alias("rescued"))
+    typed = F.when(has, F.map_concat("typed", moved)).otherwise(F.col("typed"))
+    rest = F.when(has, F.map_filter("rescued", lambda k, _: ~goes(k))).otherwise(F.col("rescued"))
+    out = rows.select("subject", "payload_id", "file_id", "status", typed.alias("typed"), rest.alias("rescued"))
     return out.withColumn("status", F.when((F.col("status") == "rescued") & (F.size("rescued") == 0), "clean").otherwise(F.col("status")))
 
 
