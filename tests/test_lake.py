@@ -37,7 +37,7 @@ def test_time_travel_evolution_orphans_and_codecs(spark, tmp_path):
     assert book.read().count() == 10 and book.read(as_of=2).count() == 3
     assert set(book.read().columns) == {"id", "c0", "c1", "c2", "c3"} and book.read().where("c3 IS NULL").count() == 6
     assert book.orphans() == []
-    spark.range(1).write.parquet(f"file://{tmp_path}/t/data/stray")
+    spark.range(1).coalesce(1).write.parquet(f"file://{tmp_path}/t/data/stray")
     stray = book.orphans()
     assert len(stray) == 1 and book.orphans(frozenset(stray)) == []
 

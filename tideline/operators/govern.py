@@ -14,7 +14,7 @@ def authorize(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Each request with its decision: tenant gate, then deny overrides, then allow, else deny.
 
     requests: request_id, tenant_id, roles, action, resource_tenant; rules: effect, tenant_scope (null: all), required_roles (empty: all), actions.
-    Only ``super-admin`` passes the tenant gate. The rules are few and are met as one broadcast array, so no request is multiplied.
+    Only ``super-admin`` passes the tenant gate. The rules are one array, a scalar subquery, so no request is multiplied.
     """
     rule = F.struct("effect", "tenant_scope", "required_roles", "actions")
     all_rules = rules.agg(F.collect_list(rule).alias("rules_"))
@@ -26,7 +26,7 @@ def authorize(requests: DataFrame, rules: DataFrame) -> DataFrame:
     some = lambda effect: F.exists("rules_", lambda r: (r["effect"] == effect) & F.coalesce(fits(r), F.lit(False)))
     gate = (F.col("tenant_id") == F.col("resource_tenant")) | F.array_contains("roles", "super-admin")
     decision = F.when(~gate, "deny:tenant").when(some("deny"), "deny:rule").when(some("allow"), "allow").otherwise("deny:default")
-    return requests.crossJoin(F.broadcast(all_rules)).select(*requests.columns, decision.alias("decision"))
+    return requests.withColumn("rules_", all_rules.scalar()).select(*requests.columns, decision.alias("decision"))
 
 
 def restore(records: DataFrame, destroyed: DataFrame, ts: str, cutoff: Column, key: str) -> DataFrame:

@@ -45,14 +45,14 @@ def covering(points: DataFrame, chunks: DataFrame, by: str, at: str, width: int,
 def ring_successor(keys: DataFrame, nodes: DataFrame, key: str, node: str, vnodes: int = 16) -> DataFrame:
     """Each key's node on a consistent-hash ring: the first virtual node at or after its hash, wrapping around.
 
-    The ring (nodes times vnodes) is a bounded array carried by one broadcast row; each key finds its place by counting the
-    smaller points, a JVM-side expression.
+    The ring (nodes times vnodes, at most a million points) is one array, a scalar subquery; each key finds its place by counting
+    the smaller points, a JVM-side expression.
     """
     place = lambda c: F.substring(F.md5(c), 1, 8)
     points = nodes.select(F.col(node).cast("string").alias("n_"), F.explode(F.sequence(F.lit(0), F.lit(vnodes - 1))).alias("v_")).select(F.struct(place(F.concat_ws("#", "n_", F.col("v_").cast("string"))).alias("h"), F.col("n_").alias("n")).alias("p"))
-    ring = points.agg(F.array_sort(F.collect_list("p")).alias("ring_"), F.count(F.lit(1)).alias("size_")).where("size_ <= 1000000")
+    ring = points.agg(F.when(F.count(F.lit(1)) <= 1_000_000, F.array_sort(F.collect_list("p"))).alias("ring_"))
     at = F.size(F.filter("ring_", lambda p: p["h"] < F.col("hash_")))
-    return keys.withColumn("hash_", place(F.col(key).cast("string"))).crossJoin(F.broadcast(ring)).select(*keys.columns, F.col("ring_")[F.pmod(at, F.size("ring_"))]["n"].alias("ring_node"))
+    return keys.withColumn("hash_", place(F.col(key).cast("string"))).withColumn("ring_", ring.scalar()).select(*keys.columns, F.col("ring_")[F.pmod(at, F.size("ring_"))]["n"].alias("ring_node"))
 
 
 def translate(committed: DataFrame, bridges: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -196,8 +196,8 @@ def shred_not_objects(spark, d):
 @query(_PAY + ", n AS (SELECT count(*) AS n FROM o WHERE is_object) SELECT field, n_seen, round(n_seen::DOUBLE / n * 0.95, 6) AS score, n_seen::DOUBLE / n * 0.95 >= 0.7 AS promote FROM f, n")
 def shred_promotion_score(spark, d):
     n = _payloads(spark, d).where(shred.is_object(F.col("payload"))).agg(F.count(F.lit(1)).alias("n"))
-    f = field_frequency(spark, d).crossJoin(F.broadcast(n))
-    return shred.promotion_score(f, F.col("n"), F.lit(0.95), F.lit(1.0)).select("field", "n_seen", "score", "promote")
+    f = field_frequency(spark, d)
+    return shred.promotion_score(f, n.scalar(), F.lit(0.95), F.lit(1.0)).select("field", "n_seen", "score", "promote")
 
 
 # --- the lakehouse -------------------------------------------------------------------------------------------------------
@@ -676,7 +676,7 @@ def pushdown_counts(spark, d):
 @query("SELECT (SELECT count(*) FROM events) AS ingested, (SELECT count(*) FROM events) AS stored")
 def count_reconcile(spark, d):
     stored = the_log(spark, d).agg(F.count(F.lit(1)).alias("stored"))
-    return t(spark, d, "events").agg(F.count(F.lit(1)).alias("ingested")).crossJoin(stored)
+    return t(spark, d, "events").agg(F.count(F.lit(1)).alias("ingested")).withColumn("stored", stored.scalar())
 
 
 @query("SELECT event_id, event_type FROM events")

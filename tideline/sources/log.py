@@ -39,9 +39,9 @@ def fetch(log: DataFrame, stream_id: str, start: int, max_records: int, end: int
     """
     last = start + max_records - 1 if end is None else min(end, start + max_records - 1)
     own = log.where((F.col("stream_id") == stream_id) & (F.col("log_offset") >= start) & (F.col("log_offset") <= last + 1))
-    top = own.agg(F.max("log_offset").alias("top_"))
+    top = own.agg(F.max("log_offset")).scalar()
     page = own.where(F.col("log_offset") <= last)
-    return page.crossJoin(F.broadcast(top)).withColumn("has_more", (F.col("top_") > last) & F.lit(end is None or end > last)).drop("top_")
+    return page.withColumn("has_more", (top > last) & F.lit(end is None or end > last))
 
 
 def flight_projection(log: DataFrame, payload: str, timestamp_ns: int) -> DataFrame:
