@@ -140,8 +140,7 @@ def mix(
     names = sorted({r.source for r in leaves} | set(goal))
     per = {s: float(sum(b for (src, _), b in budget.items() if src == s)) for s in names}
     asked = spark.createDataFrame([(s, goal.get(s, (0.0, 0))[0], goal.get(s, (0.0, 0))[1], per[s]) for s in names], "source string, target_share double, max_repeats int, budget_tokens double")
-    sums = F.broadcast(drawn.agg(F.sum("drawn_tokens").alias("all_tokens")))
-    shares = asked.join(drawn, "source", "left").join(sums, F.lit(True), "left")
+    shares = asked.join(drawn, "source", "left").withColumn("all_tokens", drawn.agg(F.sum("drawn_tokens")).scalar())
     zero = lambda c, t="bigint": F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
     shares = shares.select("source", "target_share", "max_repeats", F.round("budget_tokens", 3).alias("budget_tokens"), zero("drawn_tokens"), F.round(F.coalesce(F.col("drawn_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), zero("n_documents"), zero("n_draws"), zero("most_uses", "int"))
     return draws, shares
