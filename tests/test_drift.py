@@ -68,6 +68,13 @@ def test_one_table_with_rescue_promotion_and_replay(spark):
     assert ingest(spark.createDataFrame([], P), files, entries).count() == 0
 
 
+def test_odd_payloads(spark):
+    entries, files = spark.createDataFrame([(1, "t", 1, obj({"a": "int"}))], S), spark.createDataFrame([(1, "t", 1, None)], FILES)
+    odd = ['{"a": NaN}', '{"a":' * 50_000 + "1" + "}" * 50_000, '{"a": [' + "[" * 5000 + "]" * 5000 + "]}", '{"a": 1, "x": "' + "y" * 300_000 + '"}', '{"\\ud800": 1}', '{"a": ' + "9" * 5000 + "}"]
+    got = {r.payload_id: r for r in ingest(spark.createDataFrame([(i, 1, 0, t) for i, t in enumerate(odd)], P), files, entries).collect()}
+    assert len(got) == 6 and got[0].status == "broken" and got[3].typed == {"a": "1"} and len(got[3].rescued) > 300_000 and got[4].rescued == '{"?":1}'
+
+
 def test_casts():
     assert cast_value(2**31, "int") == (False, None) and cast_value(2**31, "long") == (True, str(2**31))
     assert cast_value(1, "double") == (True, "1.0") and cast_value(True, "int") == (False, None) and cast_value(10**400, "double") == (False, None)

@@ -212,10 +212,14 @@ def latest_name(path: str, version: int | None, renames: list[dict]) -> str:
     return top + dot + rest
 
 
+def _no_json(constant: str) -> None:
+    raise ValueError(constant)
+
+
 def route(payload: str | None, version: int | None, renames: list[dict], target: dict[str, str]) -> tuple[str, dict[str, str | None], dict[str, object]]:
     """(status, typed, rescued) of one payload: its fields get their latest names and are enforced on the target's types."""
     try:
-        obj = json.loads(payload) if payload is not None else None
+        obj = json.loads(payload, parse_constant=_no_json) if payload is not None else None
     except (ValueError, RecursionError):
         return "broken", {}, {"_raw": payload}
     if payload is None:
@@ -251,7 +255,8 @@ def ingest(payloads: DataFrame, files: DataFrame, entries: DataFrame, promote: s
 
     ``typed`` maps each of the subject's columns to its value's canonical text (null where the value is JSON null; absent where
     there is none); ``rescued`` is a JSON object of the fields the target doesn't know or can't cast, null if there are none.
-    ``status``: clean, rescued, null, broken, not_object, or no_schema where the file or its subject isn't known.
+    ``status``: clean, rescued, null, broken (no JSON, or nested or long beyond what the parser takes), not_object, or no_schema
+    where the file or its subject isn't known; the last four keep the payload as ``_raw``.
 
     A file without a version is read with the names of all versions. Repeated payloads (one
     payload_id) fold to one. With ``promote='approved'`` undeclared fields that a file of the subject lists in promoted_fields
@@ -296,9 +301,13 @@ def _enforce_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
             else:
                 target, renames = _plan(plan)
                 s, good, bad = route(text, version, renames, target)
+            try:
+                texts = {_utf8(k): json.dumps(v) for k, v in bad.items()}
+            except RecursionError:  # nested too deeply to be written again: kept as it came
+                s, good, texts = "broken", {}, {"_raw": json.dumps(text)}
             status.append(s)
             typed.append({_utf8(k): None if v is None else _utf8(v) for k, v in good.items()})
-            rescued.append({_utf8(k): json.dumps(v) for k, v in bad.items()})
+            rescued.append(texts)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(status, pa.string()), _map_array(typed), _map_array(rescued)], names=["subject", "payload_id", "file_id", "status", "typed", "rescued"])
 
 
