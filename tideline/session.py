@@ -80,3 +80,15 @@ def settle(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at), at
 
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores, for CPU-heavy maps over a few small files.
+
+    Only a plain scan with fewer splits than cores is repartitioned; anything larger, or already shuffled, stays as it is.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(k in plan for k in ("Join", "Aggregate", "Window", "Repartition", "Sort", "Union", "Generate")):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
