@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import folded
-from ..session import settle
+from ..session import settle, spread
 from .tokens import VOCABULARY, token_count
 
 #: A leaf's epoch is cut by so many bits of the order hash at a time at most, until at most so many documents share the cut's
@@ -100,7 +100,7 @@ def mix(
     named = documents.where("doc_id IS NOT NULL").select("doc_id", folded(F.col("source")).alias("source"), F.coalesce(folded(F.col("lang")), F.lit("und")).alias("lang"), F.col("text"))
     wanted = targets.select(folded(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("reps"))
     goal = {r.source: (float(r.share), int(r.reps)) for r in wanted.where("source IS NOT NULL").groupBy("source").agg(F.sum("share").alias("share"), F.min("reps").alias("reps")).limit(MOST_LEAVES + 1).collect()}
-    sized = named.where(F.col("source").isNotNull()).select("doc_id", "source", "lang", token_count(F.col("text"), vocabulary).alias("tokens"))
+    sized = spread(named.where(F.col("source").isNotNull())).select("doc_id", "source", "lang", token_count(F.col("text"), vocabulary).alias("tokens"))
     sized, _ = settle(sized.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "tokens")).alias("d")).select("doc_id", "d.*"), "mix")
 
     leaves = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MOST_LEAVES + 1).collect()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window
 
-from ..session import settle
+from ..session import settle, spread
 from .tokens import VOCABULARY, token_count
 
 #: Sizes are seen by the patterns in so many steps of the capacity; a pattern has so many items at most.
@@ -260,7 +260,7 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
     out_schema = "container_class string, doc_id bigint, piece bigint, n_pieces bigint, tokens bigint, container bigint, position bigint, fill bigint"
     if not classes:
         return spark.createDataFrame([], out_schema)
-    sized, _ = settle(documents.select(F.col(doc_id).alias("doc_id"), token_count(F.col(text), vocabulary).alias("n")), "sizes")
+    sized, _ = settle(spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", token_count(F.col("text"), vocabulary).alias("n")), "sizes")
     each_class = F.explode(F.array(*[F.struct(F.lit(c).alias("container_class"), F.lit(k).cast("bigint").alias("cap")) for c, k in sorted(classes.items())]))
     per = sized.select("doc_id", "n", each_class.alias("c")).select("doc_id", "n", "c.*")
     whole = F.greatest(F.ceil(F.col("n") / F.col("cap")), F.lit(1)).cast("bigint")
