@@ -127,3 +127,22 @@ def depth(states: DataFrame, key: Sequence[str] = ("stream_id",)) -> DataFrame:
     """Queue attributes and lag: ready and in-flight estimates, and how far the base is behind the head."""
     j = states.join(base_offsets(states, key), list(key))
     return j.groupBy(*key).agg(F.count_if(F.col("state") == READY).alias("ready"), F.count_if(F.col("state") == LEASED).alias("in_flight"), (F.max("head") + 1 - F.max("w_base")).alias("lag"))
+
+
+def snapshot(states: DataFrame, key: Sequence[str] = ("stream_id",)) -> DataFrame:
+    """What a restart needs: every offset that isn't plainly READY, and not those acknowledged below the base, which the base implies.
+
+    Leases, tokens and attempts are kept, and dead letters below the base stay dead letters.
+    """
+    bases = base_offsets(states, key)
+    j = states.join(bases, list(key))
+    implied = (F.col("state") == ACKED) & (F.col("log_offset") < F.col("w_base"))
+    plain = (F.col("state") == READY) & (F.col("attempts") == 0)
+    return j.where(~implied & ~plain).select(*key, "log_offset", "state", "token", "deadline_us", "attempts")
+
+
+def restored(log: DataFrame, snap: DataFrame, bases: DataFrame, key: Sequence[str] = ("stream_id",)) -> DataFrame:
+    """The states of a log from a snapshot and its bases."""
+    j = log.join(snap, [*key, "log_offset"], "left").join(bases.select(*key, "w_base"), list(key), "left")
+    state = F.coalesce("state", F.when(F.col("log_offset") < F.col("w_base"), ACKED).otherwise(READY))
+    return j.withColumn("state", state).withColumn("attempts", F.coalesce("attempts", F.lit(0))).drop("w_base")

@@ -64,9 +64,9 @@ def fence_epochs(rows: DataFrame, key: Sequence[str], order: str, epoch: str = "
     return rows.withColumn("max_epoch", top).withColumn("fenced", F.col(epoch) < top)
 
 
-def window_duplicates(rows: DataFrame, key: Sequence[str], order: str, seconds: float) -> DataFrame:
+def window_duplicates(rows: DataFrame, key: Sequence[str], order: str, seconds: float, tie: Sequence[str] = ()) -> DataFrame:
     """``duplicate`` where the same key came at most ``seconds`` before: a bounded deduplication window."""
-    gap = F.unix_micros(F.col(order).cast("timestamp")) - F.unix_micros(F.lag(order).over(Window.partitionBy(*key).orderBy(order)).cast("timestamp"))
+    gap = F.unix_micros(F.col(order).cast("timestamp")) - F.unix_micros(F.lag(order).over(Window.partitionBy(*key).orderBy(order, *tie)).cast("timestamp"))
     return rows.withColumn("duplicate", F.coalesce(gap <= int(seconds * 1_000_000), F.lit(False)))
 
 

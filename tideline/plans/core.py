@@ -704,3 +704,82 @@ def stream_only(spark, d):
 @query(LOG + " SELECT log_offset, user_id, value FROM log WHERE stream_id = 'click' AND log_offset >= 10 AND user_id % 3 = 0 ORDER BY log_offset LIMIT 20")
 def keyed_replay(spark, d):
     return log.pushdown(the_log(spark, d), "stream_id = 'click' AND log_offset >= 10 AND user_id % 3 = 0", ["log_offset", "user_id", "value"], 20, ["log_offset"])
+
+
+# --- specified beyond the code -------------------------------------------------------------------------------------------
+
+
+@query("SELECT file_path, file_size_bytes FROM data_files WHERE starts_with(file_path, 'lake/canal')")
+def prefix_listing(spark, d):
+    return t(spark, d, "data_files").where(F.col("file_path").startswith("lake/canal")).select("file_path", "file_size_bytes")
+
+
+@query(LOG + ", c AS (SELECT stream_id, sum(length(props))::BIGINT AS b FROM log GROUP BY stream_id, log_offset // 500) SELECT stream_id, count(*) AS n_chunks, sum(b)::BIGINT AS n_bytes FROM c GROUP BY 1")
+def manifest_totals(spark, d):
+    return log.chunk_manifest(the_log(spark, d), 500, F.length("props")).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"))
+
+
+@query(_PAY + """, top AS (SELECT field FROM f ORDER BY first_at, field LIMIT 64), x AS (SELECT o.payload_id, any_value(is_object) AS ok, count(*) FILTER (k.field IS NOT NULL AND k.field NOT IN (SELECT field FROM top)) AS extra FROM o LEFT JOIN k ON k.payload_id = o.payload_id GROUP BY 1)
+SELECT payload_id, CASE WHEN NOT ok OR extra > 0 THEN 'rejected' ELSE 'accepted' END AS strict, CASE WHEN NOT ok THEN 'raw' WHEN extra > 0 THEN 'overflow' ELSE 'accepted' END AS permissive FROM x""")
+def schema_modes(spark, d):
+    s = shred_fixed_cap(spark, d)
+    strict = F.when(~F.col("is_object") | (F.col("n_overflow") > 0), "rejected").otherwise("accepted")
+    permissive = F.when(~F.col("is_object"), "raw").when(F.col("n_overflow") > 0, "overflow").otherwise("accepted")
+    return s.select("payload_id", strict.alias("strict"), permissive.alias("permissive"))
+
+
+@query("""WITH g AS (SELECT delivery_id, epoch_us(received_at) - epoch_us(lag(received_at) OVER (PARTITION BY queue_url, md5(message_body) ORDER BY received_at, delivery_id)) AS gap FROM sqs_messages)
+SELECT delivery_id, coalesce(gap <= 600000000, false) AS duplicate FROM g""")
+def content_dedup(spark, d):
+    m = t(spark, d, "sqs_messages").select("delivery_id", "queue_url", F.md5("message_body").alias("h"), "received_at")
+    return producer.window_duplicates(m, ["queue_url", "h"], "received_at", 600, ["delivery_id"]).select("delivery_id", "duplicate")
+
+
+@query(_HIST + "SELECT committed, snapshot_id FROM h WHERE snapshot_id > (SELECT max(snapshot_id) FROM h) - 3 OR (committed >= DATE '2024-03-06' AND snapshot_id > (SELECT max(snapshot_id) FROM h) - 1000)")
+def snapshot_retention(spark, d):
+    return ledger.retained(_history(spark, d)[0], 3, F.lit("2024-03-06").cast("date")).select("committed", "snapshot_id")
+
+
+@query(STATE + "SELECT stream_id, log_offset, state, attempts::INT AS attempts FROM s")
+def overlay_restore(spark, d):
+    rows, states = the_log(spark, d), the_states(spark, d)
+    return overlay.restored(rows, overlay.snapshot(states), overlay.base_offsets(states)).select("stream_id", "log_offset", "state", "attempts")
+
+
+@query(STATE + "SELECT stream_id, attempts::INT AS attempts, count(*) AS n FROM s WHERE state = 'LEASED' GROUP BY 1, 2")
+def lease_attempt_histogram(spark, d):
+    return the_states(spark, d).where("state = 'LEASED'").groupBy("stream_id", "attempts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT DISTINCT stream_id, logical_offset FROM record_entries WHERE stream_id IS NOT NULL)
+SELECT stream_id, logical_offset AS source_offset, 500 + row_number() OVER (PARTITION BY stream_id ORDER BY logical_offset) - 1 AS own_offset FROM r""")
+def bridge_offset_map(spark, d):
+    r = t(spark, d, "record_entries").where("stream_id IS NOT NULL").select("stream_id", F.col("logical_offset").alias("source_offset")).distinct()
+    own = log.dense_offsets(r, "stream_id", ["source_offset"], F.floor(F.col("source_offset") / 4096), "own_offset")
+    return own.withColumn("own_offset", F.col("own_offset") + 500)
+
+
+@query(STATE + """, b AS (SELECT stream_id, coalesce(min(log_offset) FILTER (event_id % 11 <> 0), max(log_offset) + 1) AS w_base FROM s GROUP BY 1)
+SELECT stream_id, 'all' AS group_id, w_base FROM w UNION ALL SELECT stream_id, 'never_acks', w_base FROM b""")
+def group_fanout(spark, d):
+    """Two groups over one log, one of which never acknowledges: their overlays don't touch."""
+    rows = the_log(spark, d)
+    j = the_journal(spark, d, rows)
+    both = j.withColumn("group_id", F.lit("all")).unionByName(j.where("op <> 'Ack'").withColumn("group_id", F.lit("never_acks")))
+    key = ["stream_id", "group_id"]
+    groups = rows.withColumn("group_id", F.explode(F.array(F.lit("all"), F.lit("never_acks"))))
+    return overlay.base_offsets(overlay.state_of_log(groups, overlay.fold_journal(both, key), key), key).select("stream_id", "group_id", "w_base")
+
+
+@query("SELECT subject, version, count(DISTINCT schema_id) AS n_entries FROM schema_entries GROUP BY 1, 2")
+def schema_versions(spark, d):
+    return t(spark, d, "schema_entries").groupBy("subject", "version").agg(F.count_distinct("schema_id").alias("n_entries"))
+
+
+@query("SELECT f AS payload_fields, least(f, 64) AS n_columns, greatest(f - 64, 0) AS n_overflow FROM (VALUES (0), (61), (64), (65), (100)) v(f)")
+def wide_payload_cap(spark, d):
+    sizes = [0, 61, 64, 65, 100]
+    wide = spark.createDataFrame([(n, "{" + ",".join(f'"field_{i:03d}":"v{i}"' for i in range(n)) + "}") for n in sizes], "payload_fields int, payload string")
+    names = [r.field for r in shred.first_come(shred.field_observations(wide.where("payload_fields = 100"), "payload_fields", "payload")).collect()]
+    s = shred.split_report(wide, "payload_fields", "payload", names)
+    return s.select("payload_fields", F.col("n_columns").cast("int").alias("n_columns"), F.col("n_overflow").cast("int").alias("n_overflow"))
