@@ -63,6 +63,21 @@ def test_empty_repeated_and_clashing(spark):
     assert [r.doc_id for r in promotional_documents(df).collect()] == [1]
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "see also waterproof wizard red viewer slim fit designer handmade finder eco recorder organic converter steel finder matte client leather vault",
+        "wa7erpr00f wizard r3d viewer m4tte designer 5teel finder c0tt0n recorder l3ather vault 3co client",
+        "set: waterproof wizard - red viewer - matte designer - steel finder - cotton recorder - leather vault",
+        "set: waterproof wizard – red viewer – matte designer – steel finder – cotton recorder – leather vault",
+        "waterproof wizard  red viewer  matte designer  steel finder  cotton recorder  leather vault",
+        "cheap garden hose _garden hose_ garden hose sale",
+    ],
+)
+def test_every_line_is_judged(line):
+    assert figures([line])["spam_chars"] == len(line)
+
+
 def test_undisguise():
     assert undisguise("f.r.e.e..s.h.i.p.p.i.n.g s.l.i.m. .t.e.a c0up0n wh3r3+0f1nd 24h 2024 hxxp://a[.]example") == "free shipping slim tea coupon wheretofind 24h 2024 http://a.example"
 

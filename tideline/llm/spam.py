@@ -81,8 +81,6 @@ _SEPARATOR = re.compile(r"[•·|;,/\t–—]|\s-\s|\s{2,}")
 _CODE = re.compile(r"^msg(?:id|str|ctxt)\b|\w_\w|[{}=]|\(\)|\);|::|->|=>|^\s*[(\[]|[\"'`]\s*[,:)]|`")
 _CATALOGUE = re.compile(r"^(?:#?\d{4,}\b|(?:art|artikel|art[ií]culo|article|item|sku|ref|r[ée]f|no|nr|id|prod|produit|model|code)[.:# -]*[a-z]{0,3}-?\d{3,}\b)", re.I)
 _LABEL = re.compile(r"^\s*[^\W\d_]+(?: [^\W\d_]+)?\s*[:=]\s*")
-#: Whether a part can be promotional at all: nothing below marks a line that has none of these.
-_SUSPECT = re.compile(rf"{_PROMO.pattern}|{_URL}|\.\w\.|(?<!\S)#[^\W\d_]\w{{4}}|[­​-‏⁠﻿•·]|\[\.\]|hxxp|<a |\[url|(?:[^;|/,\n]{{1,60}}[;|/,]){{4}}|\t[^\t\n]{{1,80}}\t|{_CATALOGUE.pattern.replace('^', '', 1)}", re.I)
 
 _HEADER = re.compile(r"^(?:commit [0-9a-f]{7,}|Author: |AuthorDate: |Commit: |CommitDate: |Date: |Merge: |From [0-9a-f]{40} |From: |To: |-{20,}$|r\d+ \| |page-edit by |---$)")
 _DIFF_START = re.compile(r"^(?:diff --git |Index: \S|--- a/|diff -)")
@@ -187,13 +185,9 @@ def figures(lines: list[str]) -> dict[str, float]:
     out = dict.fromkeys(FIGURES, 0.0)
     out["chars"] = float(sum(len(x.strip()) for x in lines))
     out["n_lines"] = float(len(lines))
-    # plain code lines can't be marked; most lines are such
-    open_ = [x for x in lines if not (("_" in x or "{" in x or "}" in x or "()" in x or ");" in x) and "/" not in x and "#" not in x and "<" not in x and "[" not in x and x.isprintable())]
-    if not open_ or not _SUSPECT.search("\n".join(open_)):
-        return out
     hosts: Counter = Counter()
     link_chars = 0
-    for line in open_:
+    for line in lines:
         spam, evidence, seps, functions, n, host = judge_line(line) if len(line) < 20_000 else judge_line.__wrapped__(line)
         size = len(line.strip())
         out["spam_chars"] += size * spam
