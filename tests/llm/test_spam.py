@@ -2,7 +2,7 @@ import time
 
 import pytest
 
-from tideline.llm.spam import figures, parts, promotional_documents, undisguise
+from tideline.llm.spam import figures, judged_parts, parts, promotional_documents, undisguise
 
 D = "doc_id bigint, text string, lang string"
 
@@ -78,6 +78,22 @@ def test_every_line_is_judged(line):
     assert figures([line])["spam_chars"] == len(line)
 
 
+def test_ratios_mark_without_word_lists(spark):
+    towns = "warszawa kraków gdańsk poznań lublin opole toruń kielce".split()
+    stuffed = [f"opony zimowe {x} opony zimowe tanio" for x in towns]
+    prose = ["Zmieniono kolejność odczytu dziennika przed zapisem", "Poprawiono błąd licznika ramek po ponownym uruchomieniu węzła", "Usunięto zbędne kopiowanie bufora oraz dodano testy granic segmentu", "Nowy indeks skraca wyszukiwanie przesunięć"]
+    code = [f"    opony_zimowe(opony_zimowe[{i}], opony_zimowe)" for i in range(12)]
+    rows = [(1, doc(added=stuffed), "pl"), (2, doc(added=prose), "pl"), (3, doc(added=code), "pl")]
+    assert [r.doc_id for r in promotional_documents(spark.createDataFrame(rows, D)).collect()] == [1]
+
+
+def test_ratios_are_made_of_every_part(spark):
+    plain = figures(["Read the journal before the journal is cut", "Read the journal before the journal is cut"])
+    assert plain["spam_chars"] == 0 and plain["top_word"] > 0 and plain["top_gram"] > 0 and plain["duplicate_lines"] == 0.5
+    rows = [(i, doc(f"Move reader {i} behind its own lock"), "en") for i in range(5)]
+    assert all(r.usual_top_word > 0 and r.usual_top_gram > 0 for r in judged_parts(spark.createDataFrame(rows, D)).where("part = 'message'").collect())
+
+
 def test_undisguise():
     assert undisguise("f.r.e.e..s.h.i.p.p.i.n.g s.l.i.m. .t.e.a c0up0n wh3r3+0f1nd 24h 2024 hxxp://a[.]example") == "free shipping slim tea coupon wheretofind 24h 2024 http://a.example"
 

@@ -127,8 +127,8 @@ def undisguise(line: str) -> str:
 
 
 @lru_cache(maxsize=200_000)
-def judge_line(line: str) -> tuple[bool, int, int, int, int, str]:
-    """(promotional by itself, advertising words and attributes, separators, function words, words, host of a line that is only links)."""
+def judge_line(line: str) -> tuple[bool, int, int, int, int, str, tuple[str, ...]]:
+    """(promotional by itself, advertising words and attributes, separators, function words, words, host of a line that is only links, its words unless it is code)."""
     line = undisguise(_MARKS.sub("", line.strip())).strip()
     low = line.lower()
     anchors = [(u, t) for u, t in _HTML_LINK.findall(line)] + [(u, t) for t, u in _MD_LINK.findall(line)] + [(u, t) for u, t in _BB_LINK.findall(line)]
@@ -153,7 +153,7 @@ def judge_line(line: str) -> tuple[bool, int, int, int, int, str]:
     tags = _HASHTAG.findall(line)
     if len(tags) >= 3 and len(tags) >= 0.8 * len(line.split()):
         glued = sum(bool(_GLUED.search(t.lower())) for t in tags)
-        return glued >= 0.5 * len(tags), glued, separators, functions, n, host
+        return glued >= 0.5 * len(tags), glued, separators, functions, n, host, tuple(words)
     code = bool(_CODE.search(_LABEL.sub("", _TAGS.sub(" ", plain)))) and not content
     promo = len(_PROMO.findall(shown))
     spam, evidence = False, promo
@@ -174,10 +174,10 @@ def judge_line(line: str) -> tuple[bool, int, int, int, int, str]:
             spam = attributes >= 2
         elif n >= 8:
             spam = attributes >= 0.25 * n and functions <= 0.1 * n + 2
-    return spam, evidence, separators, functions, n, host
+    return spam, evidence, separators, functions, n, host, () if code else tuple(words)
 
 
-FIGURES = ("chars", "spam_chars", "evidence", "n_lines", "top_word", "top_gram", "duplicate_lines", "link_lines", "hosts", "separators", "functions", "words")
+FIGURES = ("chars", "spam_chars", "evidence", "n_lines", "top_word", "top_gram", "duplicate_lines", "link_lines", "hosts", "separators", "functions", "words", "prose")
 
 
 def figures(lines: list[str]) -> dict[str, float]:
@@ -187,14 +187,16 @@ def figures(lines: list[str]) -> dict[str, float]:
     out["n_lines"] = float(len(lines))
     hosts: Counter = Counter()
     link_chars = 0
+    bare: dict[str, tuple[str, ...]] = {}
     for line in lines:
-        spam, evidence, seps, functions, n, host = judge_line(line) if len(line) < 20_000 else judge_line.__wrapped__(line)
+        spam, evidence, seps, functions, n, host, prose = judge_line(line) if len(line) < 20_000 else judge_line.__wrapped__(line)
         size = len(line.strip())
         out["spam_chars"] += size * spam
         out["evidence"] += evidence * spam
         out["separators"] += seps
         out["functions"] += functions
         out["words"] += n
+        bare[" ".join(undisguise(line).lower().split())] = prose
         if host:
             hosts[host] += 1
             out["link_lines"] += 1
@@ -204,18 +206,24 @@ def figures(lines: list[str]) -> dict[str, float]:
     if out["link_lines"] >= 4 and len(hosts) >= 0.6 * out["link_lines"]:
         out["spam_chars"] += link_chars
         out["evidence"] += out["link_lines"]
-    if out["spam_chars"]:
-        bare = Counter(" ".join(undisguise(x).lower().split()) for x in lines)
+    # of every part, whether a line is marked or not; words of code repeat by nature, and a repeated line is a figure of its own
+    if lines:
         out["duplicate_lines"] = 1 - len(bare) / len(lines)
-        words = [w for x in bare for w in _WORD.findall(x)]
-        if words:
-            out["top_word"] = Counter(w for w in words if w not in FUNCTION_WORDS).most_common(1)[0][1] / len(words) if any(w not in FUNCTION_WORDS for w in words) else 0.0
-            out["top_gram"] = 2 * max(Counter(zip(words, words[1:], strict=False)).values(), default=0) / len(words)
+    words = [w for prose in bare.values() for w in prose]
+    if words:
+        telling = Counter(w for w in words if w not in FUNCTION_WORDS)
+        pairs = Counter((a, b) for a, b in zip(words, words[1:], strict=False) if a in telling or b in telling)
+        out["prose"] = float(len(words))
+        out["top_word"] = max(telling.values(), default=0) / len(words)
+        out["top_gram"] = 2 * max(pairs.values(), default=0) / len(words)
     return out
 
 
 #: Of a list, lines without an advertising word stay unmarked, so less than half of the characters marked is most of a part.
 SHARE, EVIDENCE = 0.4, 5
+#: What marks a part whatever its words mean: so many words, a top word and a top n-gram so far beyond the usual (itself up to
+#: USUAL), in text that is mostly no code and has at most half the usual function words.
+WORDS, TOP_WORD, TOP_GRAM, USUAL, PROSE = 24, 0.1, 0.2, 0.1, 0.6
 ROW = "doc_id bigint, lang string, part string, " + ", ".join(f"{f} double" for f in FIGURES)
 
 
@@ -244,13 +252,14 @@ def judged_parts(documents: DataFrame, share: float = SHARE, evidence: int = EVI
 
     A part is promotional if its marked lines hold at least ``share`` of its characters, beyond what is usual in the language, with at
     least ``evidence`` advertising words, and at least one of the ratios is beyond the usual: a top word, a top n-gram,
-    repeated lines, link lines, separators, or missing function words. The usual is the median over all parts of the language
-    that have words in suspicious lines, up to a bound for each ratio.
+    repeated lines, link lines, separators, or missing function words. It is so too, without any word of the lists, if its top word and
+    top n-gram are both far beyond the usual and function words are missing. The ratios are made of every part; the usual is their median
+    over all parts of the language that have words, up to a bound for each ratio.
     """
     rows, _ = settle(part_figures(documents, **columns), "figures")
     words, lines = F.greatest("words", F.lit(1.0)), F.greatest("n_lines", F.lit(1.0))
     ratios = rows.select(
-        "doc_id", "lang", "part", "evidence", "top_word", "top_gram", "duplicate_lines", "words",
+        "doc_id", "lang", "part", "evidence", "top_word", "top_gram", "duplicate_lines", "words", "prose",
         (F.col("spam_chars") / F.greatest("chars", F.lit(1.0))).alias("marked"), (F.col("link_lines") / lines).alias("links"),
         (F.col("separators") / words).alias("separators"), (F.col("functions") / words).alias("functions"),
     )
@@ -262,7 +271,9 @@ def judged_parts(documents: DataFrame, share: float = SHARE, evidence: int = EVI
     sign = over("top_word", 0.02, 0.02) | over("top_gram", 0.02, 0.02) | over("duplicate_lines", 0.2, 0.3) | over("links", 0.3, 0.3) | over("separators", 0.1, 0.1)
     sign = sign | (F.col("functions") <= 0.5 * F.greatest(F.coalesce("usual_functions", F.lit(0.0)), F.lit(0.2)))
     beyond = F.col("marked") >= share + F.least(F.coalesce("usual_marked", F.lit(0.0)), F.lit(0.05))
-    return both.withColumn("promotional", beyond & (F.col("evidence") >= evidence) & sign)
+    terse = F.col("functions") <= 0.5 * F.greatest(F.coalesce("usual_functions", F.lit(0.0)), F.lit(0.1))
+    extreme = over("top_word", TOP_WORD, USUAL) & over("top_gram", TOP_GRAM, USUAL) & terse & (F.col("prose") >= F.greatest(F.lit(WORDS), PROSE * F.col("words")))
+    return both.withColumn("promotional", (beyond & (F.col("evidence") >= evidence) & sign) | extreme)
 
 
 def promotional_documents(documents: DataFrame, **how) -> DataFrame:
