@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,35 @@ from pyspark.sql import functions as F
 WIDER = {"int": ("long", "float", "double"), "long": ("double",), "float": ("double",)}
 
 
-def compatibility(old: DataFrame, new: DataFrame, by: str = "subject") -> DataFrame:
+def compatibility(old: DataFrame, new: DataFrame, by: str | Sequence[str] = "subject") -> DataFrame:
     """Per subject whether the new fields (field, type, required) may follow the old ones, backward, forward and fully.
 
     Backward fails on a field required now that wasn't, and on a changed type of a shared field; a removal is allowed. Forward fails if a
     field required before is gone; types aren't compared. One full outer join on (subject, field).
     """
-    o = old.select(by, "field", F.col("type").alias("old_type"), F.col("required").alias("old_required"), F.lit(True).alias("in_old"))
-    n = new.select(by, "field", F.col("type").alias("new_type"), F.col("required").alias("new_required"), F.lit(True).alias("in_new"))
-    j = o.join(n, [by, "field"], "full_outer")
+    by = [by] if isinstance(by, str) else list(by)
+    o = old.select(*by, "field", F.col("type").alias("old_type"), F.col("required").alias("old_required"), F.lit(True).alias("in_old"))
+    n = new.select(*by, "field", F.col("type").alias("new_type"), F.col("required").alias("new_required"), F.lit(True).alias("in_new"))
+    j = o.join(n, [*by, "field"], "full_outer")
     newly = F.col("in_new") & F.col("new_required") & ~F.coalesce("old_required", F.lit(False))
     changed = F.col("in_old") & F.col("in_new") & (F.col("old_type") != F.col("new_type"))
     lost = F.col("in_old") & F.col("old_required") & F.col("in_new").isNull()
     no = lambda c: ~F.bool_or(F.coalesce(c, F.lit(False)))
-    return j.groupBy(by).agg(no(newly | changed).alias("backward"), no(lost).alias("forward")).withColumn("full", F.col("backward") & F.col("forward"))
+    return j.groupBy(*by).agg(no(newly | changed).alias("backward"), no(lost).alias("forward")).withColumn("full", F.col("backward") & F.col("forward"))
+
+
+def compatibility_steps(fields: DataFrame, steps: DataFrame) -> DataFrame:
+    """(subject, version, previous, backward, forward, full): every step against the version before it.
+
+    fields has the fields of every version (subject, version, field, type, required), steps (subject, version, previous) without nulls. A step
+    between two versions without fields is compatible.
+    """
+    cols = ("subject", "version", "field", "type", "required")
+    new = fields.join(steps, ["subject", "version"]).select(*cols)
+    old = fields.withColumnRenamed("version", "previous").join(steps, ["subject", "previous"]).select(*cols)
+    found = compatibility(old, new, ("subject", "version"))
+    yes = lambda c: F.coalesce(c, F.lit(True)).alias(c)
+    return steps.join(found, ["subject", "version"], "left").select("subject", "version", "previous", yes("backward"), yes("forward"), yes("full"))
 
 
 def latest(entries: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import govern, lookup, metrics, overlay, producer, registry, shred
-from ..session import scratch
+from ..session import scratch, settle
 from ..session import table as t
 from ..sources import ledger, log
 
@@ -315,6 +315,35 @@ def schema_compatibility(spark, d):
     return registry.compatibility(_fields(spark, d, 1), _fields(spark, d, 2))
 
 
+_STEPS = f"""WITH e AS (SELECT subject, version, arg_min(definition::JSON, schema_id) AS j FROM schema_entries GROUP BY 1, 2),
+s AS (SELECT * FROM (SELECT subject, version, lag(version) OVER (PARTITION BY subject ORDER BY version) AS previous FROM e) WHERE previous IS NOT NULL),
+l AS (SELECT subject, version, j, unnest(json_extract(j, '$.fields[*]')) AS f FROM e WHERE json_type(j, '$.fields') = 'ARRAY'),
+o AS (SELECT subject, version, j, unnest(json_keys(j, '$.fields')) AS k FROM e WHERE json_type(j, '$.fields') = 'OBJECT'),
+r AS (SELECT subject, version, j, f->>'$.name' AS field, f->>'$.type' AS t FROM l
+  UNION ALL SELECT subject, version, j, k, CASE WHEN json_type(json_extract(j, '$.fields."' || k || '"')) = 'OBJECT' THEN 'struct' ELSE json_extract_string(j, '$.fields."' || k || '"') END FROM o),
+x AS (SELECT subject, version, field, {_TYPES} AS type, coalesce(list_contains(CAST(json_extract(j, '$.required_fields') AS VARCHAR[]), field), false) AS required FROM r),
+c AS (SELECT s.subject, s.version, n.field, n.type, n.required, true AS is_new FROM s JOIN x n USING (subject, version)
+  UNION ALL SELECT s.subject, s.version, p.field, p.type, p.required, false FROM s JOIN x p ON p.subject = s.subject AND p.version = s.previous),
+g AS (SELECT subject, version, field, bool_or(is_new) AS here, bool_or(NOT is_new) AS there, min(type) FILTER (is_new) AS tn, min(type) FILTER (NOT is_new) AS tp,
+  coalesce(bool_or(required) FILTER (is_new), false) AS rn, coalesce(bool_or(required) FILTER (NOT is_new), false) AS rp FROM c GROUP BY 1, 2, 3),
+b AS (SELECT subject, version, NOT bool_or((rn AND NOT rp) OR (here AND there AND tn <> tp)) AS backward, NOT bool_or(rp AND NOT here) AS forward FROM g GROUP BY 1, 2)
+SELECT subject, version, previous, coalesce(backward, true) AS backward, coalesce(forward, true) AS forward, coalesce(backward AND forward, true) AS "full" FROM s LEFT JOIN b USING (subject, version)"""
+
+
+@query(_STEPS)
+def schema_compatibility_steps(spark, d):
+    from ..operators import drift
+
+    entries = t(spark, d, "schema_entries")
+    vs, _ = settle(drift.versions(entries), "versions")
+    readable = entries.where(F.get_json_object("definition", "$.fields").isNotNull())
+    required = readable.groupBy("subject", "version").agg(F.min_by("definition", "schema_id").alias("definition"))
+    required = required.select("subject", "version", F.from_json(F.get_json_object("definition", "$.required_fields"), "array<string>").alias("required_fields"))
+    flat = vs.join(required, ["subject", "version"], "left").select("subject", "version", F.explode("fields").alias("f"), "required_fields").where("f.top")
+    fields = flat.select("subject", "version", F.col("f.path").alias("field"), F.col("f.type").alias("type"), F.coalesce(F.array_contains("required_fields", F.col("f.path")), F.lit(False)).alias("required"))
+    return registry.compatibility_steps(fields, drift.with_previous(vs).where("previous IS NOT NULL"))
+
+
 @query("SELECT subject, max(version) AS version, arg_max(schema_id, (version, -schema_id)) AS schema_id, count(DISTINCT version) AS n_versions FROM schema_entries GROUP BY 1")
 def schema_latest(spark, d):
     return registry.latest(t(spark, d, "schema_entries"))
