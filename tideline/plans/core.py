@@ -82,6 +82,13 @@ def chunk_covering_lookup(spark, d):
     return lookup.covering(points, log.chunk_manifest(rows, 500, F.length("props")), "stream_id", "log_offset", 500, ["start_offset", "end_offset"])
 
 
+@query(LOG + """, chunks AS (SELECT stream_id, min(log_offset) AS s, max(log_offset) AS e FROM log GROUP BY stream_id, log_offset // 500)
+SELECT l.stream_id, l.log_offset, c.s AS start_offset, c.e AS end_offset FROM log l LEFT JOIN chunks c ON c.stream_id = l.stream_id AND l.log_offset BETWEEN c.s AND c.e""")
+def chunk_covering_lookup_all(spark, d):
+    rows = the_log(spark, d)
+    return lookup.covering(rows.select("stream_id", "log_offset"), log.chunk_manifest(rows, 500, F.length("props")), "stream_id", "log_offset", 500, ["start_offset", "end_offset"])
+
+
 @query(LOG + """, idx AS (SELECT stream_id, log_offset AS at, event_id AS segment_id FROM log WHERE log_offset % 100 = 0)
 SELECT l.stream_id, l.log_offset, i.at AS indexed_offset, i.segment_id FROM log l ASOF LEFT JOIN idx i ON l.stream_id = i.stream_id AND l.log_offset >= i.at""")
 def sparse_floor_lookup(spark, d):
