@@ -45,14 +45,16 @@ def covering(points: DataFrame, chunks: DataFrame, by: str, at: str, width: int,
 def ring_successor(keys: DataFrame, nodes: DataFrame, key: str, node: str, vnodes: int = 16) -> DataFrame:
     """Each key's node on a consistent-hash ring: the first virtual node at or after its hash, wrapping around.
 
-    The ring (nodes times vnodes, at most a million points) is one array, a scalar subquery; each key finds its place by counting
-    the smaller points, a JVM-side expression.
+    An as-of lookup along the ring run backwards, in 4,096 slices of the 32-bit hash, so a ring of any size is exact and no task has all of it.
+    Of points with one hash the lowest node counts; a key past the last point takes the first one.
     """
-    place = lambda c: F.substring(F.md5(c), 1, 8)
-    points = nodes.select(F.col(node).cast("string").alias("n_"), F.explode(F.sequence(F.lit(0), F.lit(vnodes - 1))).alias("v_")).select(F.struct(place(F.concat_ws("#", "n_", F.col("v_").cast("string"))).alias("h"), F.col("n_").alias("n")).alias("p"))
-    ring = points.agg(F.when(F.count(F.lit(1)) <= 1_000_000, F.array_sort(F.collect_list("p"))).alias("ring_"))
-    at = F.size(F.filter("ring_", lambda p: p["h"] < F.col("hash_")))
-    return keys.withColumn("hash_", place(F.col(key).cast("string"))).withColumn("ring_", ring.scalar()).select(*keys.columns, F.col("ring_")[F.pmod(at, F.size("ring_"))]["n"].alias("ring_node"))
+    place = lambda c: (-F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")).alias("at_")
+    name = F.col(node).cast("string")
+    points = nodes.select(name.alias("n_"), F.explode(F.sequence(F.lit(0), F.lit(vnodes - 1))).alias("v_")).select(place(F.concat_ws("#", "n_", F.col("v_").cast("string"))), "n_")
+    points = points.groupBy("at_").agg(F.min("n_").alias("ring_node")).withColumn("ring_", F.lit(0))
+    first = points.agg(F.max_by("ring_node", "at_").alias("first_"))
+    found = asof_backward(keys.select("*", place(F.col(key).cast("string")), F.lit(0).alias("ring_")), points, "ring_", "at_", ["ring_node"], 1 << 20)
+    return found.select(*keys.columns, F.coalesce("ring_node", first.scalar()).alias("ring_node"))
 
 
 def translate(committed: DataFrame, bridges: DataFrame, by: Sequence[str]) -> DataFrame:

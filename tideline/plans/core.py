@@ -105,6 +105,13 @@ def ring_successor(spark, d):
     return lookup.ring_successor(t(spark, d, "customer").select("c_custkey"), nodes, "c_custkey", "s_suppkey")
 
 
+@query("""WITH p AS (SELECT left(md5(s_suppkey::VARCHAR || '#' || v), 8) AS h, min(s_suppkey::VARCHAR) AS n FROM supplier, range(16) r(v) GROUP BY 1),
+k AS (SELECT c_custkey, left(md5(c_custkey::VARCHAR), 8) AS h FROM customer)
+SELECT c_custkey, coalesce(p.n, (SELECT arg_min(n, h) FROM p)) AS ring_node FROM k ASOF LEFT JOIN p ON p.h >= k.h""")
+def ring_successor_all(spark, d):
+    return lookup.ring_successor(t(spark, d, "customer").select("c_custkey"), t(spark, d, "supplier"), "c_custkey", "s_suppkey")
+
+
 @query(LOG + " SELECT stream_id, min(log_offset) AS earliest, min(log_offset) FILTER (ts >= TIMESTAMP '2024-01-15') AS at_or_after, max(log_offset) + 1 AS latest FROM log GROUP BY 1")
 def offset_for_time(spark, d):
     return lookup.offset_for_time(the_log(spark, d), "ts", F.lit("2024-01-15").cast(NTZ))
