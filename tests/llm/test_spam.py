@@ -2,7 +2,7 @@ import time
 
 import pytest
 
-from tideline.llm.spam import figures, judged_parts, parts, promotional_documents, undisguise
+from tideline.llm.spam import Line, Usual, could_be_marked, figures, judged_parts, learn, marked_lines, part_figures, parts, promotional_documents, read_line, undisguise
 
 D = "doc_id bigint, text string, lang string"
 
@@ -42,56 +42,98 @@ WORK = {
 }
 
 
-@pytest.mark.parametrize("kind", SPAM)
-def test_spam_is_found(spark, kind):
-    lines = SPAM[kind]
-    rows = [(1, doc(added=lines), "en"), (2, doc(added=[*lines, "x = 1"]), None), (3, "\n".join(lines), "en"), (4, doc(added=["ok = 1"], removed=lines), "en"), (5, doc(added=[x + " " for x in lines], removed=lines), "en")]
-    got = {r.doc_id for r in promotional_documents(spark.createDataFrame(rows, D)).collect()}
-    assert got == {1, 2, 3}
+#: Stuffed pages in languages no list knows, and in English with words of its own: subject, words put around it.
+STUFFED = {
+    "nl": ("goedkope matras", "kopen aanbieding korting bestellen voordelig uitverkoop"),
+    "pl": ("opony zimowe", "tanio kup promocja sklep okazja rabat"),
+    "ru": ("зимние шины", "купить дешево скидка заказать недорого распродажа"),
+    "tr": ("kış lastiği", "ucuz satın indirim kampanya sipariş fırsat"),
+    "sv": ("billiga däck", "köp rabatt erbjudande beställ rea fynda"),
+    "en": ("mattress bargains", "affordable inexpensive deals markdowns savings lowcost"),
+}
+
+
+@pytest.fixture(scope="module")
+def commits(spark):
+    """Ordinary commits (and a few pages) to learn from; their ids are above a million here."""
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000000 AS doc_id", "text", "lang")
+
+
+def found(spark, commits, rows):
+    """Which of the rows are found among the commits."""
+    return {r.doc_id for r in promotional_documents(commits.unionByName(spark.createDataFrame(rows, D))).where("doc_id < 1000000").collect()}
+
+
+def test_spam_is_found(spark, commits):
+    rows, want = [], set()
+    for k, lines in enumerate(SPAM.values()):
+        i = 10 * k
+        rows += [(i + 1, doc(added=lines), "en"), (i + 2, doc(added=[*lines, "x = 1"]), None), (i + 3, "\n".join(lines), "en"), (i + 4, doc(added=["ok = 1"], removed=lines), "en"), (i + 5, doc(added=[x + " " for x in lines], removed=lines), "en")]
+        want |= {i + 1, i + 2, i + 3}
+    assert found(spark, commits, rows) == want
+
 
+def test_stuffed_pages_in_any_language(spark, commits):
+    rows = []
+    for k, (subject, around) in enumerate(STUFFED.values()):
+        words = around.split()
+        several = [f"{a} {subject} {b} {subject}" for a, b in zip(words, words[1:], strict=False)]
+        # several lines; the same line six times; one long line; with a little work; as a page of its own
+        for j, text in enumerate([doc(added=several), doc(added=[f"{subject} {around}"] * 6), doc(" ".join(several * 2)), doc(added=[*several, "x = 1"]), "\n".join(several)]):
+            rows.append((10 * k + j, text, "en"))
+    got = found(spark, commits, rows)
+    assert len(got) >= 0.9 * len(rows), sorted({r[0] for r in rows} - got)
 
-def test_work_is_not(spark):
+
+def test_very_short_pages(spark, commits):
+    pages = ["buy cheap mattress sale now", "cheap replica watches best deals online", "goedkope matras kopen korting", "best essay help 24h cheap order", "ucuz lastik indirim kampanya", "tanie opony zimowe sklep okazja", "free casino bonus spins today", "order pills without prescription overnight", "hot singles meet tonight", "lose weight fast miracle tea"]
+    got = found(spark, commits, [(i, p, "en") for i, p in enumerate(pages)])
+    assert len(got) >= 9
+    # a subject line of a commit isn't such a page, nor is a short text in a language nothing is known of
+    assert not found(spark, commits, [(1, doc("Expose coupon price under load"), "en"), (2, "popraw licznik ramek dziennika", "pl")])
+
+
+def test_work_is_not(spark, commits):
     rows = [(i, doc(added=lines), "en") for i, lines in enumerate(WORK.values())]
     rows += [(100, doc("review sale coupon in voucher"), "en"), (101, "Nightly snapshot 2024-05-01", "de"), (102, None, "en"), (103, "", None), (104, " \n\t", "en"), (None, doc(added=SPAM["keywords"]), "en")]
     rows += [(105, doc("Fix\n\n    [1] https://shop1.example/a\n    [2] https://shop2.example/b\n    [3] https://deal3.example/c"), "en")]
-    assert promotional_documents(spark.createDataFrame(rows, D)).collect() == []
+    prose = ["Zmieniono kolejność odczytu dziennika przed zapisem", "Poprawiono błąd licznika ramek po ponownym uruchomieniu węzła", "Usunięto zbędne kopiowanie bufora oraz dodano testy granic segmentu", "Nowy indeks skraca wyszukiwanie przesunięć"]
+    rows += [(106, doc(added=prose), "pl"), (107, doc(added=[f"    opony_zimowe(opony_zimowe[{i}], opony_zimowe)" for i in range(12)]), "pl")]
+    licence = ["// Licensed under the project licence, see LICENCE in the root directory.", "// Do not remove this notice."]
+    rows += [(108, doc(added=licence * 15), "en"), (109, doc(added=[f"word{i % 40}" for i in range(90)]), "en")]
+    assert found(spark, commits, rows) == set()
 
 
 def test_empty_repeated_and_clashing(spark):
     assert promotional_documents(spark.createDataFrame([], D)).count() == 0
-    df = spark.createDataFrame([(1, doc(added=SPAM["keywords"]), "en")] * 3, D).selectExpr("*", "1 AS part", "2 AS words", "3 AS usual_marked", "4 AS promotional")
+    df = spark.createDataFrame([(1, doc(added=SPAM["keywords"]), "en")] * 3, D).selectExpr("*", "1 AS part", "2 AS words", "3 AS kind", "4 AS promotional")
     assert [r.doc_id for r in promotional_documents(df).collect()] == [1]
 
 
-@pytest.mark.parametrize(
-    "line",
-    [
-        "see also waterproof wizard red viewer slim fit designer handmade finder eco recorder organic converter steel finder matte client leather vault",
-        "wa7erpr00f wizard r3d viewer m4tte designer 5teel finder c0tt0n recorder l3ather vault 3co client",
-        "set: waterproof wizard - red viewer - matte designer - steel finder - cotton recorder - leather vault",
-        "set: waterproof wizard – red viewer – matte designer – steel finder – cotton recorder – leather vault",
-        "waterproof wizard  red viewer  matte designer  steel finder  cotton recorder  leather vault",
-        "cheap garden hose _garden hose_ garden hose sale",
-    ],
-)
-def test_every_line_is_judged(line):
-    assert figures([line])["spam_chars"] == len(line)
-
-
-def test_ratios_mark_without_word_lists(spark):
-    towns = "warszawa kraków gdańsk poznań lublin opole toruń kielce".split()
-    stuffed = [f"opony zimowe {x} opony zimowe tanio" for x in towns]
-    prose = ["Zmieniono kolejność odczytu dziennika przed zapisem", "Poprawiono błąd licznika ramek po ponownym uruchomieniu węzła", "Usunięto zbędne kopiowanie bufora oraz dodano testy granic segmentu", "Nowy indeks skraca wyszukiwanie przesunięć"]
-    code = [f"    opony_zimowe(opony_zimowe[{i}], opony_zimowe)" for i in range(12)]
-    rows = [(1, doc(added=stuffed), "pl"), (2, doc(added=prose), "pl"), (3, doc(added=code), "pl")]
-    assert [r.doc_id for r in promotional_documents(spark.createDataFrame(rows, D)).collect()] == [1]
+def test_words_are_learned_from_the_messages(spark, commits):
+    usual = learn(part_figures(commits))
+    assert {"the", "in", "for"} <= usual.function and {"merge", "reader"} <= usual.common and not {"buy", "cheap", "mattress", "boho"} & usual.common
+    assert 0.4 < usual.of["en"]["function"] < 0.8 and usual.terse("en") > usual.terse("und") * 0.9 and set(usual.of["en"]) == {"function", "top_word", "top_gram", "duplicates", "links", "separators"}
+    judged = {r.part for r in judged_parts(commits).select("part").distinct().collect()}
+    assert {"message", "added"} <= judged
+
+
+def test_what_is_left_out_early_is_never_marked(spark, commits):
+    usual = learn(part_figures(commits))
+    for r in commits.where("doc_id < 1000400").collect():
+        message, added, laid_out = parts(r.text or "")
+        for name, raw in (("message" if laid_out else "page", message), ("added", added)):
+            lines = [read_line(x) for x in raw]
+            assert could_be_marked(lines) or not any(marked_lines(lines, r.lang or "und", name, usual))
 
 
-def test_ratios_are_made_of_every_part(spark):
-    plain = figures(["Read the journal before the journal is cut", "Read the journal before the journal is cut"])
-    assert plain["spam_chars"] == 0 and plain["top_word"] > 0 and plain["top_gram"] > 0 and plain["duplicate_lines"] == 0.5
-    rows = [(i, doc(f"Move reader {i} behind its own lock"), "en") for i in range(5)]
-    assert all(r.usual_top_word > 0 and r.usual_top_gram > 0 for r in judged_parts(spark.createDataFrame(rows, D)).where("part = 'message'").collect())
+def test_figures():
+    f = figures([read_line(x) for x in ["Read the journal before the journal is cut"] * 2 + ["x_y = 1"]])
+    assert f["duplicates"] == 0.5 and f["top_word"] == 0.25 and f["top_gram"] == 0.5 and f["links"] == 0
+    line = read_line('<a href="http://a.example/' + "x" * 3000 + '">' + "cheap tea " * 300 + "</a>")
+    assert line.links == 1 and line.anchored and line.host == "a.example" and len(line.words) == 600
+    assert Line.unpacked(line.packed()) == line
+    assert marked_lines([read_line("cheap garden hose garden hose garden hose")], "en", "message", Usual()) == ["stuffed"]
 
 
 def test_undisguise():
@@ -99,14 +141,15 @@ def test_undisguise():
 
 
 def test_parts():
-    m, a = parts(doc("One\n\n    Signed-off-by: A <a@b.example>", ["x", "++y", "kept"], ["kept "]).replace("\n", "\r\n"))
-    assert (m, a) == (["One"], ["x", "++y"])
+    m, a, laid_out = parts(doc("One\n\n    Signed-off-by: A <a@b.example>", ["x", "++y", "kept"], ["kept "]).replace("\n", "\r\n"))
+    assert (m, a, laid_out) == (["One"], ["x", "++y"], True) and parts("just a page") == (["just a page"], [], False)
 
 
-@pytest.mark.parametrize("unit", ["a", " ", "a-", "a.b.", "<a ", "[url=x]", "1a", "\t", "#abcde ", "buy cheap ", "-", "x,", "http://", "(x+", "[x](y) ", "é.", '"content="', "labels = ", "2024-"])
+@pytest.mark.parametrize("unit", ["a", " ", "a-", "a.b.", "<a ", "<a href=x ", "<a href=x>", "[url=x]", "1a", "\t", "#abcde ", "buy cheap ", "-", "x,", "http://", "(x+", "[x](y) ", "[x](y", "é.", '"content="', "labels = ", "2024-"])
 def test_very_long_lines_take_linear_time(unit):
     text = unit * (100_000 // len(unit))
     began = time.time()
-    for lines in parts(doc(text[:50_000], [text])):
-        figures(lines)
+    for raw in parts(doc(text[:50_000], [text]))[:2]:
+        lines = [read_line(x) for x in raw]
+        marked_lines(lines, "en", "added", Usual())
     assert time.time() - began < 8
