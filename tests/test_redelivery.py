@@ -77,6 +77,30 @@ def test_kept_rows_are_whole(spark):
     assert Counter(map(tuple, first_copies(spark.createDataFrame(rows, SCHEMA)).collect())) == Counter([rows[0], rows[2]])
 
 
+def test_a_row_stored_twice_is_kept_once(spark):
+    rows = [(1, "q", "a", None, 1)] * 3 + [(2, "q", "b", None, 4), (2, "q", "b", None, 3), (None, "q", "c", None, 1), (None, "q", "c", None, 1)]
+    assert Counter(map(tuple, first_copies(spark.createDataFrame(rows, SCHEMA)).collect())) == Counter([rows[0], rows[4], rows[5], rows[5]])
+
+
+def test_any_integers_and_other_orders(spark):
+    big = 2**63 - 1
+    for a, b in ((-5, 3), (1 << 62, -(1 << 62)), (big, -big - 1)):
+        rows = [(-big - 1, "q", "a", None, max(a, b)), (big, "q", "a", None, min(a, b)), (7, "q", "a", None, None), (-3, "q", "a", None, min(a, b))]
+        assert found(spark, rows) == [-big - 1, 7, big]
+    text = spark.createDataFrame([(1, "q", "a", None, "b"), (2, "q", "a", None, "a"), (3, "q", "a", None, None)], SCHEMA.replace("sequence_number bigint", "sequence_number string"))
+    assert sorted(r.delivery_id for r in surplus_copies(text).collect()) == [1, 3]
+
+
+def test_the_folds_are_hash_aggregates(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.operators.redelivery import _rank
+
+    df = spark.createDataFrame([(1, "q", "a", "b", 1)], SCHEMA)
+    plan = df.select("delivery_id", "message_id", _rank(df, "delivery_id", ["sequence_number"]).alias("rank")).groupBy("message_id").agg(F.min_by("delivery_id", "rank"), F.min("rank"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["q", "p", None]), st.sampled_from(["a", "A ", "b", "c", None, " "]), st.sampled_from(["x", "y", " X", "z", None]), st.one_of(st.none(), st.integers(0, 5))), max_size=25))
 def test_like_brute_force(spark, rows):

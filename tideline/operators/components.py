@@ -11,11 +11,11 @@ from ..session import drop_path, settle
 def star_components(links: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
     """(node, root): every node that isn't the least of its component, with that least node.
 
-    ``links`` has columns ``u`` and ``v`` of one orderable type (here a rank struct); direction doesn't matter. Each round
+    ``links`` has columns ``u`` and ``v`` of one orderable type (here a rank); direction doesn't matter. Each round
     contracts large and small stars, so a chain of n links takes O(log n) rounds. Every round is a grouped minimum (combined
     map-side) and a join on the node, which adaptive execution splits where one node has very many links; no component is
     ever gathered in one place. Each round is written to the shared folder, so lost executors cost only the current round.
-    Empty input gives an empty result. Returns the table and its path, for the caller to drop.
+    Empty input gives an empty result. Returns the table and its path.
     """
     spark = links.sparkSession
     flat = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -40,31 +40,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, whose executors are this very process, may do without one; it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not at:
         # a session that already checkpoints somewhere keeps its folder
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tideline-")
         atexit.register(shutil.rmtree, at[7:], True)
-        spark.sparkContext.setCheckpointDir(at)
+        sc.setCheckpointDir(at)
         return at
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(at)
     return at
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tideline/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; dropped by ``release``, at the latest when the session's JVM ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/tideline/{label}-{uuid.uuid4().hex}"
+    path, fs = _path(spark, at)
+    fs.deleteOnExit(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return at
+
 
+def release(spark: SparkSession) -> int:
+    """Drop every intermediate table this application has written so far; to be called once the results made of them are written. Returns how many there were."""
+    at = _made.pop(spark.sparkContext.applicationId, [])
+    for a in at:
+        drop_path(spark, a)
+    return len(at)
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, at: str) -> None:
+    path, fs = _path(spark, at)
+    fs.delete(path, True)
+    fs.cancelDeleteOnExit(path)
 
 
 def local_path(uri: str) -> str | None:
@@ -81,14 +104,16 @@ def settle(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(at), at
 
 
-
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many tasks as there are cores, for CPU-heavy maps over a few small files.
 
-    Only a plain scan with fewer splits than cores is repartitioned; anything larger, or already shuffled, stays as it is.
+    Only a plain scan with fewer splits than cores is repartitioned; anything larger, or made of more than scans, projections and filters, stays as it is.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(k in plan for k in ("Join", "Aggregate", "Window", "Repartition", "Sort", "Union", "Generate")):
-        return df
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation", "LogicalRelationWithTable"):
+            return df
+        todo += [node.children().apply(i) for i in range(node.children().size())]
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
