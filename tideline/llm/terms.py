@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import drop_path, scratch, shared_dir
 
 #: Hash bits per level, and the bytes (of compressed spill files) beyond which a partition is split further.
-RADIX_BITS, MOST_BYTES, MOST_LEVELS = 4, 64 << 20, 12
+RADIX_BITS, MOST_BYTES = 4, 64 << 20
 MEMORY = "256MB"
 RARE_BELOW, COMMON_OVER = 5, 0.4
 
@@ -130,82 +131,106 @@ def record_terms(df: DataFrame, record_id: str, payload: str) -> DataFrame:
     return parsed.where("terms IS NOT NULL").groupBy("id").agg(F.min(F.struct("terms", "ns")).alias("t")).select("id", "t.terms", "t.ns")
 
 
-def _spill(partial: DataFrame, at: str, level: int) -> None:
-    radix = F.shiftright(F.col("h"), 64 - RADIX_BITS * (level + 1)).bitwiseAND(F.lit((1 << RADIX_BITS) - 1).cast("bigint")).cast("int")
-    partial.withColumn("radix", radix).write.partitionBy("radix").parquet(at)
+def _bits(level: int) -> int:
+    return RADIX_BITS * (level + 1)
 
 
-def _partitions(spark, at: str) -> list[tuple[str, int, list[str]]]:
-    """(path, bytes, files) of every radix partition under a spill."""
+def _spill(rows: DataFrame, at: str, level: int) -> None:
+    """Write rows (radix, term, occurrences, records) to one folder per radix, by so many writers each as there are shuffle partitions for it, whatever the number of tasks before."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writer = F.pmod(F.xxhash64(F.lit("writer"), "term"), F.lit(max(1, parts >> RADIX_BITS))).cast("int")
+    rows.withColumn("writer", writer).repartition(parts, "radix", "writer").drop("writer").write.partitionBy("radix").parquet(at)
+
+
+def _folders(spark, at: str) -> list[tuple[str, int]]:
+    """(path, bytes) of every radix partition under a spill."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(at)
     fs = root.getFileSystem(conf)
-    out = []
-    for d in fs.listStatus(root):
-        if d.isDirectory() and d.getPath().getName().startswith("radix="):
-            files = [(f.getPath().toString(), f.getLen()) for f in fs.listStatus(d.getPath()) if f.getPath().getName().endswith(".parquet")]
-            out.append((d.getPath().toString(), sum(n for _, n in files), [p for p, _ in files]))
-    return out
+    found = [d.getPath() for d in fs.listStatus(root) if d.isDirectory() and d.getPath().getName().startswith("radix=")]
+    return [(d.toString(), fs.getContentSummary(d).getLength()) for d in found]
 
 
 def radix_aggregate(partial: DataFrame, most_bytes: int = MOST_BYTES, memory: str = MEMORY) -> DataFrame:
-    """(term, occurrences, records) from partial (term, occurrences, records), whatever the number of distinct terms.
+    """(term, occurrences, records) from partial (term, occurrences, records), whatever the number of distinct terms. A null term is a term.
 
-    Nothing but file sizes reaches the driver. A partition that holds one hot term alone can't be split by its hash; it has at most
-    one row per task of the spill, and DuckDB sums it while reading. Spilled files are dropped once aggregated.
+    Rows are spilled by the first RADIX_BITS bits of their term's hash; all partitions over ``most_bytes`` are split by the next bits, in one job a level, and
+    so on until all bits are used. Each task combines its rows before they are spilled again, so a hot term has one row a task. A partition that can't
+    be split further has terms of one hash; like any other it is summed out of core by one task with DuckDB. The driver gets the size of each folder;
+    files are listed by the tasks that read them. Spilled folders are dropped once aggregated.
     """
     spark = partial.sparkSession
-    spill_to = None
     shared = shared_dir(spark)
     posix = re.sub(r"^file:/+", "/", shared) if re.match(r"^(file:|/)", shared) else None
-    if posix:
-        spill_to = f"{posix.rstrip('/')}/tideline"
+    # DuckDB spills to the shared folder; where that is no POSIX path it doesn't spill but sums in several passes
+    spill_to = f"{posix.rstrip('/')}/tideline" if posix else None
 
     def aggregate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-        import pyarrow.dataset as ds
-        import pyarrow.fs as pafs
-
         for b in batches:
-            for files in b.column(0).to_pylist():
-                con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
-                own = None
-                if spill_to:
-                    own = f"{spill_to}/duck-{uuid.uuid4().hex}"
-                    os.makedirs(own, exist_ok=True)
-                    con.execute(f"SET temp_directory = '{own}'")
-                uri = files[0] if "://" in files[0] else re.sub(r"^file:/+", "file:///", files[0])
-                fs, _ = pafs.FileSystem.from_uri(uri)
-                paths = [pafs.FileSystem.from_uri(f if "://" in f else re.sub(r"^file:/+", "file:///", f))[1] for f in files]
-                spilled = ds.dataset(paths, filesystem=fs, format="parquet").scanner(columns=["term", "occurrences", "records"], batch_size=8192, use_threads=False).to_reader()
-                con.register("spilled", spilled)
-                yield from con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM spilled GROUP BY term").to_arrow_reader(8192)
-                con.close()
-                if own:
-                    import shutil
-
-                    shutil.rmtree(own, ignore_errors=True)
-
-    ready: list[list[str]] = []
-    todo, used = [(partial.withColumn("h", F.xxhash64("term")), 0)], []
-    while todo:
-        rows, level = todo.pop()
+            for folder in b.column(0).to_pylist():
+                yield from sum_folder(folder, memory, spill_to)
+
+    combined = partial.select("term", "occurrences", "records")
+    level, at = 0, scratch(spark, "radix0")
+    _spill(combined.withColumn("radix", F.shiftrightunsigned(F.xxhash64("term"), 64 - _bits(0))), at, 0)
+    used, ready = [at], []
+    while True:
+        folders = _folders(spark, at)
+        large = [p for p, n in folders if n > most_bytes] if _bits(level) < 64 else []
+        ready += [p for p, _ in folders if p not in set(large)]
+        if not large:
+            break
+        level += 1
+        rows = spark.read.schema("term string, occurrences bigint, records bigint").parquet(*large)
         at = scratch(spark, f"radix{level}")
-        _spill(rows, at, level)
         used.append(at)
-        for path, size, files in _partitions(spark, at):
-            if size > most_bytes and level + 1 < MOST_LEVELS and len(files) > 1:
-                todo.append((spark.read.schema("term string, occurrences bigint, records bigint, h bigint").parquet(path), level + 1))
-            elif files:
-                ready.append(files)
-    tasks = spark.createDataFrame([(f,) for f in ready], "files array<string>").repartition(max(1, len(ready))) if ready else spark.createDataFrame([], "files array<string>")
+        _spill(_combine_counts(rows).withColumn("radix", F.shiftrightunsigned(F.xxhash64("term"), 64 - _bits(level))), at, level)
+    tasks = spark.createDataFrame([(p,) for p in ready], "folder string")
+    tasks = tasks.repartition(max(1, min(len(ready), 100_000)), "folder") if ready else tasks
     out = scratch(spark, "terms")
     tasks.mapInArrow(aggregate, "term string, occurrences bigint, records bigint").write.parquet(out)
-    for at in used:
-        drop_path(spark, at)
+    for a in used:
+        drop_path(spark, a)
     return spark.read.schema("term string, occurrences bigint, records bigint").parquet(out)
 
 
+def sum_folder(folder: str, memory: str = MEMORY, spill_to: str | None = None) -> Iterator[pa.RecordBatch]:
+    """(term, occurrences, records) of one spilled folder, summed with DuckDB under a memory limit.
+
+    With ``spill_to`` DuckDB spills there. Without, what doesn't fit is read again in two passes, each over the terms of another remainder of the hash, and so on.
+    """
+    import duckdb
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else re.sub(r"^file:/+", "file:///", folder))
+    dataset = ds.dataset(path, filesystem=fs, format="parquet", partitioning=None)
+    own = f"{spill_to}/duck-{uuid.uuid4().hex}" if spill_to else ""
+    if own:
+        os.makedirs(own, exist_ok=True)
+    todo = [(1, 0)]  # (passes, remainder)
+    try:
+        while todo:
+            passes, mine = todo.pop()
+            con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": own})
+            try:
+                con.register("spilled", dataset.scanner(columns=["term", "occurrences", "records"], batch_size=8192, use_threads=False).to_reader())
+                some = f"WHERE hash(term) % {passes} = {mine}" if passes > 1 else ""
+                got = con.sql(f"SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM spilled {some} GROUP BY term")
+                # what can't spill is held until the pass has fitted, so that nothing is given twice
+                yield from got.to_arrow_reader(8192) if own else got.to_arrow_table().to_batches(8192)
+            except duckdb.OutOfMemoryException:
+                if own or passes >= 1 << 20:
+                    raise
+                todo += [(2 * passes, mine), (2 * passes, mine + passes)]
+            finally:
+                con.close()
+    finally:
+        if own:
+            shutil.rmtree(own, ignore_errors=True)
+
+
 def term_frequencies(
     payloads: DataFrame, record_id: str = "payload_id", payload: str = "payload", rare_below: int = RARE_BELOW, common_over: float = COMMON_OVER, most_bytes: int = MOST_BYTES
 ) -> DataFrame:
@@ -219,41 +244,66 @@ def term_frequencies(
     names that differ only in case or form are different; a lone surrogate counts as a question mark; a member named twice in an
     object occurs twice; an empty table gives an empty result; other columns are never read.
     """
-    spark = payloads.sparkSession
-    at = scratch(spark, "records")
-    record_terms(payloads, record_id, payload).select("terms", "ns").write.parquet(at)
-    rows = spark.read.schema("terms array<string>, ns array<bigint>").parquet(at)
-    n = rows.count()
-    partial = rows.select(F.explode(F.arrays_zip("terms", "ns")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.ns").alias("n"))
-    counts = radix_aggregate(_combine(partial), most_bytes)
-    drop_path(spark, at)
+    counts = radix_aggregate(_count_terms(record_terms(payloads, record_id, payload)), most_bytes)
+    n = counts.where("term IS NULL").agg(F.sum("records")).scalar()
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_over * n, "common")
-    return counts.select(F.col("term").alias("field_name"), F.col("occurrences").alias("n_occurrences"), F.col("records").alias("n_records"), mark.alias("mark"))
+    return counts.where("term IS NOT NULL").select(F.col("term").alias("field_name"), F.col("occurrences").alias("n_occurrences"), F.col("records").alias("n_records"), mark.alias("mark"))
 
 
-def _combine(rows: DataFrame) -> DataFrame:
-    """Sum (term, n) inside each task, so that a spill has at most one row per task and term of those a bounded table holds."""
-    most = 200_000
+_COUNTS = "term string, occurrences bigint, records bigint"
+#: Entries a task holds before it passes them on.
+HELD = 200_000
 
-    def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occ: Counter = Counter()
-        rec: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            keys = list(occ)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([occ[k] for k in keys], pa.int64()), pa.array([rec[k] for k in keys], pa.int64())], names=["term", "occurrences", "records"])
-            occ.clear()
-            rec.clear()
-            return out
+class _Held:
+    """Counts per term inside one task."""
+
+    def __init__(self) -> None:
+        self.occurrences: Counter = Counter()
+        self.records: Counter = Counter()
+
+    def take(self) -> pa.RecordBatch:
+        keys = list(self.occurrences)
+        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([self.occurrences[k] for k in keys], pa.int64()), pa.array([self.records[k] for k in keys], pa.int64())], names=["term", "occurrences", "records"])
+        self.occurrences.clear()
+        self.records.clear()
+        return out
 
+
+def _count_terms(records: DataFrame) -> DataFrame:
+    """(term, occurrences, records) of (terms, ns), combined inside each task. The null term counts the records, so that their number comes with the terms, without a pass of its own."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for b in batches:
-            g = pa.table([b.column(0), b.column(1)], names=["term", "n"]).group_by("term").aggregate([("n", "sum"), ("n", "count")])
+            terms, ns = b.column(0), b.column(1)
+            g = pa.table([terms.flatten(), ns.flatten()], names=["term", "n"]).group_by("term").aggregate([("n", "sum"), ("n", "count")])
             for k, s, c in zip(g["term"].to_pylist(), g["n_sum"].to_pylist(), g["n_count"].to_pylist(), strict=True):
-                occ[k] += s
-                rec[k] += c
-            if len(occ) > most:
-                yield flush()
-        if occ:
-            yield flush()
-
-    return rows.mapInArrow(combine, "term string, occurrences bigint, records bigint")
+                held.occurrences[k] += s
+                held.records[k] += c
+            held.occurrences[None] += b.num_rows
+            held.records[None] += b.num_rows
+            if len(held.occurrences) > HELD:
+                yield held.take()
+        if held.occurrences:
+            yield held.take()
+
+    return records.select("terms", "ns").mapInArrow(count, _COUNTS)
+
+
+def _combine_counts(rows: DataFrame) -> DataFrame:
+    """Sum (term, occurrences, records) inside each task."""
+
+    def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for b in batches:
+            g = pa.Table.from_batches([b]).group_by("term").aggregate([("occurrences", "sum"), ("records", "sum")])
+            for k, o, r in zip(g["term"].to_pylist(), g["occurrences_sum"].to_pylist(), g["records_sum"].to_pylist(), strict=True):
+                held.occurrences[k] += o
+                held.records[k] += r
+            if len(held.occurrences) > HELD:
+                yield held.take()
+        if held.occurrences:
+            yield held.take()
+
+    return rows.select("term", "occurrences", "records").mapInArrow(combine, _COUNTS)
