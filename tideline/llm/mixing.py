@@ -1,66 +1,50 @@
-"""Mixing sources to target weights: hierarchical budgets, then a token-prefix of seeded epochs from every leaf."""
+"""Mixing sources to target weights: hierarchical budgets, then a token-prefix of seeded epochs from every leaf.
+
+Everything is relational. Budgets are shared out level by level by windows over the children of a node, and the cut of each leaf's last epoch is found by
+sums over hash bits, so that neither leaves nor documents are gathered on the driver.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import folded
 from ..session import settle, spread
 from .tokens import VOCABULARY, token_count
 
-#: A leaf's epoch is cut by so many bits of the order hash at a time at most, until at most so many documents share the cut's
-#: bits; of those so many at most are taken beyond the prefix.
-CUT_BITS, CUT_ROWS, MORE = 10, 2_000, 256
-MOST_LEAVES = 5_000
-
-
-@dataclass
-class Node:
-    """A node of the domain - source - language tree. Leaves have ``capacity``, the tokens they can give at most."""
+#: The order hash has 63 bits; a leaf's documents are narrowed down by so many at a time, twice, and those that are left are looked at one by one.
+HASH_BITS, CUT_BITS = 63, 12
+OTHER = "other"
 
-    name: str
-    weight: float
-    capacity: float = 0.0
-    children: list[Node] = field(default_factory=list)
-    budget: float = 0.0
 
-    def most(self) -> float:
-        return sum(c.most() for c in self.children) if self.children else self.capacity
+def share_out(children: DataFrame, parent: Sequence[str], within: str = "parent_budget") -> DataFrame:
+    """``children`` with ``budget``: their parent's budget, by weight, and what a child can't take (its capacity) to its siblings.
 
-
-def share_out(node: Node, budget: float) -> None:
-    """Give the node its budget and propagate it by weight; what a child can't take goes to its siblings.
-
-    As a parent's capacity is that of its children, a shortage is first met among siblings, and only what all of them together
-    lack reaches the ancestors. Nothing is given beyond a leaf's capacity.
+    children: the parent's columns, ``within`` (the parent's budget), weight > 0 and capacity. As a parent's capacity is that of its children, a shortage
+    is met among siblings first, and only what all of them together lack reaches the ancestors. In order of capacity by weight those that are full come
+    first: a child is full if its capacity lies below its share of what those before it leave.
     """
-    node.budget = min(budget, node.most())
-    open_, rest = list(node.children), node.budget
-    while open_:
-        total = sum(c.weight for c in open_)
-        if total <= 0:  # only weightless children are left: they share by capacity
-            total = sum(c.most() for c in open_) or 1.0
-            shares = {id(c): c.most() / total for c in open_}
-        else:
-            shares = {id(c): c.weight / total for c in open_}
-        full = [c for c in open_ if shares[id(c)] * rest >= c.most()]
-        if not full:
-            for c in open_:
-                share_out(c, shares[id(c)] * rest)
-            return
-        for c in full:
-            share_out(c, c.most())
-            rest -= c.budget
-        open_ = [c for c in open_ if c not in full]
-        if rest <= 1e-9:
-            for c in open_:
-                share_out(c, 0.0)
-            return
+    all_ = Window.partitionBy(*parent)
+    before = all_.orderBy(F.col("capacity") / F.col("weight"), "weight").rowsBetween(Window.unboundedPreceding, -1)
+    taken, weights = F.coalesce(F.sum("capacity").over(before), F.lit(0.0)), F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    out = children.withColumn("goal_", F.least(F.col(within), F.sum("capacity").over(all_)))
+    out = out.withColumn("full_", F.col("capacity") * weights <= F.col("weight") * (F.col("goal_") - taken) * (1 + 1e-12))
+    rest = F.col("goal_") - F.coalesce(F.sum(F.when(F.col("full_"), F.col("capacity"))).over(all_), F.lit(0.0))
+    open_ = F.sum(F.when(~F.col("full_"), F.col("weight"))).over(all_)
+    return out.withColumn("budget", F.when(F.col("full_"), F.col("capacity")).otherwise(F.greatest(F.col("weight") * rest / open_, F.lit(0.0)))).drop("goal_", "full_")
+
+
+def budgets(leaves: DataFrame, total: Column) -> DataFrame:
+    """leaves (domain, lang, source, weight, capacity) with the budget of each, shared out from the total down the domain - language - source tree."""
+    sums = (F.sum("weight").alias("weight"), F.sum("capacity").alias("capacity"))
+    of = leaves.where("weight > 0")
+    langs = of.groupBy("domain", "lang").agg(*sums)
+    domains = share_out(langs.groupBy("domain").agg(*sums).withColumn("parent_budget", total.cast("double")).withColumn("root_", F.lit(0)), ["root_"])
+    langs = share_out(langs.join(domains.select("domain", F.col("budget").alias("parent_budget")), "domain"), ["domain"])
+    return share_out(of.join(langs.select("domain", "lang", F.col("budget").alias("parent_budget")), ["domain", "lang"]), ["domain", "lang"]).drop("parent_budget")
 
 
 def order_hash(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -73,7 +57,7 @@ def mix(
     targets: DataFrame,
     total_tokens: int | None = None,
     seed: int = 17,
-    domain_of: Callable[[str], str] | None = None,
+    domains: DataFrame | None = None,
     language_weights: Mapping[str, float] | None = None,
     vocabulary: str = VOCABULARY,
 ) -> tuple[DataFrame, DataFrame]:
@@ -83,131 +67,90 @@ def mix(
     the whole epochs of its leaf and, if it lies in the prefix, in the last one. shares: one row per named source of targets or documents, with
     target_share, budget_tokens, drawn_tokens, actual_share, n_documents, n_draws and most_uses.
 
-    The tree is domain - source - language; a source's weight is its target_share, a language's the tokens it has (or
-    ``language_weights``), a domain's the sum of its sources (all in one unless ``domain_of`` says otherwise). ``total_tokens``
-    defaults to the tokens of all documents whose source is in targets. A leaf can give its tokens max_repeats times.
+    The tree is domain - language - source; a leaf is a source's texts in one language. Its weight is the source's target_share, divided among the
+    source's languages by the tokens it has in them (or by ``language_weights``); nodes weigh what their leaves do. ``domains`` has (source, domain); a
+    source it lacks is in the domain 'other'. ``total_tokens`` defaults to the tokens of all documents whose source is in targets. A leaf can give
+    its tokens max_repeats times. Only documents of sources with a target are sized, and only their leaves are budgeted.
 
-    Each leaf's epochs run in the order of a seeded hash, so they need no sort: the cut of the last epoch is found by sums over
-    hash bits, at most ten bits a round, and only the few documents around it are looked at one by one. No leaf, whatever its share
-    of the rows, is gathered in one task. The driver gets sums per leaf and hash bits, at most 1,024 a leaf a round.
+    Each leaf's epochs run in the order of a seeded hash, so they need no sort. The last one ends before or after the document in which the budget ends,
+    whichever is nearer; so a leaf misses its budget by at most half that document. No leaf, whatever its share of the rows, is gathered in one task.
 
     Defined cases: source names are compared without case and outer blanks; a null or blank source is no source; a null or
     blank lang is 'und'; a null doc_id is dropped; rows of one doc_id count once; a null or negative share counts as 0, a
     null max_repeats as 1; of a source named twice the shares add up and the lower max_repeats holds; null or empty texts have
     0 tokens and are drawn if their hash falls in the prefix. Empty tables give empty results. Other columns are never read.
     """
-    spark = documents.sparkSession
-    named = documents.where("doc_id IS NOT NULL").select("doc_id", folded(F.col("source")).alias("source"), F.coalesce(folded(F.col("lang")), F.lit("und")).alias("lang"), F.col("text"))
     wanted = targets.select(folded(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("reps"))
-    goal = {r.source: (float(r.share), int(r.reps)) for r in wanted.where("source IS NOT NULL").groupBy("source").agg(F.sum("share").alias("share"), F.min("reps").alias("reps")).limit(MOST_LEAVES + 1).collect()}
-    sized = spread(named.where(F.col("source").isNotNull())).select("doc_id", "source", "lang", token_count(F.col("text"), vocabulary).alias("tokens"))
+    goal = wanted.where("source IS NOT NULL").groupBy("source").agg(F.sum("share").alias("share"), F.min("reps").cast("int").alias("reps"))
+    if domains is None:
+        goal = goal.withColumn("domain", F.lit(OTHER))
+    else:
+        of = domains.select(folded(F.col("source")).alias("source"), "domain").where("source IS NOT NULL").groupBy("source").agg(F.min("domain").alias("domain"))
+        goal = goal.join(of, "source", "left").withColumn("domain", F.coalesce("domain", F.lit(OTHER)))
+    goal, _ = settle(goal.coalesce(1), "goal")
+    named = documents.where(F.col("doc_id").isNotNull() & folded(F.col("source")).isNotNull()).select("doc_id", folded(F.col("source")).alias("source"), F.coalesce(folded(F.col("lang")), F.lit("und")).alias("lang"), F.col("text"))
+    sized = spread(named).join(goal.select("source"), "source", "left_semi").select("doc_id", "source", "lang", token_count(F.col("text"), vocabulary).alias("tokens"))
     sized, _ = settle(sized.groupBy("doc_id").agg(F.min(F.struct("source", "lang", "tokens")).alias("d")).select("doc_id", "d.*"), "mix")
 
-    leaves = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MOST_LEAVES + 1).collect()
-    if max(len(leaves), len(goal)) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    have = {(r.source, r.lang): int(r.tokens) for r in leaves if r.source in goal}
-    root = Node("", 1.0)
-    domains: dict[str, Node] = {}
-    for s, (share, reps) in sorted(goal.items()):
-        name = domain_of(s) if domain_of else "all"
-        if name not in domains:
-            domains[name] = Node(name, 0.0)
-            root.children.append(domains[name])
-        node = Node(s, share)
-        node.children = [Node(lang, (language_weights or {}).get(lang, 0.0) if language_weights else float(n), float(n * reps)) for (src, lang), n in sorted(have.items()) if src == s]
-        domains[name].weight += share
-        domains[name].children.append(node)
-    for dom in domains.values():
-        dom.children = [c for c in dom.children if c.weight > 0]
-    root.children = [c for c in root.children if c.children]
-    share_out(root, float(sum(have.values()) if total_tokens is None else total_tokens))
-
-    budget = {(s.name, leaf.name): leaf.budget for dom in root.children for s in dom.children for leaf in s.children}
-    whole = {k: int(b // have[k]) for k, b in budget.items() if have[k] > 0}
-    rest = {k: budget[k] - whole[k] * have[k] for k in whole if whole[k] < goal[k[0]][1]}
-    size = {(r.source, r.lang): int(r.n) for r in leaves}
-    cuts = _cuts(sized, {k: (whole[k], r, size[k]) for k, r in rest.items() if r > 0}, seed)
-    plan_rows = [(s, lang, n, *(cuts.get((s, lang)) or (None, None, []))) for (s, lang), n in whole.items()]
-    plan = spark.createDataFrame(plan_rows, "source string, lang string, whole int, cut bigint, cut_id bigint, more array<bigint>")
-    rows = sized.join(F.broadcast(plan), ["source", "lang"])
+    # a source without documents is a leaf without capacity, in no language: what it can't take goes to its domain first
+    leaves = goal.join(sized.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")), "source", "left").withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    if language_weights is None:
+        part = F.col("tokens").cast("double")
+    else:
+        part = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in language_weights.items() for x in kv]), F.col("lang")), F.lit(0.0)).cast("double")
+    own = Window.partitionBy("source")
+    leaves = leaves.withColumn("part", F.when(F.col("tokens") > 0, part).otherwise(0.0)).withColumn("weight", F.col("share") * F.coalesce(F.try_divide(F.col("part"), F.sum("part").over(own)), 1 / F.count(F.lit(1)).over(own))).withColumn("capacity", F.col("tokens").cast("double") * F.col("reps"))
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar() if total_tokens is None else F.lit(total_tokens)
+    plan = budgets(leaves, total).where("tokens > 0").withColumn("whole", F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-12), F.col("reps")).cast("int"))
+    plan = plan.withColumn("rest", F.when(F.col("whole") < F.col("reps"), F.col("budget") - F.col("whole") * F.col("tokens")).otherwise(0.0))
+    plan, _ = settle(plan.select("domain", "lang", "source", "tokens", "budget", "whole", "rest").coalesce(1), "plan")
+    cuts, _ = settle(_cuts(sized, plan.where("rest > 0").select("source", "lang", "whole", "rest"), seed).coalesce(1), "cuts")
+
+    rows = sized.join(plan.select("source", "lang", "whole"), ["source", "lang"]).join(cuts, ["source", "lang"], "left")
     h = order_hash(seed, F.col("whole"), F.col("doc_id"))
-    in_prefix = F.col("cut").isNotNull() & ((h < F.col("cut")) | ((h == F.col("cut")) & (F.col("doc_id") <= F.col("cut_id"))) | F.array_contains("more", F.col("doc_id")))
-    uses = F.col("whole") + F.when(in_prefix, 1).otherwise(0)
-    draws = rows.withColumn("uses", uses).where("uses > 0").select("doc_id", "source", "lang", "tokens", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("epoch"))
-
-    drawn = rows.groupBy("source").agg(F.sum(F.col("tokens") * uses).alias("drawn_tokens"), F.count_if(uses > 0).alias("n_documents"), F.sum(uses).cast("bigint").alias("n_draws"), F.max(uses).alias("most_uses"))
-    names = sorted({r.source for r in leaves} | set(goal))
-    per = {s: float(sum(b for (src, _), b in budget.items() if src == s)) for s in names}
-    asked = spark.createDataFrame([(s, goal.get(s, (0.0, 0))[0], goal.get(s, (0.0, 0))[1], per[s]) for s in names], "source string, target_share double, max_repeats int, budget_tokens double")
+    in_prefix = F.coalesce((h < F.col("cut")) | ((h == F.col("cut")) & (F.col("doc_id") <= F.col("cut_id"))), F.lit(False))
+    rows = rows.withColumn("uses", F.col("whole") + in_prefix.cast("int")).where("uses > 0").select("doc_id", "source", "lang", "tokens", "uses")
+    draws = rows.select("doc_id", "source", "lang", "tokens", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("epoch"))
+
+    drawn = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("drawn_tokens"), F.count(F.lit(1)).alias("n_documents"), F.sum("uses").cast("bigint").alias("n_draws"), F.max("uses").alias("most_uses"))
+    names = documents.select(folded(F.col("source")).alias("source")).where("source IS NOT NULL").unionByName(goal.select("source")).distinct()
+    asked = names.join(goal, "source", "left").join(plan.groupBy("source").agg(F.sum("budget").alias("budget_tokens")), "source", "left")
     shares = asked.join(drawn, "source", "left").withColumn("all_tokens", drawn.agg(F.sum("drawn_tokens")).scalar())
-    zero = lambda c, t="bigint": F.coalesce(F.col(c), F.lit(0)).cast(t).alias(c)
-    shares = shares.select("source", "target_share", "max_repeats", F.round("budget_tokens", 3).alias("budget_tokens"), zero("drawn_tokens"), F.round(F.coalesce(F.col("drawn_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), zero("n_documents"), zero("n_draws"), zero("most_uses", "int"))
-    return draws, shares
+    zero = lambda c, t="bigint", to=None: F.coalesce(F.col(c), F.lit(0)).cast(t).alias(to or c)
+    actual = F.round(F.coalesce(F.try_divide(F.col("drawn_tokens"), F.col("all_tokens")), F.lit(0.0)), 6).alias("actual_share")
+    return draws, shares.select("source", zero("share", "double", "target_share"), zero("reps", "int", "max_repeats"), F.round(F.coalesce("budget_tokens", F.lit(0.0)), 3).alias("budget_tokens"), zero("drawn_tokens"), actual, zero("n_documents"), zero("n_draws"), zero("most_uses", "int"))
 
 
-def _cuts(sized: DataFrame, wanted: dict[tuple[str, str], tuple[int, float, int]], seed: int) -> dict[tuple[str, str], tuple[int, int, list[int]]]:
-    """Per leaf (hash, doc_id, more): the last document of its token-prefix, and a few that still fit after it.
+def _cuts(sized: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """(source, lang, cut, cut_id) for leaves (source, lang, whole, rest): hash and doc_id of the last document of the prefix that has ``rest`` tokens of the epoch.
 
-    wanted has each leaf's epoch, tokens and number of documents. A radix select: sums over the next bits of the hash tell in which
-    bucket the cut lies, and only that bucket is looked at again, until it holds at most CUT_ROWS documents. The prefix ends before the
-    document that would pass the wanted tokens; of those after it in this and the next bucket, at most MORE are taken that fit into the rest.
+    A radix select in three steps. Sums over the first bits of the hash tell in which bucket the prefix ends; sums over the next bits, of that bucket only,
+    narrow it down again; and of what is left, one in 2^24 of a leaf's documents, running sums tell the document. Two steps suffice for leaves of
+    up to some 10^11 documents; a bucket holds so few that one task sorts it.
     """
-    spark = sized.sparkSession
-    keys = "source string, lang string, at_epoch int, known bigint, low int, next int"
-
-    def bucket(leaves: dict, on: int = 0) -> DataFrame:
-        """Documents of the leaves' buckets, and of ``on`` buckets after them, with h and the bucket b one round further down."""
-        rows = [(*k, e, known, 63 - depth, max(0, 63 - depth - _bits(n))) for k, (e, known, depth, _, n) in leaves.items()]
-        at = F.broadcast(spark.createDataFrame(rows, keys))
-        here = sized.join(at, ["source", "lang"]).withColumn("h", order_hash(seed, F.col("at_epoch"), F.col("doc_id")))
-        return here.where(F.expr(f"shiftright(h, low) BETWEEN known AND known + {on}")).withColumn("b", F.expr("shiftright(h, next)"))
-
-    # leaf -> (epoch, bits known so far, how many, tokens before that bucket, documents in it)
-    state = {k: (e, 0, 0, 0, n) for k, (e, _, n) in wanted.items()}
-    near: dict = {}
-    out: dict[tuple[str, str], tuple[int, int, list[int]]] = {}
-    while state:
-        near |= {k: v for k, v in state.items() if v[4] <= CUT_ROWS or v[2] >= 60}
-        state = {k: v for k, v in state.items() if k not in near}
-        if not state:
-            break
-        per: dict[tuple[str, str], list] = {}
-        for r in bucket(state).groupBy("source", "lang", "b").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect():
-            per.setdefault((r.source, r.lang), []).append((int(r.b), int(r.tokens), int(r.n)))
-        nxt = {}
-        for k, buckets in per.items():
-            e, _, depth, before, was = state[k]
-            for b, tokens, n in sorted(buckets):
-                if before + tokens > wanted[k][1]:
-                    nxt[k] = (e, b, depth + _bits(was), before, n)
-                    break
-                before += tokens
-            else:  # rounding: the whole epoch
-                out[k] = (2**63 - 1, 2**63 - 1, [])
-        state = nxt
-    if near:
-        per = {}
-        for r in bucket(near, 1).select("source", "lang", "h", "doc_id", "tokens").collect():  # about 2 * CUT_ROWS a leaf at most
-            per.setdefault((r.source, r.lang), []).append((r.h, r.doc_id, r.tokens))
-        for k, (_, known, depth, before, _) in near.items():
-            out[k] = _end(sorted(per.get(k, [])), (known << (63 - depth)) - 1, wanted[k][1] - before)
-    return out
-
-
-def _bits(n: int) -> int:
-    """Hash bits that split n documents into buckets of about CUT_ROWS / 2."""
-    return min(CUT_BITS, max(1, math.ceil(math.log2(max(2.0, 2 * n / CUT_ROWS)))))
-
-
-def _end(docs: list[tuple[int, int, int]], before: int, rest: float) -> tuple[int, int, list[int]]:
-    """The end of a prefix inside its last bucket; see _cuts."""
-    cut, more, i = (before, 2**63 - 1), [], 0
-    while i < len(docs) and docs[i][2] <= rest:
-        cut, rest = docs[i][:2], rest - docs[i][2]
-        i += 1
-    for _, doc, n in docs[i + 1 :]:
-        if 0 < n <= rest and len(more) < MORE:
-            more.append(doc)
-            rest -= n
-    return (*cut, more)
+    leaf = ["source", "lang"]
+    docs = sized.join(wanted, leaf).withColumn("h", order_hash(seed, F.col("whole"), F.col("doc_id"))).withColumn("known", F.lit(0.0))
+    for step in (1, 2):
+        docs = docs.withColumn("b", F.expr(f"shiftright(h, {HASH_BITS - step * CUT_BITS})"))
+        sums = docs.groupBy(*leaf, "b", "rest", "known").agg(F.sum("tokens").alias("t"))
+        # tokens before the bucket; those of the buckets settled before are the same for all rows of a leaf
+        before = F.col("known") + F.sum("t").over(Window.partitionBy(*leaf).orderBy("b")) - F.col("t")
+        at = sums.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("t"))).select(*leaf, "b", "before")
+        docs = docs.drop("known").join(at.withColumnRenamed("before", "known"), [*leaf, "b"])
+    before = F.col("known") + F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
+    last = docs.withColumn("before", before).withColumn("fits", (F.col("before") + F.col("tokens") <= F.col("rest")) | (F.col("before") + F.col("tokens") / 2 < F.col("rest")))
+    found = last.groupBy(*leaf).agg(F.max(F.when(F.col("fits"), F.struct("h", "doc_id"))).alias("end"), F.expr(f"shiftleft(min(b), {HASH_BITS - 2 * CUT_BITS}) - 1").alias("none"))
+    # a leaf without a bucket found ends, by rounding, with its whole epoch
+    every = F.lit((1 << 63) - 1)
+    ends = found.select(*leaf, F.coalesce("end.h", "none").alias("cut"), F.coalesce("end.doc_id", every).alias("cut_id"))
+    return wanted.select(*leaf).join(ends, leaf, "left").select(*leaf, F.coalesce("cut", every).alias("cut"), F.coalesce("cut_id", every).alias("cut_id"))
+
+
+def mix_check(draws: DataFrame, shares: DataFrame) -> DataFrame:
+    """Per source with a target: whether no document is used more than max_repeats times or twice in an epoch, whether epochs have no gap, and whether the
+    tokens drawn are those of the budget but for half a document in each language."""
+    per = draws.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("epoch").alias("k"), F.max("epoch").alias("last"), F.max("tokens").alias("tokens"), F.max("lang").alias("lang"))
+    own = per.groupBy("source").agg(F.max("n").alias("uses"), F.bool_and((F.col("n") == F.col("k")) & (F.col("last") == F.col("n") - 1)).alias("in_order"), F.max("tokens").alias("longest"), F.count_distinct("lang").alias("langs"))
+    j = shares.where("max_repeats > 0").join(own, "source", "left")
+    near = F.abs(F.col("drawn_tokens") - F.col("budget_tokens")) <= F.coalesce(F.col("longest") * F.col("langs") / 2, F.lit(0)) + 1
+    return j.select("source", "target_share", "max_repeats", F.coalesce(F.col("uses") <= F.col("max_repeats"), F.lit(True)).alias("repeats_kept"), F.coalesce("in_order", F.lit(True)).alias("in_order"), F.coalesce(near | F.col("longest").isNull(), F.lit(True)).alias("budget_met"))

@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers: pattern packing by non-negative least squares.
 
-The histogram of item sizes has at most capacity + 1 entries, whatever the number of items. On it alone the driver decides how
-many containers of which sizes there are; the items then learn their places from their rank among the items of their size.
+The histogram of item sizes has at most capacity + 1 entries a class, whatever the number of items. On it alone one task a class decides how
+many containers of which sizes there are; the items then learn their places from their rank among the items of their size, by a join on
+class, size and block of ranks. Nothing goes to the driver.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window
 
 from ..session import settle, spread
@@ -21,7 +22,7 @@ from .tokens import VOCABULARY, token_count
 
 #: Sizes are seen by the patterns in so many steps of the capacity; a pattern has so many items at most.
 STEPS, MOST_IN_PATTERN = 128, 3
-#: Items of one size are ranked in groups of about so many.
+#: Items of one size are ranked in groups, and meet their runs in blocks of ranks, of about so many.
 RANK_GROUP = 20_000
 RUN_SCHEMA = "container_class string, size bigint, rank_from bigint, rank_to bigint, each bigint, container_from bigint, position_from bigint, fill bigint"
 
@@ -239,60 +240,53 @@ def runs_of(name: str, groups: list[Group], capacity: int) -> list[tuple]:
     return out
 
 
+def plan_runs(hist: DataFrame) -> DataFrame:
+    """The runs of every class from its histogram (container_class, cap, size, count), one task a class. A class's histogram has at most capacity + 1 rows."""
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        capacity = int(pdf["cap"].iloc[0])
+        rows = runs_of(pdf["container_class"].iloc[0], plan_groups(dict(zip(pdf["size"].astype(int), pdf["count"].astype(int), strict=True)), capacity), capacity)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN_SCHEMA.split(", ")])
+
+    return hist.groupBy("container_class").applyInPandas(plan, RUN_SCHEMA)
+
+
 def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(container_class, doc_id, piece, n_pieces, tokens, container, position, fill) of every document in each class.
 
     A document longer than the capacity, and only such a one, is split: into pieces of the capacity and the rest. Each piece
     lies in one container, at a position counted from 0; ``fill`` is the number of tokens in that container.
 
-    Sizes are made once and written to the shared folder. What goes to the driver is the histogram (at most capacity + 1
-    numbers a class); what is broadcast are its runs, some per size and pattern, checked against that bound. Items are
-    ranked inside groups of about 20,000, so equal sizes, even a third of all rows, never meet in one task.
+    Sizes, histogram and runs are made once and written to the shared folder. Items are ranked inside groups of about 20,000 and join their runs by blocks of
+    as many ranks, so equal sizes, even a third of all rows, never meet in one task, and no side of a join is broadcast but where Spark finds it small.
+    Which of the items of one size gets which of its places is arbitrary.
 
     Defined cases: null or empty texts have 0 tokens and are spread over the containers; a null doc_id is an item like any
     other, rows of one doc_id are items of their own; a class without a positive capacity has no containers; of a class
     named twice the largest capacity holds; empty tables give an empty result; other columns are never read.
     """
-    spark = documents.sparkSession
-    classes = {r.c: int(r.k) for r in containers.where("container_class IS NOT NULL AND capacity_tokens > 0").groupBy(F.col("container_class").alias("c")).agg(F.max("capacity_tokens").alias("k")).limit(1001).collect()}
-    if len(classes) > 1000:
-        raise ValueError("more than 1,000 container classes")
-    out_schema = "container_class string, doc_id bigint, piece bigint, n_pieces bigint, tokens bigint, container bigint, position bigint, fill bigint"
-    if not classes:
-        return spark.createDataFrame([], out_schema)
-    sized, _ = settle(spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", token_count(F.col("text"), vocabulary).alias("n")), "sizes")
-    each_class = F.explode(F.array(*[F.struct(F.lit(c).alias("container_class"), F.lit(k).cast("bigint").alias("cap")) for c, k in sorted(classes.items())]))
-    per = sized.select("doc_id", "n", each_class.alias("c")).select("doc_id", "n", "c.*")
+    classes = containers.where("container_class IS NOT NULL AND capacity_tokens > 0").groupBy("container_class").agg(F.max("capacity_tokens").cast("bigint").alias("cap"))
+    each_class = classes.agg(F.collect_list(F.struct("container_class", "cap"))).scalar()
+    # numbers tell rows of one doc_id, or without one, apart; they are written with the sizes, so they stay what they are
+    sized = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.monotonically_increasing_id().alias("no"), token_count(F.col("text"), vocabulary).alias("n"))
+    sized, _ = settle(sized, "sizes")
+    per = sized.select("doc_id", "no", "n", F.explode(each_class).alias("c")).select("doc_id", "no", "n", "c.*")
     whole = F.greatest(F.ceil(F.col("n") / F.col("cap")), F.lit(1)).cast("bigint")
-    pieces = per.withColumn("n_pieces", whole).select("container_class", "doc_id", "n_pieces", "cap", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_pieces") - 1)).alias("piece"))
-    items = pieces.withColumn("size", F.least("cap", F.col("n") - F.col("piece") * F.col("cap"))).drop("n", "cap")
-
-    hist: dict[str, dict[int, int]] = defaultdict(dict)
-    for r in items.groupBy("container_class", "size").count().collect():
-        hist[r["container_class"]][int(r["size"])] = int(r["count"])
-    runs, split = [], []
-    for c, h in hist.items():
-        own = runs_of(c, plan_groups(h, classes[c]), classes[c])
-        if len(own) > 200 * classes[c] + 100_000:
-            raise RuntimeError(f"{len(own)} runs for a capacity of {classes[c]}: too many to broadcast")
-        runs += own
-        split += [(c, s, -(-n // RANK_GROUP)) for s, n in h.items() if n > RANK_GROUP]
+    pieces = per.withColumn("n_pieces", whole).select("container_class", "doc_id", "no", "n_pieces", "cap", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_pieces") - 1)).alias("piece"))
+    items = pieces.withColumn("size", F.least("cap", F.col("n") - F.col("piece") * F.col("cap")))
+    hist, _ = settle(items.groupBy("container_class", "cap", "size").count().coalesce(1), "histogram")
+    runs, _ = settle(plan_runs(hist), "runs")
 
     # rank of each item among those of its class and size: groups by hash, their offsets, and the order inside
-    many = spark.createDataFrame(split, "container_class string, size bigint, n_groups bigint")
-    keyed = items.join(F.broadcast(many), ["container_class", "size"], "left")
-    keyed = keyed.withColumn("g", F.when(F.col("n_groups").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "piece"), "n_groups"))).drop("n_groups")
-    W = window.Window
-    key = ["container_class", "size", "g"]
-    offsets = keyed.where("g IS NOT NULL").groupBy(*key).count() if split else None
-    if offsets is not None:
-        big = offsets.join(F.broadcast(many.drop("n_groups")), ["container_class", "size"], "left_semi")
-        offsets = big.select(*key, (F.sum("count").over(W.partitionBy("container_class", "size").orderBy("g")) - F.col("count")).alias("before"))
-    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("doc_id", "piece")).cast("bigint") - 1)
-    if offsets is not None:
-        ranked = ranked.join(offsets, key, "left").withColumn("r", F.col("r") + F.coalesce("before", F.lit(0))).drop("before")
-    plan = F.broadcast(spark.createDataFrame(runs, T._parse_datatype_string(RUN_SCHEMA)).withColumnsRenamed({"container_class": "c_", "size": "s_"}))
-    placed = ranked.join(plan, (F.col("container_class") == F.col("c_")) & (F.col("size") == F.col("s_")) & (F.col("r") >= F.col("rank_from")) & (F.col("r") < F.col("rank_to")))
+    W, key = window.Window, ["container_class", "size", "g"]
+    many = hist.where(F.col("count") > RANK_GROUP).select("container_class", "size", F.ceil(F.col("count") / RANK_GROUP).alias("n_groups"))
+    keyed = items.drop("n", "cap").join(many, ["container_class", "size"], "left").withColumn("g", F.coalesce(F.pmod(F.xxhash64("no", "piece"), "n_groups"), F.lit(0)))
+    counts = keyed.where("n_groups IS NOT NULL").groupBy(*key).count()
+    offsets = counts.select(*key, (F.sum("count").over(W.partitionBy("container_class", "size").orderBy("g")) - F.col("count")).alias("before"))
+    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("doc_id", "piece", "no")).cast("bigint") - 1).join(offsets, key, "left").withColumn("r", F.col("r") + F.coalesce("before", F.lit(0)))
+    blocks = F.sequence(F.floor(F.col("rank_from") / RANK_GROUP), F.floor((F.col("rank_to") - 1) / RANK_GROUP))
+    plan = runs.withColumn("block", F.explode(blocks))
+    placed = ranked.withColumn("block", F.floor(F.col("r") / RANK_GROUP)).join(plan, ["container_class", "size", "block"]).where((F.col("r") >= F.col("rank_from")) & (F.col("r") < F.col("rank_to")))
     at = F.col("r") - F.col("rank_from")
     return placed.select(
         "container_class", "doc_id", "piece", "n_pieces", F.col("size").alias("tokens"),
@@ -306,3 +300,18 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     caps = containers.groupBy("container_class").agg(F.max("capacity_tokens").cast("bigint").alias("capacity_tokens"))
     n = F.col("last") + 1
     return per.join(caps, "container_class").select("container_class", "capacity_tokens", n.alias("n_containers"), "n_items", "n_tokens", F.round(F.col("n_tokens") / (n * F.col("capacity_tokens")), 6).alias("filled_share"))
+
+
+def pack_check(packed: DataFrame, containers: DataFrame) -> DataFrame:
+    """What must hold of any packing, per class: every document is there with all its pieces; how many containers are overfull, have another fill than they
+    say, or positions other than 0, 1, 2, ...; how many documents are split without need."""
+    caps = containers.groupBy("container_class").agg(F.max("capacity_tokens").cast("bigint").alias("capacity_tokens"))
+    per = packed.groupBy("container_class", "container").agg(F.sum("tokens").alias("t"), F.min("fill").alias("low"), F.max("fill").alias("high"), F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("k"), F.max("position").alias("last"))
+    boxes = per.join(caps, "container_class").groupBy("container_class", "capacity_tokens").agg(
+        F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_overfull"),
+        F.count_if((F.col("t") != F.col("low")) | (F.col("t") != F.col("high"))).alias("n_wrong_fill"),
+        F.count_if((F.col("n") != F.col("k")) | (F.col("last") != F.col("n") - 1)).alias("n_holes"),
+    )
+    short = (F.col("n_pieces") > 1) & (F.col("piece") < F.col("n_pieces") - 1) & (F.col("tokens") < F.col("capacity_tokens"))
+    docs = packed.join(caps, "container_class").groupBy("container_class").agg(F.count_if(F.col("piece") == 0).alias("n_documents"), (F.sum(F.when(F.col("piece") == 0, F.col("n_pieces")).otherwise(0)) == F.count(F.lit(1))).alias("pieces_whole"), F.count_if(short | ((F.col("n_pieces") > 1) & (F.col("tokens") == 0))).alias("n_needless_splits"))
+    return boxes.join(docs, "container_class")

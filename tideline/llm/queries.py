@@ -24,19 +24,37 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(t(spark, d, "documents"), t(spark, d, "containers")), t(spark, d, "containers"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing, whatever the tokenizer."""
+    return packing.pack_check(packing.pack(t(spark, d, "documents"), t(spark, d, "containers")), t(spark, d, "containers"))
+
+
+#: What the sources are, for the tree of problem 7.
+DOMAINS = {"forge-export": "repositories", "git-mirror": "repositories", "fork-sweep": "repositories", "mail-patches": "discussion", "wiki-history": "discussion", "svn-import": "archives", "ci-archive": "archives", "lab-notes": "archives", "usb-dump": "archives"}
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(t(spark, d, "documents"), t(spark, d, "mix_targets"), domains=spark.createDataFrame(list(DOMAINS.items()), "source string, domain string"))
+
+
 def p7_draws(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(t(spark, d, "documents"), t(spark, d, "mix_targets"))[0]
+    return _mixed(spark, d)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(t(spark, d, "documents"), t(spark, d, "mix_targets"))[1]
+    return _mixed(spark, d)[1]
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any draw, whatever the tokenizer."""
+    return mixing.mix_check(*_mixed(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.promotional_documents(t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_containers, p6_fill, p7_draws, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p6_containers, p6_fill, p6_check, p7_draws, p7_shares, p7_check, p8_found)}
 
 _TERMS = """WITH p AS (SELECT payload_id, min(payload) AS payload FROM shred_payloads GROUP BY 1), v AS (SELECT payload_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM p),
 o AS (SELECT payload_id, j FROM v WHERE json_type(j) = 'OBJECT'), n AS (SELECT count(*) AS n FROM o),
@@ -48,4 +66,8 @@ m AS (SELECT *, CASE WHEN n_records < 5 THEN 'rare' WHEN n_records > 0.4 * (SELE
 ORACLE: dict[str, str] = {
     "p2_found": _TERMS + "SELECT field_name, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _TERMS + "SELECT * FROM m",
+    "p6_check": """SELECT container_class, max(capacity_tokens)::BIGINT AS capacity_tokens, 0::BIGINT AS n_overfull, 0::BIGINT AS n_wrong_fill, 0::BIGINT AS n_holes, (SELECT count(*) FROM documents) AS n_documents,
+  true AS pieces_whole, 0::BIGINT AS n_needless_splits FROM containers GROUP BY 1""",
+    "p7_check": """SELECT lower(trim(source)) AS source, sum(target_share) AS target_share, min(max_repeats) AS max_repeats, true AS repeats_kept, true AS in_order, true AS budget_met
+FROM mix_targets WHERE trim(source) <> '' GROUP BY 1""",
 }
