@@ -147,12 +147,10 @@ def test_stream_state(rocks, tmp_path):
     assert {r.key: r.state for r in spark.table("leased").collect()} == {"s:0": "ACKED", "s:1": "LEASED"}
 
 
-def test_stream_late_counters_and_duplicates(spark, tmp_path):
+def test_stream_duplicates(spark, tmp_path):
     ts = lambda h, m: f"2024-01-01 {h:02d}:{m:02d}:00"
     df = spark.createDataFrame([("a", 1, ts(0, 1), 5), ("a", 1, ts(0, 2), 5), ("a", 2, ts(0, 50), 7), ("b", 3, ts(1, 10), 1), ("a", 4, ts(9, 0), 1)], "k string, id int, t string, w int").withColumn("t", F.col("t").cast("timestamp"))
     df.coalesce(1).write.parquet(str(tmp_path / "e"))
     read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
     run(pipelines.deduplicate(read(), ["id"], "t"), tmp_path, "once", "append")
     assert spark.table("once").count() == 4
-    run(pipelines.late_counters(read(), "t", "k", "w"), tmp_path, "counted", "update")
-    assert {(r.k, r.period_start.hour): (r.n_records, r.total) for r in spark.table("counted").collect()} == {("a", 0): (3, 17), ("b", 1): (1, 1), ("a", 9): (1, 1)}

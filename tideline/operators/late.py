@@ -1,10 +1,18 @@
-"""Late and out-of-order events: per-period counters that converge whatever the order and number of deliveries."""
+"""Late and out-of-order events: per-period counters that converge whatever the order and number of deliveries.
+
+The counters are conflict-free. The smallest has the key (period, source, version): a source is a batch, its versions are the records in it, each at most
+once; a delivery that is retried or comes out of order finds its cell there already. A source's counter in a period sums its cells, with the number of them
+as version; as a source only ever adds, the greatest version is the right one, and merging two states takes the maximum per source. The sum over the sources is the
+period's value. Whether a source's counter is part of what was first reported, late or too late follows from its arrival and the period's end.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
@@ -31,8 +39,8 @@ def arrivals(
     ``physical_ms``. With E the end of its period (the start of the next one), the verdict is ``on_time`` for arrival before
     E, ``late`` from E to before E + lateness, ``too_late`` from there on, and null where a time is missing.
 
-    Sources are record ids; the version of a register is the batch's arrival (physical_ms, hlc_logical, hlc_node_id), so a
-    record sent again in a later batch is counted once, with its last state. ``columns`` names the record columns to keep.
+    These are the cells of the counters: ``source`` is the batch, the record its version. A record sent again in another batch is counted once, in the
+    batch of the greatest arrival (physical_ms, hlc_logical, hlc_node_id). ``columns`` names the record columns to keep.
 
     Repeated headers fold first, by the greatest arrival; a header without a batch id or a record without a record id is
     dropped, as it can't be named; a record whose batch has no header gets a null verdict. Both sides may be skewed: the
@@ -51,8 +59,8 @@ def arrivals(
     timed = rows.join(heads, "batch_id", "left").withColumn("event_us", event).withColumn("period_end_us", end).withColumn("verdict", verdict)
     version = F.struct("arrival.physical_ms", "arrival.hlc_logical", "arrival.hlc_node_id")
     kept = [f"keep_{c}" for c in columns]
-    merged = merge_registers(timed, ["record_id"], version, ["period_end_us", "verdict", *kept])
-    return merged.select("record_id", "period_end_us", "verdict", *[F.col(f"keep_{c}").alias(c) for c in columns])
+    merged = merge_registers(timed.withColumn("source", F.col("batch_id")), ["record_id"], version, ["period_end_us", "verdict", "source", *kept])
+    return merged.select("record_id", "source", "period_end_us", "verdict", *[F.col(f"keep_{c}").alias(c) for c in columns])
 
 
 def late_records(records: DataFrame, batches: DataFrame, **how) -> DataFrame:
@@ -60,22 +68,109 @@ def late_records(records: DataFrame, batches: DataFrame, **how) -> DataFrame:
     return arrivals(records, batches, **how).where("verdict IN ('late', 'too_late')").select("record_id", "verdict")
 
 
+#: What a source's counter is keyed by and holds.
+CELL_KEY = ("period_end_us", "source", "verdict")
+
+
+def source_counters(cells: DataFrame, key: str, weight: str) -> DataFrame:
+    """(key, period_end_us, source, verdict, version, n, total): each source's counter in a period. Cells are combined map-side.
+
+    ``version`` is the number of the source's records that are in: it only grows, so of two states of a source the greater version holds the other.
+    Cells without a time are in no period. A null key is a group of its own; a null weight adds nothing.
+    """
+    counted = cells.where("verdict IS NOT NULL").groupBy(key, *CELL_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col(weight), F.lit(0)).cast("bigint")).alias("total"))
+    return counted.select(key, *CELL_KEY, F.col("n").alias("version"), "n", "total")
+
+
+def merge_counters(states: DataFrame, key: str) -> DataFrame:
+    """One state from several: the greatest version per source. Idempotent, commutative and associative."""
+    best = states.groupBy(key, *CELL_KEY).agg(F.max("version").alias("version"), F.max_by("n", "version").alias("n"), F.max_by("total", "version").alias("total"))
+    return best.select(key, *CELL_KEY, "version", "n", "total")
+
+
+def sum_sources(state: DataFrame, key: str, period_us: int = HOUR_US) -> DataFrame:
+    """Count and total per key and period over the sources of a merged state, as first reported and as corrected; see period_counters."""
+    on, late = F.col("verdict") == "on_time", F.col("verdict") == "late"
+    some = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
+    return state.groupBy(key, F.timestamp_micros(F.col("period_end_us") - period_us).cast("timestamp_ntz").alias("period_start")).agg(
+        some("n", on).alias("first_count"),
+        some("total", on).alias("first_bytes"),
+        some("n", on | late).alias("corrected_count"),
+        some("total", on | late).alias("corrected_bytes"),
+        some("n", F.col("verdict") == "too_late").alias("dropped_count"),
+    )
+
+
 def period_counters(
     records: DataFrame, batches: DataFrame, key: str = "stream_id", weight: str = "payload_len", period_us: int = HOUR_US, **how
 ) -> DataFrame:
     """Count and bytes per key and event period, as first reported and as corrected by late records.
 
-    Sums the registers of ``arrivals``: ``first_*`` holds what had arrived by the end of the period, ``corrected_*`` adds
+    The sources' counters summed: ``first_*`` holds what had arrived by the end of the period, ``corrected_*`` adds
     the late, ``dropped_count`` tells how many came beyond the cut-off and are in neither. Records without an event time are
     in no period. A null key is a group of its own; a null weight adds nothing. A hot key or period folds map-side.
     """
-    rows = arrivals(records, batches, columns=[key, weight], period_us=period_us, **how).where("verdict IS NOT NULL")
-    w = F.coalesce(F.col(weight), F.lit(0)).cast("bigint")
-    on, late = F.col("verdict") == "on_time", F.col("verdict") == "late"
-    return rows.groupBy(key, F.timestamp_micros(F.col("period_end_us") - period_us).cast("timestamp_ntz").alias("period_start")).agg(
-        F.count_if(on).alias("first_count"),
-        F.sum(F.when(on, w).otherwise(0)).alias("first_bytes"),
-        F.count_if(on | late).alias("corrected_count"),
-        F.sum(F.when(on | late, w).otherwise(0)).alias("corrected_bytes"),
-        F.count_if(F.col("verdict") == "too_late").alias("dropped_count"),
-    )
+    cells = arrivals(records, batches, columns=[key, weight], period_us=period_us, **how)
+    return sum_sources(source_counters(cells, key, weight), key, period_us)
+
+
+class CounterState:
+    """Counters kept between deliveries, in a folder of the shared storage.
+
+    Every delivery is applied under a number (a stream's batch id). It adds its new cells and the new versions of the counters it touches, never changes a
+    file, and is a no-op once complete; one that broke off is written anew. ``totals`` merges the versions and sums the sources. A delivery may hold any part of
+    any batch, repeat records of earlier deliveries, or come before its batch's header, for which its records wait. A record belongs to one batch.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "stream_id", weight: str = "payload_len", lateness_us: int = 2 * HOUR_US, period_us: int = HOUR_US) -> None:
+        self.spark, self.path, self.key, self.weight, self.how = spark, path.rstrip("/"), key, weight, {"lateness_us": lateness_us, "period_us": period_us}
+
+    def _epochs(self, kind: str) -> list[int]:
+        """The complete deliveries."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        return sorted(int(f.getPath().getParent().getName()[6:]) for f in fs.globStatus(root.suffix("/epoch=*/_SUCCESS")))
+
+    def _read(self, kind: str, below: int | None = None, like: DataFrame | None = None) -> DataFrame | None:
+        at = [f"{self.path}/{kind}/epoch={e}" for e in self._epochs(kind) if below is None or e < below]
+        return self.spark.read.schema(like.schema).parquet(*at) if at and like is not None else self.spark.read.parquet(*at) if at else None
+
+    def apply(self, records: DataFrame, batches: DataFrame, epoch: int) -> None:
+        """Add a delivery of records. ``batches`` has the headers known by now."""
+        if epoch in self._epochs("counters"):
+            return
+        own = records.select("record_id", "batch_id", "timestamp_delta_ms", self.key, self.weight)
+        waiting = self._read_last("waiting", epoch, own)
+        rows = own if waiting is None else own.unionByName(waiting)
+        known = batches.where("batch_id IS NOT NULL").select("batch_id").distinct()
+        rows.join(known, "batch_id", "left_anti").where("record_id IS NOT NULL AND batch_id IS NOT NULL").write.mode("overwrite").parquet(f"{self.path}/waiting/epoch={epoch}")
+        cells = arrivals(rows, batches, columns=[self.key, self.weight], **self.how).where("verdict IS NOT NULL")
+        old = self._read("cells", epoch, cells)
+        if old is not None:
+            cells = cells.join(old.select("record_id", "source"), ["record_id", "source"], "left_anti").select(*cells.columns)
+        cells.write.mode("overwrite").parquet(f"{self.path}/cells/epoch={epoch}")
+        new = source_counters(self.spark.read.schema(cells.schema).parquet(f"{self.path}/cells/epoch={epoch}"), self.key, self.weight)
+        held = self._read("counters", epoch, new)
+        if held is not None:
+            # a touched source's new version holds its old one
+            same = [F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}")) for c in (self.key, *CELL_KEY)]
+            before = merge_counters(held, self.key).alias("held")
+            add = lambda c: (F.col(f"new.{c}") + F.coalesce(F.col(f"held.{c}"), F.lit(0))).alias(c)
+            new = new.alias("new").join(before, reduce(and_, same), "left").select(*[F.col(f"new.{c}").alias(c) for c in (self.key, *CELL_KEY)], add("version"), add("n"), add("total"))
+        new.write.mode("overwrite").parquet(f"{self.path}/counters/epoch={epoch}")
+
+    def _read_last(self, kind: str, below: int, like: DataFrame) -> DataFrame | None:
+        at = [e for e in self._epochs(kind) if e < below]
+        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{kind}/epoch={at[-1]}") if at else None
+
+    def state(self) -> DataFrame | None:
+        """The merged counters, or None before the first delivery."""
+        held = self._read("counters")
+        return None if held is None else merge_counters(held, self.key)
+
+    def totals(self) -> DataFrame | None:
+        """Count and total per key and period as of all deliveries; see period_counters."""
+        state = self.state()
+        return None if state is None else sum_sources(state, self.key, self.how["period_us"])

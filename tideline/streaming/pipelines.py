@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.late import CounterState
 from ..operators.producer import ProducerState
 from ..sources.ledger import Ledger
 
@@ -33,14 +34,18 @@ def deduplicate(stream: DataFrame, identifiers: list[str], time: str, within: st
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(identifiers)
 
 
-def late_counters(stream: DataFrame, time: str, key: str, weight: str, lateness: str = "2 hours", period: str = "1 hour") -> DataFrame:
-    """Count and weight per key and event period, corrected as late records arrive, closed ``lateness`` after the period."""
-    return (
-        stream.withWatermark(time, lateness)
-        .groupBy(F.window(time, period), key)
-        .agg(F.count(F.lit(1)).alias("n_records"), F.sum(weight).alias("total"))
-        .select(key, F.col("window.start").alias("period_start"), "n_records", "total")
-    )
+def late_counters(records: DataFrame, batches: Callable[[], DataFrame], state: CounterState, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Merge a stream of records into the counters of their event periods, by the same rules as in batch: see late.CounterState.
+
+    ``batches`` gives the headers known by now; it is called for every micro-batch. A micro-batch that is replayed, or records that are delivered again,
+    change nothing, and a record is on time, late or too late by its batch's arrival, not by the stream's progress.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        state.apply(batch, batches(), batch_id)
+
+    writer = records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGERS["standard"])).start()
 
 
 class Producers(StatefulProcessor):
