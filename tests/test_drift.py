@@ -1,6 +1,6 @@
 import json
 
-from tideline.operators.drift import cast_value, changes_between, ingest, parse_definition, schema_changes, subject_table, with_previous
+from tideline.operators.drift import cast_value, cells, changes_between, ingest, parse_definition, schema_changes, subject_table, with_previous, write_tables
 
 S = "schema_id bigint, subject string, version int, definition string"
 P = "payload_id bigint, file_id bigint, record_no int, payload string"
@@ -50,7 +50,7 @@ def test_previous_over_spans(spark):
     assert {r.version: r.previous for r in with_previous(df).collect()} == {0: None, 3: 0, 511: 3, 512: 511, 5000: 512}
 
 
-def test_one_table_with_rescue_promotion_and_replay(spark):
+def test_one_table_with_rescue_promotion_and_replay(spark, tmp_path):
     v1, v2 = obj({"a": "int", "b": "string"}), obj({"a2": "long", "c": {"Struct": {"x": "bool"}}}, renamed_from={"a2": "a"})
     entries = spark.createDataFrame([(1, "t", 1, v1), (2, "t", 2, v2)], S)
     files = spark.createDataFrame([(1, "t", 1, ["extra"]), (2, "t", None, None), (3, "nobody", 1, None)], FILES)
@@ -59,12 +59,17 @@ def test_one_table_with_rescue_promotion_and_replay(spark):
         (4, 1, 0, "{oops"), (5, 1, 0, "[1]"), (6, 3, 0, '{"a": 1}'), (7, None, 0, "{}"), (8, 1, 0, "{}"), (9, 2, 0, '{"a": null}'), (None, 1, 0, "{}"),
     ]
     got = {r.payload_id: r for r in ingest(spark.createDataFrame(rows, P), files, entries).collect()}
-    assert got[1].typed == {"a2": "5", "extra": "1.0"} and got[1].rescued == '{"b":"gone"}'
-    assert got[2].typed == {"c.x": "true", "extra": "1.5"} and json.loads(got[2].rescued) == {"a2": "five", "c.y": [1]}
+    typed = {i: {k: v for part in (r.typed.asDict() or {}).values() for k, v in part.items()} for i, r in got.items()}
+    assert typed[1] == {"a2": 5, "extra": 1.0} and got[1].typed.doubles == {"extra": 1.0} and got[1].rescued == '{"b":"gone"}'
+    assert typed[2] == {"c.x": True, "extra": 1.5} and json.loads(got[2].rescued) == {"a2": "five", "c.y": [1]}
     assert [got[i].status for i in (3, 4, 5, 6, 7, 8, 9)] == ["null", "broken", "not_object", "no_schema", "no_schema", "clean", "clean"]
-    assert got[9].typed == {"a2": None} and json.loads(got[4].rescued) == {"_raw": "{oops"} and len(got) == 9
-    table = subject_table(ingest(spark.createDataFrame(rows, P), files, entries).where("subject = 't'"), {"a2": "long", "c.x": "bool"})
-    assert dict(table.dtypes)["a2"] == "bigint" and {r.payload_id: r.a2 for r in table.collect()}[1] == 5
+    assert got[9].typed.longs == {"a2": None} and json.loads(got[4].rescued) == {"_raw": "{oops"} and len(got) == 9
+    done = ingest(spark.createDataFrame(rows, P), files, entries)
+    write_tables(done, f"{tmp_path}/tables")
+    table = subject_table(spark.read.parquet(f"{tmp_path}/tables"), "t", {"a2": "long", "c": "struct", "c.x": "bool", "extra": "double", "b": "int"})
+    assert dict(table.dtypes) == {"payload_id": "bigint", "a2": "bigint", "b": "int", "c.x": "boolean", "extra": "double", "_rescued": "string"}
+    assert {r.payload_id: (r.a2, r["c.x"], r.extra) for r in table.collect()} == {1: (5, None, 1.0), 2: (None, True, 1.5), **{i: (None, None, None) for i in (3, 4, 5, 8, 9)}}
+    assert {(r.payload_id, r.field_name, r.long_value, r.double_value) for r in cells(done).where("bool_value IS NULL").collect()} == {(1, "a2", 5, None), (1, "extra", None, 1.0), (2, "extra", None, 1.5), (9, "a2", None, None)}
     assert ingest(spark.createDataFrame([], P), files, entries).count() == 0
 
 
@@ -72,9 +77,20 @@ def test_odd_payloads(spark):
     entries, files = spark.createDataFrame([(1, "t", 1, obj({"a": "int"}))], S), spark.createDataFrame([(1, "t", 1, None)], FILES)
     odd = ['{"a": NaN}', '{"a":' * 50_000 + "1" + "}" * 50_000, '{"a": [' + "[" * 5000 + "]" * 5000 + "]}", '{"a": 1, "x": "' + "y" * 300_000 + '"}', '{"\\ud800": 1}', '{"a": ' + "9" * 5000 + "}"]
     got = {r.payload_id: r for r in ingest(spark.createDataFrame([(i, 1, 0, t) for i, t in enumerate(odd)], P), files, entries).collect()}
-    assert len(got) == 6 and got[0].status == "broken" and got[3].typed == {"a": "1"} and len(got[3].rescued) > 300_000 and got[4].rescued == '{"?":1}'
+    assert len(got) == 6 and got[0].status == "broken" and got[3].typed.longs == {"a": 1} and len(got[3].rescued) > 300_000 and got[4].rescued == '{"?":1}'
 
 
 def test_casts():
-    assert cast_value(2**31, "int") == (False, None) and cast_value(2**31, "long") == (True, str(2**31))
-    assert cast_value(1, "double") == (True, "1.0") and cast_value(True, "int") == (False, None) and cast_value(10**400, "double") == (False, None)
+    assert cast_value(2**31, "int") == (False, None) and cast_value(2**31, "long") == (True, 2**31)
+    assert cast_value(1, "double") == (True, 1.0) and cast_value(True, "int") == (False, None) and cast_value(10**400, "double") == (False, None)
+
+
+def test_a_hot_subject_is_spread(spark):
+    entries, files = spark.createDataFrame([(1, "t", 1, obj({"a": "int"})), (2, "u", 1, obj({"b": "int"}))], S), spark.createDataFrame([(1, "t", 1, None), (2, "u", 1, None)], FILES)
+    rows = spark.range(6000).selectExpr("id AS payload_id", "IF(id % 50 = 0, 2L, 1L) AS file_id", "0 AS record_no", "IF(id % 50 = 0, '{\"b\": 1}', '{\"a\": 2}') AS payload")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        done = ingest(rows, files, entries)
+        assert done.where("status = 'clean'").count() == 6000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

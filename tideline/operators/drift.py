@@ -1,19 +1,19 @@
 """Schemas that drift: rescue-column ingestion.
 
-One rule does all the work here. Against a target schema an incoming set of named, typed fields is *enforced*: what the target
-knows and can take is kept, what it doesn't know or can't cast is rescued, what it expects and doesn't get is missing.
+One rule does all the work here. A record, a set of named values, is *enforced* on a target schema: what the target knows and can take is
+kept, what it doesn't know or can't take is rescued, what it has and doesn't get is missing. Rescued fields that are approved are *promoted* to
+columns, and their values *replayed* into them.
 
-* Between two versions of a subject's definition the target is the older one. Rescued unknown fields are additions (or, tied
-  to a missing field, renames), rescued mismatches are type changes, missing fields are removals.
-* On payloads the target is the subject's latest definition. Rescued values stay as JSON beside the typed columns; fields that
-  are approved are promoted to columns and their rescued values replayed into them.
+* Of payloads the values are JSON and the target is the subject's latest definition. What can't be promoted stays as JSON beside the typed columns.
+* Of a definition the values are its fields' types, and the target is the version before. A rescued unknown field is an addition; one that is tied to a
+  missing field is promoted to that field's column, a rename, and its type replayed into it; what can't be taken is a change of type; the rest of the missing is removed.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -77,18 +77,30 @@ def parse_definition(text: str | None) -> list[dict] | None:
     return list(out.values())
 
 
-def enforce(target: list[dict], incoming: list[dict]) -> tuple[list[tuple[dict, dict]], list[dict], list[dict]]:
-    """(kept, rescued, missing) of incoming fields against target fields; kept are the pairs of one path."""
-    old, new = {f["path"]: f for f in target}, {f["path"]: f for f in incoming}
-    return [(old[p], f) for p, f in new.items() if p in old], [f for p, f in new.items() if p not in old], [f for p, f in old.items() if p not in new]
+def enforce(target: Mapping[str, str], record: Iterable[tuple[str, Any]], take: Callable[[Any, str], tuple[bool, Any]]) -> tuple[dict[str, Any], list[tuple[str, Any]], list[str]]:
+    """(kept, rescued, missing) of a record on a target of names and types. ``take`` says whether a type takes a value, and as what. Of two values for one name the first is kept."""
+    kept: dict[str, Any] = {}
+    rescued = []
+    for name, value in record:
+        fits, taken = take(value, target[name]) if name in target and name not in kept else (False, None)
+        if fits:
+            kept[name] = taken
+        else:
+            rescued.append((name, value))
+    got = {name for name, _ in rescued}
+    return kept, rescued, [name for name in target if name not in kept and name not in got]
+
 
+def _take_type(incoming: str, kind: str) -> tuple[bool, str]:
+    return incoming == kind, kind
 
-def ties(rescued: list[dict], missing: list[dict]) -> list[tuple[dict, dict]]:
-    """(former, renamed) for every rescued top-level field that a field id or a former name ties to a missing one."""
+
+def ties(unknown: list[dict], missing: list[dict]) -> list[tuple[dict, dict]]:
+    """(former, renamed) for every unknown top-level field that a field id or a former name ties to a missing one."""
     by_id = {f["field_id"]: f for f in missing if f["top"] and f["field_id"] is not None}
     by_name = {f["path"]: f for f in missing if f["top"]}
     out = []
-    for f in rescued:
+    for f in unknown:
         if f["top"]:
             was = by_id.get(f["field_id"]) if f["field_id"] is not None else None
             was = was or next((by_name[a] for a in f["former"] if a in by_name), None)
@@ -98,15 +110,20 @@ def ties(rescued: list[dict], missing: list[dict]) -> list[tuple[dict, dict]]:
 
 
 def changes_between(target: list[dict], incoming: list[dict]) -> list[tuple[str, str, str | None]]:
-    """(field_name, change_kind, former_name) of every change from target to incoming."""
-    kept, rescued, missing = enforce(target, incoming)
-    tied = ties(rescued, missing)
-    gone, come = {a["path"] for a, _ in tied}, {b["path"] for _, b in tied}
-    out = [(b["path"], "renamed", a["path"]) for a, b in tied]
-    out += [(b["path"], "type_changed", None) for a, b in [*kept, *tied] if a["type"] != b["type"]]
-    out += [(f["path"], "added", None) for f in rescued if f["path"] not in come]
-    out += [(f["path"], "removed", None) for f in missing if f["path"] not in gone]
-    return out
+    """(field_name, change_kind, former_name) of every change: what rescue ingestion does with the incoming definition on the target."""
+    old, new = {f["path"]: f for f in target}, {f["path"]: f for f in incoming}
+    types = {p: f["type"] for p, f in old.items()}
+    _, rescued, missing = enforce(types, ((p, f["type"]) for p, f in new.items()), _take_type)
+    unknown = [new[p] for p, _ in rescued if p not in old]
+    out: list[tuple[str, str, str | None]] = [(p, "type_changed", None) for p, _ in rescued if p in old]
+    promoted = {f["path"]: was["path"] for was, f in ties(unknown, [old[p] for p in missing])}
+    for f in unknown:
+        out.append((f["path"], "renamed" if f["path"] in promoted else "added", promoted.get(f["path"])))
+    # replay: the promoted field's type into the column it had before
+    _, again, _ = enforce({now: types[was] for now, was in promoted.items()}, ((now, new[now]["type"]) for now in promoted), _take_type)
+    out += [(p, "type_changed", None) for p, _ in again]
+    gone = set(promoted.values())
+    return out + [(p, "removed", None) for p in missing if p not in gone]
 
 
 def _parsed(column: Column) -> Column:
@@ -158,37 +175,42 @@ def version_changes(vs: DataFrame) -> DataFrame:
 def schema_changes(entries: DataFrame) -> DataFrame:
     """(subject, version, field_name, change_kind): each change of a version against the next lower one of its subject.
 
-    Method: the lower version is enforced as the target schema on the fields of the higher; see the module's text. A change
+    Method: the fields of the higher version are ingested on the lower one as target, by rescue, promotion and replay; see the module's text. A change
     of order, layout, spelling or required fields changes no field, so it isn't reported. A first version has no changes.
-    A version registered several times counts once; an empty table gives an empty result.
+    A version registered several times counts once; an empty table gives an empty result. Each definition is read once and written as fields.
     """
-    return version_changes(versions(entries)).drop("former_name")
+    vs, _ = settle(versions(entries), "versions")
+    return version_changes(vs).drop("former_name")
 
 
 # --- payloads ---------------------------------------------------------------------------------------------------------
 
 
-def cast_value(value: object, kind: str) -> tuple[bool, str | None]:
-    """(fits, text): the canonical text of a JSON value as the type. A null fits every type. Widening fits, narrowing doesn't."""
+#: Which typed column holds a type's values, and the type a subject's own table gives it.
+COLUMNS = {"bool": "bools", "int": "longs", "long": "longs", "float": "doubles", "double": "doubles", "string": "texts", "binary": "texts", "text": "texts"}
+SPARK_TYPES = {"bool": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double", "string": "string", "binary": "string", "text": "string"}
+TYPED = "struct<bools:map<string,boolean>,longs:map<string,bigint>,doubles:map<string,double>,texts:map<string,string>>"
+
+
+def cast_value(value: object, kind: str) -> tuple[bool, bool | int | float | str | None]:
+    """(fits, value): a JSON value as the type. A null fits every type but a struct. Widening fits, narrowing doesn't."""
+    if kind not in COLUMNS:
+        return False, None
     if value is None:
         return True, None
     if kind == "bool":
-        return (True, json.dumps(value)) if isinstance(value, bool) else (False, None)
+        return (True, value) if isinstance(value, bool) else (False, None)
     if kind in ("int", "long"):
         bits = 31 if kind == "int" else 63
         ok = isinstance(value, int) and not isinstance(value, bool) and -(1 << bits) <= value < 1 << bits
-        return (True, str(value)) if ok else (False, None)
+        return (True, value) if ok else (False, None)
     if kind in ("float", "double"):
         ok = isinstance(value, (int, float)) and not isinstance(value, bool)
         try:
-            return (True, repr(float(value))) if ok else (False, None)
+            return (True, float(value)) if ok else (False, None)
         except OverflowError:
             return False, None
-    if kind == "text":
-        return (False, None) if isinstance(value, (dict, list)) else (True, value if isinstance(value, str) else json.dumps(value))
-    if kind in ("string", "binary"):
-        return (True, value) if isinstance(value, str) else (False, None)
-    return False, None
+    return (True, value) if isinstance(value, str) else (False, None)
 
 
 def flatten(obj: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -216,8 +238,8 @@ def _no_json(constant: str) -> None:
     raise ValueError(constant)
 
 
-def route(payload: str | None, version: int | None, renames: list[dict], target: dict[str, str]) -> tuple[str, dict[str, str | None], dict[str, object]]:
-    """(status, typed, rescued) of one payload: its fields get their latest names and are enforced on the target's types."""
+def route(payload: str | None, version: int | None, renames: list[dict], target: dict[str, str]) -> tuple[str, dict[str, Any], dict[str, object]]:
+    """(status, typed, rescued) of one payload: its fields get their latest names and are enforced on the target. Rescued fields keep the names they came with."""
     try:
         obj = json.loads(payload, parse_constant=_no_json) if payload is not None else None
     except (ValueError, RecursionError):
@@ -226,19 +248,11 @@ def route(payload: str | None, version: int | None, renames: list[dict], target:
         return "null", {}, {}
     if not isinstance(obj, dict):
         return "not_object", {}, {"_raw": obj}
-    typed: dict[str, str | None] = {}
-    rescued: dict[str, object] = {}
-    for path, value in flatten(obj):
-        name = path if path in target else latest_name(path, version, renames)
-        kind = target.get(name)
-        if kind == "struct" and value == {}:
-            continue
-        fits, text = cast_value(value, kind) if kind and kind != "struct" else (False, None)
-        if fits and name not in typed:
-            typed[name] = text
-        else:
-            rescued[path] = value
-    return ("rescued" if rescued else "clean"), typed, rescued
+    fields = [(p, p if p in target else latest_name(p, version, renames), v) for p, v in flatten(obj)]
+    fields = [f for f in fields if not (f[2] == {} and target.get(f[1]) == "struct")]
+    kept, rescued, _ = enforce(target, ((name, (path, v)) for path, name, v in fields), lambda x, kind: cast_value(x[1], kind))
+    rest = {path: v for _, (path, v) in rescued}
+    return ("rescued" if rest else "clean"), kept, rest
 
 
 def target_tables(entries: DataFrame) -> DataFrame:
@@ -251,64 +265,78 @@ def target_tables(entries: DataFrame) -> DataFrame:
 
 
 def ingest(payloads: DataFrame, files: DataFrame, entries: DataFrame, promote: str = "approved") -> DataFrame:
-    """One consistent row per payload: (subject, payload_id, file_id, status, typed, rescued).
+    """One consistent, typed row per payload: (subject, payload_id, file_id, status, typed, rescued).
 
-    ``typed`` maps each of the subject's columns to its value's canonical text (null where the value is JSON null; absent where
-    there is none); ``rescued`` is a JSON object of the fields the target doesn't know or can't cast, null if there are none.
+    ``typed`` has the values of the subject's columns by name, in the map of their type: bools, longs (int, long), doubles (float, double), texts (string,
+    binary, and mixed scalars as text); null where the value is JSON null, absent where there is none. ``rescued`` is a JSON object of
+    the fields the target doesn't know or can't take, null if there are none. ``subject_table`` gives a subject's own table with a column per field.
     ``status``: clean, rescued, null, broken (no JSON, or nested or long beyond what the parser takes), not_object, or no_schema
     where the file or its subject isn't known; the last four keep the payload as ``_raw``.
 
     A file without a version is read with the names of all versions. Repeated payloads (one
     payload_id) fold to one. With ``promote='approved'`` undeclared fields that a file of the subject lists in promoted_fields
     become columns: their type is the narrowest that holds all their rescued values (text for mixed scalars, none for arrays), and those values are replayed into it.
+
+    A subject's plan (target and renames) reaches the tasks that need it as a row of its own ahead of the subject's payloads, not beside each of them. The
+    payloads of a subject are spread over slices, so one with a third of all rows isn't one task's.
     """
+    spark = payloads.sparkSession
     p = payloads.where("payload_id IS NOT NULL").groupBy("payload_id").agg(F.min(F.struct("file_id", "payload")).alias("p")).select("payload_id", "p.file_id", "p.payload")
     f = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("subject", F.col("schema_version").alias("version"))).alias("f")).select("file_id", "f.subject", "f.version")
-    t = target_tables(entries)
-    plan = t.select("subject", F.to_json(F.struct("target", "renames")).alias("plan"))
-    rows = p.join(f, "file_id", "left").join(plan, "subject", "left").select("subject", "payload_id", "file_id", "version", "plan", "payload")
-    done, _ = settle(rows.mapInArrow(_enforce_batches, ROUTED), "routed")
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    plans = target_tables(entries).select("subject", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), none("payload_id", "bigint"), none("file_id", "bigint"), none("version", "int"), none("payload", "string"), F.to_json(F.struct("target", "renames")).alias("plan"))
+    rows = p.join(f, "file_id", "left").select("subject", F.pmod(F.xxhash64("payload_id"), F.lit(slices)).cast("int").alias("slice"), "payload_id", "file_id", "version", "payload", none("plan", "string"))
+    both = plans.unionByName(rows).repartition("subject", "slice").sortWithinPartitions("subject", "slice", F.col("plan").isNull())
+    done, _ = settle(both.select("subject", "payload_id", "file_id", "version", "plan", "payload").mapInArrow(_enforce_batches, ROUTED), "routed")
     if promote == "approved":
         done = replay(done, approved_fields(done, files))
     return done.withColumn("rescued", F.when(F.size("rescued") > 0, _object("rescued")))
 
 
-ROUTED = "subject string, payload_id bigint, file_id bigint, status string, typed map<string,string>, rescued map<string,string>"
-
-
-@lru_cache(maxsize=4096)
-def _plan(text: str) -> tuple[dict[str, str], list[dict]]:
-    root = json.loads(text)
-    return root["target"], root.get("renames") or []
+ROUTED = f"subject string, payload_id bigint, file_id bigint, status string, typed {TYPED}, rescued map<string,string>"
+_TYPES = {"bools": pa.bool_(), "longs": pa.int64(), "doubles": pa.float64(), "texts": pa.string()}
 
 
-def _map_array(rows: list[dict[str, str | None]]) -> pa.Array:
+def _map_array(rows: list[dict], kind: pa.DataType) -> pa.Array:
     offsets, keys, items = [0], [], []
     for r in rows:
         keys.extend(r)
         items.extend(r.values())
         offsets.append(len(keys))
-    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(items, pa.string()))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(items, kind))
 
 
 def _enforce_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """route() over batches; a subject's plan comes as text and is read once per task, not once per row."""
+    """route() over rows of which a subject's plan comes first, then its payloads."""
+    of, target, renames = None, None, []
     for b in batches:
-        status, typed, rescued = [], [], []
-        for version, plan, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-            if plan is None:
+        at, status, rescued = [], [], []
+        typed: dict[str, list[dict]] = {c: [] for c in _TYPES}
+        for i, (subject, version, plan, text) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+            if plan is not None:
+                root = json.loads(plan)
+                of, target, renames = subject, root["target"], root.get("renames") or []
+                continue
+            if subject is None or subject != of:
                 s, good, bad = "no_schema", {}, {"_raw": text}
             else:
-                target, renames = _plan(plan)
                 s, good, bad = route(text, version, renames, target)
             try:
                 texts = {_utf8(k): json.dumps(v) for k, v in bad.items()}
             except RecursionError:  # nested too deeply to be written again: kept as it came
                 s, good, texts = "broken", {}, {"_raw": json.dumps(text)}
+            at.append(i)
             status.append(s)
-            typed.append({_utf8(k): None if v is None else _utf8(v) for k, v in good.items()})
             rescued.append(texts)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(status, pa.string()), _map_array(typed), _map_array(rescued)], names=["subject", "payload_id", "file_id", "status", "typed", "rescued"])
+            per: dict[str, dict] = {c: {} for c in _TYPES}
+            for k, v in good.items():
+                per[COLUMNS[target[k]]][_utf8(k)] = _utf8(v) if isinstance(v, str) else v
+            for c in _TYPES:
+                typed[c].append(per[c])
+        kept = b.take(pa.array(at, pa.int64()))
+        maps = pa.StructArray.from_arrays([_map_array(typed[c], t) for c, t in _TYPES.items()], names=list(_TYPES))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(status, pa.string()), maps, _map_array(rescued, pa.string())], names=["subject", "payload_id", "file_id", "status", "typed", "rescued"])
 
 
 def _utf8(text: str) -> str:
@@ -343,29 +371,43 @@ def approved_fields(done: DataFrame, files: DataFrame) -> DataFrame:
     for k in ("bool", "long", "double", "string"):
         one = one.when(F.col(k), k)
     # a declared field isn't promoted anew: its rescued values are mismatches, not missing columns
-    typed = done.where("subject IS NOT NULL").select("subject", F.explode(F.map_keys("typed")).alias("path")).distinct()
+    names = F.concat(*[F.map_keys(f"typed.{c}") for c in _TYPES])
+    typed = done.where("subject IS NOT NULL").select("subject", F.explode(names).alias("path")).distinct()
     return wanted.join(per, ["subject", "path"]).join(typed, ["subject", "path"], "left_anti").withColumn("kind", one).where("kind <> 'json'").groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "kind")))).alias("promoted"))
 
 
 def replay(done: DataFrame, promoted: DataFrame) -> DataFrame:
     """Move the rescued values of promoted fields into typed columns; their types hold every value, so none is left behind."""
     rows = done.join(promoted, "subject", "left")
-    goes = lambda k: F.coalesce(F.map_contains_key(F.col("promoted"), k), F.lit(False))
+    kind = lambda k: F.try_element_at(F.col("promoted"), k)
     plain = lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
-    text = lambda k, v: F.when(F.try_element_at(F.col("promoted"), k) == "double", plain(v).cast("double").cast("string")).otherwise(plain(v))
-    moved = F.transform_values(F.map_filter("rescued", lambda k, _: goes(k)), text)
     has = F.col("promoted").isNotNull() & (F.size("rescued") > 0)
-    typed = F.when(has, F.map_concat("typed", moved)).otherwise(F.col("typed"))
-    rest = F.when(has, F.map_filter("rescued", lambda k, _: ~goes(k))).otherwise(F.col("rescued"))
+
+    def added(column: str, kinds: tuple[str, ...], to: str) -> Column:
+        mine = F.map_filter("rescued", lambda k, _: F.coalesce(kind(k).isin(*kinds), F.lit(False)))
+        return F.when(has, F.map_concat(f"typed.{column}", F.transform_values(mine, lambda _, v: plain(v).cast(to)))).otherwise(F.col(f"typed.{column}")).alias(column)
+
+    typed = F.struct(added("bools", ("bool",), "boolean"), added("longs", ("long",), "bigint"), added("doubles", ("double",), "double"), added("texts", ("string", "text"), "string"))
+    rest = F.when(has, F.map_filter("rescued", lambda k, _: kind(k).isNull())).otherwise(F.col("rescued"))
     out = rows.select("subject", "payload_id", "file_id", "status", typed.alias("typed"), rest.alias("rescued"))
     return out.withColumn("status", F.when((F.col("status") == "rescued") & (F.size("rescued") == 0), "clean").otherwise(F.col("status")))
 
 
-#: Spark types of the canonical types.
-SPARK_TYPES = {"bool": "boolean", "int": "int", "long": "bigint", "float": "float", "double": "double", "string": "string", "binary": "string", "text": "string"}
+def subject_table(ingested: DataFrame, subject: str, target: Mapping[str, str]) -> DataFrame:
+    """The table of one subject: a column of its own type per field of the target, a struct's fields by their dotted path. On a written table (write_tables) only its folder is read."""
+    own = ingested.where(F.col("subject") == subject)
+    cols = [F.try_element_at(F.col("typed")[COLUMNS[kind]], F.lit(path)).cast(SPARK_TYPES[kind]).alias(path) for path, kind in sorted(target.items()) if kind in COLUMNS]
+    return own.select("payload_id", *cols, F.col("rescued").alias("_rescued"))
+
+
+def write_tables(ingested: DataFrame, path: str) -> None:
+    """All subjects' tables in one job, a folder per subject. A subject's rows are written by as many tasks as hold some."""
+    ingested.write.partitionBy("subject").parquet(path)
 
 
-def subject_table(ingested: DataFrame, target: dict[str, str]) -> DataFrame:
-    """The typed table of one subject from its ingested rows: a column per field of the target (a struct's fields by their dotted path)."""
-    cols = [F.col("typed")[path].cast(SPARK_TYPES[kind]).alias(path) for path, kind in sorted(target.items()) if kind in SPARK_TYPES]
-    return ingested.select("payload_id", *cols, F.col("rescued").alias("_rescued"))
+def cells(ingested: DataFrame) -> DataFrame:
+    """(subject, payload_id, field_name, bool_value, long_value, double_value, text_value): one row per value, in the column of its type."""
+    names = {"bools": "bool_value", "longs": "long_value", "doubles": "double_value", "texts": "text_value"}
+    kinds = {"bools": "boolean", "longs": "bigint", "doubles": "double", "texts": "string"}
+    one = lambda c: F.transform(F.map_entries(f"typed.{c}"), lambda e: F.struct(e["key"].alias("field_name"), *[(e["value"] if o == c else F.lit(None).cast(kinds[o])).alias(names[o]) for o in names]))
+    return ingested.select("subject", "payload_id", F.explode(F.concat(*[one(c) for c in names])).alias("v")).select("subject", "payload_id", "v.*")
