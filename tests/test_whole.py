@@ -13,13 +13,13 @@ def test_every_schema_step_is_compared(spark, tmp_path):
     d = lambda required, **fields: json.dumps({"fields": [{"name": k, "type": v} for k, v in fields.items()], "required_fields": required})
     rows = [(1, "a", 1, d(["x"], x="int")), (2, "a", 2, d(["x"], x="int", y="int")), (3, "a", 3, d(["x"], x="long", y="int")), (4, "a", 7, d([], y="int")), (5, "gap", 1, d(["x"], x="int")), (6, "gap", 3, d(["x"], x="int")), (7, "one", 1, d(["x"], x="int")), (8, "none", 1, d([])), (9, "none", 2, d([]))]
     spark.createDataFrame(rows, "schema_id bigint, subject string, version int, definition string").write.parquet(f"{tmp_path}/schema_entries.parquet")
-    got = {(r.subject, r.version): (r.previous, r.backward, r.forward, r.full) for r in e.queries()["schema_compatibility_steps"](spark, str(tmp_path)).collect()}
+    got = {(r.subject, r.version): (r.previous, r.backward, r.forward, r.full) for r in e.queries()["schema_compatibility"](spark, str(tmp_path)).collect()}
     assert got == {("a", 2): (1, True, True, True), ("a", 3): (2, False, True, False), ("a", 7): (3, True, False, False), ("gap", 3): (1, True, True, True), ("none", 2): (1, True, True, True)}
 
 
 def test_every_log_row_is_looked_up(spark):
     d = "/root/testdata/sf0.001"
-    got = e.queries()["chunk_covering_lookup_all"](spark, d)
+    got = e.queries()["chunk_covering_lookup"](spark, d)
     assert got.count() == spark.read.parquet(f"{d}/events.parquet").count() and got.where("start_offset IS NULL").count() == 0
 
 

@@ -57,6 +57,11 @@ def ring_successor(keys: DataFrame, nodes: DataFrame, key: str, node: str, vnode
     return found.select(*keys.columns, F.coalesce("ring_node", first.scalar()).alias("ring_node"))
 
 
+def committed(commits: DataFrame, by: Sequence[str], offset: str, order: Sequence[str]) -> DataFrame:
+    """Stream mode: the offset each group committed last, which may be lower than one before. Independent of what is leased or acknowledged."""
+    return commits.groupBy(*by).agg(F.max_by(offset, F.struct(*order, offset)).alias("committed_offset"))
+
+
 def translate(committed: DataFrame, bridges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Committed source offsets in the target's numbering: own_base + (offset - source_base) inside a bridged range; the outcome tells
     ``translated``, ``above_high_water`` or ``unmapped``."""

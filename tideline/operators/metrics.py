@@ -4,22 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Diagnostic codes and what to do about them.
+#: The number, name and subsystem of each diagnostic code. What to do about them is said in own words.
 DIAGNOSTICS = [
-    ("E001", "storage full", "free disk space or add a volume"),
-    ("E002", "checksum mismatch", "restore the segment from a replica"),
-    ("E003", "lease conflict", "retry with the current token"),
-    ("E004", "fenced epoch", "refresh the coordinator's epoch"),
-    ("E005", "schema incompatible", "register a compatible version"),
-    ("E006", "commit conflict", "rebase on the current snapshot and retry"),
-    ("E007", "quota exceeded", "slow down or raise the quota"),
-    ("E008", "key destroyed", "the data can't be read again"),
+    (1, "InvalidBatchHeader", "check how segments are aligned, and the disk"),
+    (2, "CrcMismatch", "recover the segment, or replace the device"),
+    (3, "StaleLeaseToken", "acquire the message again and use the new token"),
+    (4, "MaxRetriesExceeded", "look at the message in the dead-letter view"),
+    (5, "QuotaExceeded", "raise the tenant's quota or send less"),
+    (6, "StorageCorruption", "take the node out and rebuild it from its peers"),
+    (7, "WatermarkRegression", "stop and check how coordinators are fenced"),
+    (8, "SchemaIncompatible", "the payload went to the overflow; register a compatible version"),
+    (9, "IoFailure", "look at the kernel's log and the mount"),
+    (10, "BackpressureEngaged", "look at compaction and the upload backlog"),
+    (11, "RaftQuorumLost", "bring peers back or heal the network"),
+    (12, "EpochFenced", "refresh the shard's routing"),
+    (13, "RaftLeaderTransferTimeout", "let the follower catch up first"),
+    (14, "Tier1UploadFailed", "check credentials, limits and the network"),
+    (15, "StateReconciliationMismatch", "load the state's snapshot anew"),
+    (16, "NodeDrainTimeout", "evict the shards that didn't drain"),
 ]
 
 
+def diagnostics(spark: SparkSession, prefix: str = "ERR") -> DataFrame:
+    """(code, name, remediation) of the 16 codes; the prefix is the deployment's."""
+    return spark.createDataFrame([(f"{prefix}-{n:03d}", name, text) for n, name, text in DIAGNOSTICS], "code string, name string, remediation string")
+
+
+def readiness(probes: DataFrame) -> DataFrame:
+    """probes (draining, storage, state_plane, memory) with status and detail: draining first, then what is broken, then what is short."""
+    ok = lambda c: F.coalesce(F.col(c), F.lit(False))
+    status = F.when(ok("draining"), "Degraded").when(~ok("storage") | ~ok("state_plane"), "Unhealthy").when(~ok("memory"), "Degraded").otherwise("Healthy")
+    detail = F.when(ok("draining"), "draining").when(~ok("storage"), "storage isn't writable").when(~ok("state_plane"), "state plane is broken").when(~ok("memory"), "memory is short").otherwise("ready")
+    return probes.withColumn("status", status).withColumn("detail", detail)
+
+
+def migration_status(mappings: DataFrame, writes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per stream: the source's high-water mark, the own head, how far the own is ahead (0 where it is behind or nothing is mapped), and how many writes went to both."""
+    last = mappings.groupBy(*by).agg(F.max_by(F.struct("source_high", "own_head"), "at").alias("m"))
+    both = writes.groupBy(*by).agg(F.count(F.lit(1)).alias("dual_writes"))
+    j = last.join(both, list(by), "full_outer")
+    high, head = F.coalesce("m.source_high", F.lit(-1)), F.coalesce("m.own_head", F.lit(0))
+    return j.select(*by, high.alias("source_high"), head.alias("own_head"), F.when((high >= 0) & (head >= high), head - high).otherwise(0).alias("offset_lag"), F.coalesce("dual_writes", F.lit(0)).alias("dual_writes"))
+
+
 def rollup(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Count, sum, greatest and the floored integer mean (0 for nothing) of a counter."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"), F.coalesce(F.floor(F.sum(value) / F.count(value)), F.lit(0)).cast("bigint").alias("mean_floor"))

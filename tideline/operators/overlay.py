@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 READY, LEASED, ACKED, DLQ = "READY", "LEASED", "ACKED", "EVICTED_DLQ"
 TERMINAL = (ACKED, DLQ)
-_STATE = "struct<state:string,token:bigint,deadline_us:bigint,attempts:int,granted:int,rejected:int>"
+_STATE = "struct<state:string,token:bigint,deadline_us:bigint,attempts:int,granted:int,rejected:int,outcome:string>"
 
 
 def _step(max_retries: int, fenced_nack: bool):
@@ -30,18 +30,29 @@ def _step(max_retries: int, fenced_nack: bool):
         renewed = (op == "Renew") & holds
         evicted = (op == "EvictDlq") & (state != ACKED)
         redriven = (op == "Redrive") & (state == DLQ)
+        plain = (op == "AckUnfenced") & (state != DLQ)
         refused = ((op == "Acquire") & ~grant) | ((op == "Ack") & ~holds & (state != ACKED)) | ((op == "Renew") & ~holds)
         new_state = (
-            F.when(grant, LEASED).when(acked, ACKED).when(dropped & spent, DLQ).when(dropped, READY).when(evicted, DLQ).when(redriven, READY).otherwise(state)
+            F.when(grant, LEASED).when(acked | plain, ACKED).when(dropped & spent, DLQ).when(dropped, READY).when(evicted, DLQ).when(redriven, READY).otherwise(state)
         )
-        over = acked | dropped | evicted | redriven
+        over = acked | plain | dropped | evicted | redriven
+        # what the operation came to; an acknowledgement of what is acknowledged already passes
+        outcome = (
+            F.when(op == "Acquire", F.when(grant, "granted").otherwise("refused"))
+            .when(op == "Ack", F.when(acked | (state == ACKED), "accepted").when(state == LEASED, "conflict:stale_token").otherwise("conflict:not_leased"))
+            .when(op == "AckUnfenced", F.when(plain, "accepted").otherwise("ignored"))
+            .when(op == "Renew", F.when(renewed, "renewed").when(state == LEASED, "conflict:stale_token").otherwise("conflict:not_leased"))
+            .when(dropped, F.when(spent, "dead_lettered").otherwise("returned"))
+            .when(evicted, "dead_lettered").when(redriven, "redriven").otherwise("ignored")
+        )
         return F.struct(
             new_state.alias("state"),
             F.when(grant, e["token"]).when(~over, s["token"]).alias("token"),
             F.when(grant | renewed, e["deadline_us"]).when(~over, s["deadline_us"]).alias("deadline_us"),
-            F.when(grant, s["attempts"] + 1).when(redriven | evicted | acked, 0).otherwise(s["attempts"]).cast("int").alias("attempts"),
+            F.when(grant, s["attempts"] + 1).when(redriven | evicted | acked | plain | (dropped & spent), 0).otherwise(s["attempts"]).cast("int").alias("attempts"),
             (s["granted"] + grant.cast("int")).alias("granted"),
             (s["rejected"] + F.coalesce(refused, F.lit(False)).cast("int")).alias("rejected"),
+            outcome.alias("outcome"),
         )
 
     return step
@@ -52,15 +63,35 @@ def fold_journal(journal: DataFrame, key: Sequence[str], max_retries: int = 3, f
 
     Operations have seq, op, log_offset, token and deadline_us; rows repeated under one seq count once, rows out of order are put in
     order. An acquisition is granted on READY only and counts an attempt; an acknowledgement needs the lease's token (one on
-    ACKED passes); a nack or expiry returns the offset, or gives it up after ``max_retries`` attempts; ACKED outlives eviction. A nack isn't
-    checked for its token unless ``fenced_nack``. Operations without offset or seq are dropped.
+    ACKED passes), an unfenced one nothing, but it doesn't bring back a dead letter; a nack or expiry returns the offset, or gives it up after ``max_retries``
+    attempts, which are counted anew then; ACKED outlives eviction. A nack isn't checked for its token unless ``fenced_nack``. Operations without offset or seq are dropped.
     """
+    ops, start = _ops(journal, key)
+    done = ops.withColumn("s", F.aggregate("ops", start, lambda s, e: _step(max_retries, fenced_nack)(s, e).cast(_STATE)))
+    return done.select(*key, "log_offset", "s.*").drop("outcome")
+
+
+def journal_outcomes(journal: DataFrame, key: Sequence[str], max_retries: int = 3, fenced_nack: bool = False) -> DataFrame:
+    """(key, log_offset, seq, op, outcome): what each operation came to, by the rules of fold_journal: granted, refused, accepted, conflict:stale_token,
+    conflict:not_leased, renewed, returned, dead_lettered, redriven or ignored. An acknowledgement of a dead letter is a conflict, wherever the base is."""
+    ops, start = _ops(journal, key)
+    seed = F.struct(start.alias("s"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        new = _step(max_retries, fenced_nack)(acc["s"], e).cast(_STATE)
+        return F.struct(new.alias("s"), F.concat(acc["out"], F.array(new["outcome"])).alias("out"))
+
+    done = ops.withColumn("a", F.aggregate("ops", seed, step)).select(*key, "log_offset", F.explode(F.arrays_zip("ops", F.col("a.out").alias("out"))).alias("o"))
+    return done.select(*key, "log_offset", "o.ops.seq", "o.ops.op", F.col("o.out").alias("outcome"))
+
+
+def _ops(journal: DataFrame, key: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Each offset's operations in order, and the state they start from."""
     rows = journal.where("log_offset IS NOT NULL AND seq IS NOT NULL")
     once = rows.groupBy(*key, "log_offset", "seq").agg(F.min(F.struct("op", "token", "deadline_us")).alias("e"))
     ops = once.groupBy(*key, "log_offset").agg(F.array_sort(F.collect_list(F.struct("seq", "e.op", "e.token", "e.deadline_us"))).alias("ops"))
-    start = F.struct(F.lit(READY).alias("state"), F.lit(None).cast("bigint").alias("token"), F.lit(None).cast("bigint").alias("deadline_us"), F.lit(0).alias("attempts"), F.lit(0).alias("granted"), F.lit(0).alias("rejected"))
-    done = ops.withColumn("s", F.aggregate("ops", start.cast(_STATE), lambda s, e: _step(max_retries, fenced_nack)(s, e).cast(_STATE)))
-    return done.select(*key, "log_offset", "s.*")
+    start = F.struct(F.lit(READY).alias("state"), F.lit(None).cast("bigint").alias("token"), F.lit(None).cast("bigint").alias("deadline_us"), F.lit(0).alias("attempts"), F.lit(0).alias("granted"), F.lit(0).alias("rejected"), F.lit(None).cast("string").alias("outcome"))
+    return ops, start.cast(_STATE)
 
 
 def state_of_log(log: DataFrame, folded: DataFrame, key: Sequence[str] = ("stream_id",)) -> DataFrame:
@@ -99,10 +130,12 @@ def inspect(states: DataFrame, key: Sequence[str] = ("stream_id",), samples: int
     return counts.join(first, list(key), "left")
 
 
-def invariant_breaches(states: DataFrame, key: Sequence[str] = ("stream_id",)) -> DataFrame:
-    """Rows that break an invariant: an offset with two states, or one that isn't terminal below its group's base."""
+def invariant_breaches(states: DataFrame, key: Sequence[str] = ("stream_id",), bases: DataFrame | None = None) -> DataFrame:
+    """Rows that break an invariant: an offset with two states, or one that isn't terminal below its group's base (``bases`` has key and w_base as stored; else
+    the bases the states themselves give, below which nothing can be open)."""
     two = states.groupBy(*key, "log_offset").agg(F.count_distinct("state").alias("n")).where("n > 1").select(*key, "log_offset", F.lit("two_states").alias("breach"))
-    below = states.join(base_offsets(states, key).drop("head"), list(key)).where((F.col("log_offset") < F.col("w_base")) & ~F.col("state").isin(*TERMINAL))
+    held = (base_offsets(states, key) if bases is None else bases).select(*key, "w_base")
+    below = states.join(held, list(key)).where((F.col("log_offset") < F.col("w_base")) & ~F.col("state").isin(*TERMINAL))
     return two.unionByName(below.select(*key, "log_offset", F.lit("open_below_base").alias("breach")))
 
 

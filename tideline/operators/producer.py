@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +34,28 @@ class ProducerState:
 
 
 def fold_producers(batches: DataFrame, key: Sequence[str] = ("producer_id", "topic", "partition"), order: str = "arrival") -> DataFrame:
-    """Each producer batch with its outcome, in order of arrival per key. A producer id of -1 isn't checked.
+    """Each producer batch with its outcome, in order of arrival per key. A producer id of -1 isn't checked, and its batches go nowhere.
 
-    The rules are sequential per producer and partition, so this is the one place that folds a group in Python; a group is one
-    producer's batches (not records) to one partition.
+    The rules are sequential per producer and partition: a key's batches (not records) are one task's, streamed in order with one state, never held.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, out = ProducerState(), []
-        for r in pdf.itertuples():
-            out.append(("accepted", r.next_offset) if r.producer_id == -1 else state.offer(r.producer_epoch, r.base_sequence, r.n_records, r.next_offset))
-        return pdf.assign(outcome=[o for o, _ in out], base_offset=pd.array([b for _, b in out], dtype="Int64"))
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batches.schema) + ", " + OUTCOMES
-    return batches.groupBy(*key).applyInPandas(fold, schema)
+    cols = batches.columns
+    free = batches.where("producer_id = -1").select("*", F.lit("accepted").alias("outcome"), F.col("next_offset").cast("bigint").alias("base_offset"))
+    checked = batches.where("producer_id IS NULL OR producer_id <> -1").repartition(*key).sortWithinPartitions(*key, order)
+
+    def fold(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, ProducerState()
+        for b in parts:
+            outcomes, offsets = [], []
+            for *k, epoch, base, n, offset in zip(*[b.column(c).to_pylist() for c in (*key, "producer_epoch", "base_sequence", "n_records", "next_offset")], strict=True):
+                if k != now:
+                    now, state = k, ProducerState()
+                outcome, at = state.offer(epoch, base, n, offset)
+                outcomes.append(outcome)
+                offsets.append(at)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(outcomes, pa.string()), pa.array(offsets, pa.int64())], names=[*cols, "outcome", "base_offset"])
+
+    return checked.mapInArrow(fold, schema).unionByName(free)
 
 
 def check_sequences(batches: DataFrame, key: Sequence[str], order: str, base: str = "base_sequence", n: str = "n_records") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a type may widen to, in order.
@@ -48,15 +50,83 @@ def latest(entries: DataFrame) -> DataFrame:
     return per.select("subject", F.col("m.version").alias("version"), (-F.col("m.neg")).alias("schema_id"), "n_versions")
 
 
-def register(entries: DataFrame) -> DataFrame:
-    """Versions a registry would give definitions in order of arrival: identical to the latest returns it, else the next one."""
-    w = Window.partitionBy("subject").orderBy("registered_at", "schema_id")
-    new = F.coalesce(F.col("fingerprint") != F.lag("fingerprint").over(w), F.lit(True))
-    return entries.withColumn("new_", new.cast("int")).withColumn("assigned_version", F.sum("new_").over(w)).withColumn("is_new", F.col("new_") == 1).drop("new_")
+def fingerprint(definition: Column) -> Column:
+    """SHA-256 of a definition's canonical form: its fields by path, with canonical type and whether required, in order. Layout, order and spelling of a
+    definition make no difference; NULL for what isn't one."""
+    return F.sha2(canonical(definition), 256)
 
 
-def fingerprint(definition: Column) -> Column:
-    return F.sha2(F.regexp_replace(definition, r"\s+", ""), 256)
+def canonical(definition: Column) -> Column:
+    from .drift import _parsed
+
+    required = F.coalesce(F.from_json(F.get_json_object(definition, "$.required_fields"), "array<string>"), F.array().cast("array<string>"))
+    line = lambda f: F.concat(f["path"], F.lit(":"), f["type"], F.when(F.array_contains(required, f["path"]), F.lit("!")).otherwise(F.lit("")))
+    return F.array_join(F.array_sort(F.transform(_parsed(definition), line)), "\n")
+
+
+LEVELS = ("NONE", "BACKWARD", "FORWARD", "FULL")
+
+
+def register(entries: DataFrame, levels: DataFrame | None = None, default: str = "BACKWARD") -> DataFrame:
+    """Each submission (subject, definition, registered_at, schema_id) with outcome and assigned_version, as a registry would take them in their order.
+
+    One that is the same as the latest registered (by fingerprint) gives that version again (``same``); else it must be compatible with the latest, and the latest only,
+    at the subject's level (levels: subject, level; ``default`` without), and becomes the next version (``registered``) or not (``incompatible``); ``unreadable``
+    is no definition. Whether a submission counts depends on those before it, so a subject's submissions are one task's, streamed in order with one state.
+    """
+    from .drift import parse_definition
+
+    level = F.lit(default) if levels is None else F.coalesce("level", F.lit(default))
+    own = entries if levels is None else entries.join(levels.where("subject IS NOT NULL").groupBy("subject").agg(F.min("level").alias("level")), "subject", "left")
+    rows = own.where("subject IS NOT NULL").select("subject", "schema_id", "registered_at", "definition", F.upper(level).alias("level"), fingerprint(F.col("definition")).alias("fingerprint"))
+    ordered = rows.repartition("subject").sortWithinPartitions("subject", "registered_at", "schema_id")
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subject, version, held, latest = None, 0, None, None
+        for b in batches:
+            outcomes, assigned = [], []
+            for s, text, lev, mark in zip(*[b.column(c).to_pylist() for c in ("subject", "definition", "level", "fingerprint")], strict=True):
+                if s != subject:
+                    subject, version, held, latest = s, 0, None, None
+                if mark is None:
+                    outcome = "unreadable"
+                elif mark == held:
+                    outcome = "same"
+                else:
+                    new = _top_fields(text, parse_definition(text))
+                    outcome = "registered" if latest is None or may_follow(latest, new, lev) else "incompatible"
+                    if outcome == "registered":
+                        version, held, latest = version + 1, mark, new
+                outcomes.append(outcome)
+                assigned.append(version if outcome in ("registered", "same") else None)
+            yield pa.RecordBatch.from_arrays([b.column("subject"), b.column("schema_id"), b.column("fingerprint"), pa.array(outcomes, pa.string()), pa.array(assigned, pa.int32())], names=["subject", "schema_id", "fingerprint", "outcome", "assigned_version"])
+
+    return ordered.mapInArrow(fold, "subject string, schema_id bigint, fingerprint string, outcome string, assigned_version int")
+
+
+def _top_fields(text: str, fields: list[dict]) -> dict[str, tuple[str, bool]]:
+    required = json.loads(text).get("required_fields")
+    names = {n for n in required if isinstance(n, str)} if isinstance(required, list) else set()
+    return {f["path"]: (f["type"], f["path"] in names) for f in fields if f["top"]}
+
+
+def may_follow(old: dict[str, tuple[str, bool]], new: dict[str, tuple[str, bool]], level: str) -> bool:
+    """The rules of ``compatibility`` for two definitions (name -> type, required)."""
+    backward = all((n in old and old[n][1]) or not required for n, (_, required) in new.items()) and all(old[n][0] == new[n][0] for n in old.keys() & new.keys())
+    forward = all(n in new for n, (_, required) in old.items() if required)
+    return {"NONE": True, "BACKWARD": backward, "FORWARD": forward}.get(level, backward and forward)
+
+
+def resolve(entries: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """(fingerprint, subject, version, schema_id): the lowest version and id of each subject with a fingerprint."""
+    known = entries.select("subject", "version", "schema_id", fingerprint(F.col("definition")).alias("fingerprint")).where("fingerprint IS NOT NULL AND version IS NOT NULL")
+    first = known.join(fingerprints.select("fingerprint").distinct(), "fingerprint").groupBy("fingerprint", "subject").agg(F.min(F.struct("version", "schema_id")).alias("m"))
+    return first.select("fingerprint", "subject", "m.version", "m.schema_id")
+
+
+def usable(entries: DataFrame, deprecated: DataFrame) -> DataFrame:
+    """The entries of versions that aren't deprecated (subject, version)."""
+    return entries.join(deprecated.select("subject", "version").distinct(), ["subject", "version"], "left_anti")
 
 
 def widened(a: str, b: str) -> str | None:

@@ -72,7 +72,27 @@ def split_report(rows: DataFrame, key: str, payload: str, promoted: Sequence[str
     return rows.select(key, F.coalesce(is_object(F.col(payload)), F.lit(False)).alias("is_object"), F.size(F.array_intersect(keys, known)).cast("bigint").alias("n_columns"), F.size(F.array_except(keys, known)).cast("bigint").alias("n_overflow"))
 
 
-def promotion_score(observed: DataFrame, n_records: Column, consistency: Column, stability: Column) -> DataFrame:
-    """frequency x type consistency x stability per field, and whether it passes 0.70."""
-    score = F.col("n_seen") / n_records * consistency * stability
-    return observed.withColumn("score", F.round(score, 6)).withColumn("promote", score >= 0.70)
+def promotion_scores(rows: DataFrame, payload: str, part: str) -> DataFrame:
+    """(field, n_seen, score, promote): how often a field is seen x how consistent its type is x how steadily it is there, and whether that passes 0.70.
+
+    Consistency is the share of the commonest kind of value (string, number, boolean, object, array) among those that aren't null, stability the share of the
+    ``part``s (files) with any record in which the field is seen. Kinds and parts fold map-side.
+    """
+    m = rows.select(part, F.try_parse_json(F.col(payload)).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT")).select(part, F.col("v").cast("map<string,variant>").alias("m"))
+    totals = m.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(part).alias("parts"))
+    of = F.schema_of_variant("value")
+    kind = F.when(of == "STRING", "string").when(of == "BOOLEAN", "boolean").when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").when(of != "VOID", "number")
+    seen = m.select(part, F.explode("m").alias("field", "value")).select(part, "field", kind.alias("kind"))
+    kinds = seen.groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("kind").isNotNull()
+    per = kinds.groupBy("field").agg(F.sum("n").alias("n_seen"), F.coalesce(F.max(F.when(known, F.col("n"))) / F.sum(F.when(known, F.col("n"))), F.lit(0.0)).alias("consistency"))
+    parts = seen.select("field", part).distinct().groupBy("field").agg(F.count(part).alias("n_parts"))
+    score = F.col("n_seen") / totals.select("n").scalar() * F.col("consistency") * (F.col("n_parts") / totals.select("parts").scalar())
+    return per.join(parts, "field").select("field", "n_seen", F.round(score, 6).alias("score"), (score >= 0.70).alias("promote"))
+
+
+def mode_outcome(mode: str) -> Column:
+    """What a schema mode makes of a record, from its split_report: strict rejects what doesn't fit, permissive keeps it as overflow or raw."""
+    if mode == "strict":
+        return F.when(~F.col("is_object") | (F.col("n_overflow") > 0), "rejected").otherwise("accepted")
+    return F.when(~F.col("is_object"), "raw").when(F.col("n_overflow") > 0, "overflow").otherwise("accepted")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import govern, lookup, metrics, overlay, producer, registry, shred
-from ..session import scratch, settle
+from ..operators import govern, lookup, metrics, overlay, producer, quota, regions, registry, shred, transactions
+from ..session import kept, scratch, settle
 from ..session import table as t
 from ..sources import ledger, log
 
@@ -37,13 +37,15 @@ LOG = "WITH log AS (SELECT event_type AS stream_id, row_number() OVER (PARTITION
 
 
 def the_log(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").withColumn("stream_id", F.col("event_type"))
-    return log.dense_offsets(e, "stream_id", ["ts", "event_id"], F.to_date("ts"))
+    """The log of a folder's events, appended once a session in the lakehouse layout and read back."""
+    at = kept(spark, f"log of {d}", lambda at: log.write_layout(log.dense_offsets(t(spark, d, "events").withColumn("stream_id", F.col("event_type")), "stream_id", ["ts", "event_id"], F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)), at, "ts", 4))
+    return log.read_layout(spark, at).drop("event_date", "stream_bucket")
 
 
 @query(LOG + " SELECT stream_id, log_offset, event_id FROM log")
 def log_append_offsets(spark, d):
-    return the_log(spark, d).select("stream_id", "log_offset", "event_id")
+    e = t(spark, d, "events").withColumn("stream_id", F.col("event_type"))
+    return log.dense_offsets(e, "stream_id", ["ts", "event_id"], F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)).select("stream_id", "log_offset", "event_id")
 
 
 @query(LOG + " SELECT stream_id, max(log_offset) + 1 AS head_offset, count(*) AS n_records FROM log GROUP BY 1")
@@ -56,6 +58,28 @@ def log_fetch_range(spark, d):
     return log.fetch(the_log(spark, d), "click", 50, 100).select("stream_id", "log_offset", "event_id", "has_more")
 
 
+@query(LOG + """, p AS (SELECT *, sum(length(props)) OVER (ORDER BY log_offset) AS b FROM log WHERE stream_id = 'click' AND log_offset BETWEEN 50 AND 149)
+SELECT stream_id, log_offset, event_id, (SELECT max(log_offset) FROM log WHERE stream_id = 'click') > (SELECT max(log_offset) FROM p WHERE b <= 300) AS has_more FROM p WHERE b <= 300""")
+def log_fetch_bytes(spark, d):
+    return log.fetch(the_log(spark, d), "click", 50, 100, max_bytes=300, size=F.length("props")).select("stream_id", "log_offset", "event_id", "has_more")
+
+
+@query("SELECT record_id, batch_id // 100 AS segment, row_number() OVER (ORDER BY batch_id // 100, batch_id, record_id) - 1 AS replay_no FROM (SELECT DISTINCT record_id, batch_id FROM record_entries)")
+def log_ordered_replay(spark, d):
+    r = t(spark, d, "record_entries").select("record_id", "batch_id", F.floor(F.col("batch_id") / 100).alias("segment")).distinct()
+    return log.replay(r, "segment", ["batch_id", "record_id"]).select("record_id", "segment", "replay_no")
+
+
+@query(LOG + " SELECT stream_id, log_offset // 500 AS chunk, bool_or(event_id % 997 = 0) AS broken FROM log GROUP BY 1, 2")
+def chunk_verify(spark, d):
+    """Sealed chunks against their checksums, after some payloads were altered."""
+    rows = the_log(spark, d)
+    sealed = log.seal(log.chunk_manifest(rows, 500, F.length("props")), rows, 500, "props")
+    altered = rows.withColumn("props", F.when(F.col("event_id") % 997 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props")))
+    now = log.seal(sealed.drop("crc32"), altered, 500, "props").select("stream_id", "start_offset", F.col("crc32").alias("found"))
+    return sealed.join(now, ["stream_id", "start_offset"]).select("stream_id", F.floor(F.col("start_offset") / 500).alias("chunk"), (F.col("crc32") != F.col("found")).alias("broken"))
+
+
 @query("SELECT count(DISTINCT batch_id // 100) AS n_segments, count(DISTINCT batch_id) AS n_batches, count(*) AS n_records, max(logical_offset) AS last_offset FROM record_entries")
 def log_replay_report(spark, d):
     r = t(spark, d, "record_entries").select(F.floor(F.col("batch_id") / 100).alias("segment"), "batch_id", F.col("logical_offset").alias("log_offset"))
@@ -74,17 +98,9 @@ def chunk_manifest(spark, d):
     return log.chunk_manifest(the_log(spark, d), 500, F.length("props"))
 
 
-@query(LOG + """, chunks AS (SELECT stream_id, min(log_offset) AS s, max(log_offset) AS e FROM log GROUP BY stream_id, log_offset // 500)
-SELECT l.stream_id, l.log_offset, c.s AS start_offset, c.e AS end_offset FROM log l LEFT JOIN chunks c ON c.stream_id = l.stream_id AND l.log_offset BETWEEN c.s AND c.e WHERE l.event_id % 7 = 0""")
-def chunk_covering_lookup(spark, d):
-    rows = the_log(spark, d)
-    points = rows.where("event_id % 7 = 0").select("stream_id", "log_offset")
-    return lookup.covering(points, log.chunk_manifest(rows, 500, F.length("props")), "stream_id", "log_offset", 500, ["start_offset", "end_offset"])
-
-
 @query(LOG + """, chunks AS (SELECT stream_id, min(log_offset) AS s, max(log_offset) AS e FROM log GROUP BY stream_id, log_offset // 500)
 SELECT l.stream_id, l.log_offset, c.s AS start_offset, c.e AS end_offset FROM log l LEFT JOIN chunks c ON c.stream_id = l.stream_id AND l.log_offset BETWEEN c.s AND c.e""")
-def chunk_covering_lookup_all(spark, d):
+def chunk_covering_lookup(spark, d):
     rows = the_log(spark, d)
     return lookup.covering(rows.select("stream_id", "log_offset"), log.chunk_manifest(rows, 500, F.length("props")), "stream_id", "log_offset", 500, ["start_offset", "end_offset"])
 
@@ -97,18 +113,10 @@ def sparse_floor_lookup(spark, d):
     return lookup.asof_backward(rows.select("stream_id", "log_offset"), index, "stream_id", "log_offset", ["indexed_offset", "segment_id"], 1000)
 
 
-@query("""WITH p AS (SELECT left(md5(s_suppkey::VARCHAR || '#' || v), 8) AS h, s_suppkey::VARCHAR AS n FROM supplier, range(16) r(v) WHERE s_suppkey <= 8),
-k AS (SELECT c_custkey, left(md5(c_custkey::VARCHAR), 8) AS h FROM customer)
-SELECT c_custkey, coalesce(p.n, (SELECT arg_min(n, (h, n)) FROM p)) AS ring_node FROM k ASOF LEFT JOIN p ON p.h >= k.h""")
-def ring_successor(spark, d):
-    nodes = t(spark, d, "supplier").where("s_suppkey <= 8")
-    return lookup.ring_successor(t(spark, d, "customer").select("c_custkey"), nodes, "c_custkey", "s_suppkey")
-
-
 @query("""WITH p AS (SELECT left(md5(s_suppkey::VARCHAR || '#' || v), 8) AS h, min(s_suppkey::VARCHAR) AS n FROM supplier, range(16) r(v) GROUP BY 1),
 k AS (SELECT c_custkey, left(md5(c_custkey::VARCHAR), 8) AS h FROM customer)
 SELECT c_custkey, coalesce(p.n, (SELECT arg_min(n, h) FROM p)) AS ring_node FROM k ASOF LEFT JOIN p ON p.h >= k.h""")
-def ring_successor_all(spark, d):
+def ring_successor(spark, d):
     return lookup.ring_successor(t(spark, d, "customer").select("c_custkey"), t(spark, d, "supplier"), "c_custkey", "s_suppkey")
 
 
@@ -118,7 +126,7 @@ def offset_for_time(spark, d):
 
 
 _BRIDGE = """WITH b AS (SELECT stream_id, min(logical_offset) AS source_base, max(logical_offset) - 5 AS high_water, 500 + 10 * min(logical_offset) AS own_base FROM record_entries WHERE stream_id IS NOT NULL GROUP BY 1),
-c AS (SELECT group_id, stream_id, max(log_offset) AS committed_offset FROM lease_deltas WHERE op = 'Ack' GROUP BY 1, 2),
+c AS (SELECT group_id, stream_id, arg_max(log_offset, (seq, log_offset)) AS committed_offset FROM lease_deltas WHERE op = 'Ack' GROUP BY 1, 2),
 j AS (SELECT c.*, own_base + committed_offset - source_base AS moved, CASE WHEN own_base IS NULL THEN 'unmapped' WHEN committed_offset > high_water THEN 'above_high_water' ELSE 'translated' END AS outcome FROM c LEFT JOIN b ON b.stream_id = c.stream_id)
 """
 
@@ -129,7 +137,8 @@ def _translated(spark, d):
 
 
 def _commits(spark, d):
-    return t(spark, d, "lease_deltas").where("op = 'Ack'").groupBy("group_id", "stream_id").agg(F.max("log_offset").alias("committed_offset"))
+    """The acknowledgements taken as commits of a stream-mode group."""
+    return lookup.committed(t(spark, d, "lease_deltas").where("op = 'Ack'"), ["group_id", "stream_id"], "log_offset", ["seq"])
 
 
 @query(_BRIDGE + "SELECT group_id, stream_id, committed_offset, CASE WHEN outcome = 'translated' THEN moved END AS own_offset, outcome FROM j")
@@ -142,14 +151,41 @@ def migration_report(spark, d):
     return _translated(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.max("committed_offset").alias("high"))
 
 
-@query("SELECT group_id, stream_id, max(log_offset) AS committed_offset FROM lease_deltas WHERE op = 'Ack' GROUP BY 1, 2")
+@query("SELECT group_id, stream_id, arg_max(log_offset, (seq, log_offset)) AS committed_offset FROM lease_deltas WHERE op = 'Ack' GROUP BY 1, 2")
 def committed_offsets(spark, d):
     return _commits(spark, d)
 
 
-@query("SELECT region_name, count(*) AS n_batches, max(last_offset) AS last_applied FROM (SELECT DISTINCT * FROM batch_headers) GROUP BY 1")
+_REGIONS = """WITH b AS (SELECT DISTINCT batch_id AS pos, coalesce(region_name, 'nowhere') AS region, base_offset, record_count, batch_id % 7 AS region_epoch FROM batch_headers),
+c AS (SELECT pos, region, CASE WHEN pos % 60 < 20 THEN 'promote' ELSE 'demote' END AS kind, pos % 5 AS new_epoch FROM b WHERE pos % 20 = 0),
+z AS (SELECT *, count(*) FILTER (kind = 'demote') OVER (PARTITION BY region ORDER BY pos) AS z FROM c),
+r AS (SELECT region, pos, kind, coalesce(first_value(CASE WHEN kind = 'demote' THEN new_epoch END) OVER (PARTITION BY region, z ORDER BY pos), 0) + count(*) FILTER (kind = 'promote') OVER (PARTITION BY region, z ORDER BY pos) AS epoch FROM z),
+o AS (SELECT b.*, CASE WHEN r.kind = 'promote' THEN 'rejected:primary' WHEN b.region_epoch < coalesce(r.epoch, 0) THEN 'rejected:stale_epoch' ELSE 'applied' END AS outcome FROM b ASOF LEFT JOIN r ON r.region = b.region AND b.pos >= r.pos)
+"""
+
+
+def _applied(spark, d):
+    h = t(spark, d, "batch_headers").select(F.col("batch_id").alias("at"), F.coalesce("region_name", F.lit("nowhere")).alias("region"), "base_offset", F.col("record_count").alias("n_records"), (F.col("batch_id") % 7).alias("region_epoch")).distinct()
+    events = h.where("at % 20 = 0").select("region", "at", F.when(F.col("at") % 60 < 20, "promote").otherwise("demote").alias("kind"), (F.col("at") % 5).alias("new_epoch"))
+    return regions.apply_batches(h, events, 1000)
+
+
+@query(_REGIONS + "SELECT region, pos, outcome, CASE WHEN outcome = 'applied' THEN base_offset + record_count - 1 END AS last_offset FROM o")
+def replication_outcomes(spark, d):
+    """Batches sent to their own region, whose role changes with every twentieth."""
+    return _applied(spark, d).select("region", F.col("at").alias("pos"), "outcome", "last_offset")
+
+
+@query(_REGIONS + "SELECT region, region_epoch, arg_max(base_offset + record_count - 1, pos) AS last_offset FROM o WHERE outcome = 'applied' GROUP BY 1, 2")
 def replication_applied(spark, d):
-    return t(spark, d, "batch_headers").distinct().groupBy("region_name").agg(F.count(F.lit(1)).alias("n_batches"), F.max("last_offset").alias("last_applied"))
+    return regions.replicated_offsets(_applied(spark, d), "region_epoch")
+
+
+@query("""SELECT region_name, max(last_offset) AS own_head, arg_max(base_offset, batch_id) AS source_high, max(last_offset) - arg_max(base_offset, batch_id) AS offset_lag, count(*) FILTER (flags = 0) AS dual_writes
+FROM (SELECT DISTINCT * FROM batch_headers WHERE region_name IS NOT NULL) GROUP BY 1""")
+def migration_status(spark, d):
+    h = t(spark, d, "batch_headers").where("region_name IS NOT NULL").distinct()
+    return metrics.migration_status(h.select("region_name", F.col("batch_id").alias("at"), F.col("base_offset").alias("source_high"), F.col("last_offset").alias("own_head")), h.where("flags = 0"), ["region_name"])
 
 
 # --- shredding -----------------------------------------------------------------------------------------------------------
@@ -207,11 +243,14 @@ def shred_not_objects(spark, d):
     return s.where(~F.coalesce(shred.is_object(F.col("payload")), F.lit(False))).select("payload_id", F.col(shred.OVERFLOW).isNotNull().alias("has_overflow"))
 
 
-@query(_PAY + ", n AS (SELECT count(*) AS n FROM o WHERE is_object) SELECT field, n_seen, round(n_seen::DOUBLE / n * 0.95, 6) AS score, n_seen::DOUBLE / n * 0.95 >= 0.7 AS promote FROM f, n")
+@query(_PAY + """, g AS (SELECT payload_id, any_value(file_id) AS file_id FROM shred_payloads GROUP BY 1), m AS (SELECT k.payload_id, k.field, g.file_id, CASE json_type(json_extract(o.j, '$."' || k.field || '"')) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind
+  FROM (SELECT DISTINCT * FROM k) k JOIN o USING (payload_id) JOIN g USING (payload_id)),
+c AS (SELECT field, max(n)::DOUBLE / sum(n) AS consistency FROM (SELECT field, kind, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT field, count(*) AS n_seen, count(DISTINCT file_id) AS n_files FROM m GROUP BY 1), n AS (SELECT count(*) AS n, count(DISTINCT g.file_id) AS files FROM o JOIN g USING (payload_id) WHERE is_object)
+SELECT field, n_seen, round(n_seen::DOUBLE / n * coalesce(consistency, 0) * (n_files::DOUBLE / files), 6) AS score, n_seen::DOUBLE / n * coalesce(consistency, 0) * (n_files::DOUBLE / files) >= 0.7 AS promote FROM s LEFT JOIN c USING (field), n""")
 def shred_promotion_score(spark, d):
-    n = _payloads(spark, d).where(shred.is_object(F.col("payload"))).agg(F.count(F.lit(1)).alias("n"))
-    f = field_frequency(spark, d)
-    return shred.promotion_score(f, n.scalar(), F.lit(0.95), F.lit(1.0)).select("field", "n_seen", "score", "promote")
+    rows = t(spark, d, "shred_payloads").groupBy("payload_id").agg(F.min("payload").alias("payload"), F.max("file_id").alias("file_id"))
+    return shred.promotion_scores(rows, "payload", "file_id").select("field", "n_seen", "score", "promote")
 
 
 # --- the lakehouse -------------------------------------------------------------------------------------------------------
@@ -242,11 +281,12 @@ def snapshot_as_of(spark, d):
     return ledger.as_of(files, h, "day", 4).select("file_id", "subject", "record_count")
 
 
-@query("SELECT file_path FROM data_files WHERE file_id NOT IN (SELECT file_id FROM shred_payloads WHERE file_id IS NOT NULL) AND partition_spec_id <> 2")
+@query("SELECT file_path FROM data_files WHERE committed_at::DATE > DATE '2024-03-04' AND partition_spec_id <> 2")
 def orphan_files(spark, d):
-    f = t(spark, d, "data_files").select("file_path", "file_id", "partition_spec_id")
-    used = f.join(t(spark, d, "shred_payloads").select("file_id").distinct(), "file_id", "left_semi").select("file_path")
-    return ledger.orphan_files(f.select("file_path"), used, f.where("partition_spec_id = 2").select("file_path"))
+    """Files written since the last snapshot taken into account: of no snapshot, unless a writer has them pending."""
+    f = t(spark, d, "data_files")
+    used = f.where("CAST(committed_at AS DATE) <= date'2024-03-04'")
+    return ledger.orphan_files(f.select("file_path"), used.select("file_path"), f.where("partition_spec_id = 2").select("file_path"))
 
 
 @query("SELECT file_id, CASE WHEN file_id % 3 = 0 THEN file_id - 2 WHEN file_id = 1 THEN NULL ELSE file_id - 1 END AS expected_parent, nullif(file_id - 1, 0) AS current, CASE WHEN file_id % 3 = 0 THEN 'conflict' ELSE 'accepted' END AS outcome FROM data_files")
@@ -261,9 +301,8 @@ _DUE = "SELECT file_id, greatest(epoch_ms(committed_at) % 100000 - 4000, 0) >= 6
 
 @query(_DUE)
 def commit_due(spark, d):
-    ms = F.unix_millis(F.col("committed_at").cast("timestamp"))
-    elapsed = F.greatest(F.pmod(ms, F.lit(100_000)) - 4000, F.lit(0))
-    return t(spark, d, "data_files").select("file_id", (elapsed >= ledger.CADENCE_MS["standard"]).alias("standard_due"), (elapsed >= ledger.CADENCE_MS["fast"]).alias("fast_due"))
+    now = F.pmod(F.unix_millis(F.col("committed_at").cast("timestamp")), F.lit(100_000))
+    return t(spark, d, "data_files").select("file_id", ledger.due(F.lit(4000), now, "standard").alias("standard_due"), ledger.due(F.lit(4000), now, "fast").alias("fast_due"))
 
 
 @query("SELECT subject, count(*) AS n_files, sum(file_size_bytes)::BIGINT AS n_bytes, round(avg(file_size_bytes), 3) AS mean_bytes, round(avg((file_size_bytes < 4096)::INT), 6) AS small_share FROM data_files GROUP BY 1")
@@ -301,34 +340,7 @@ def ledger_round_trip(spark, d):
 # --- schemas -------------------------------------------------------------------------------------------------------------
 
 
-def _fields(spark, d, version: int):
-    from ..operators import drift
-
-    v = drift.versions(t(spark, d, "schema_entries")).where(F.col("version") == version)
-    e = t(spark, d, "schema_entries").where(F.col("version") == version).groupBy("subject").agg(F.min_by("definition", "schema_id").alias("definition"))
-    required = e.select("subject", F.from_json(F.get_json_object("definition", "$.required_fields"), "array<string>").alias("required_fields"))
-    flat = v.join(required, "subject").select("subject", F.explode("fields").alias("f"), "required_fields").where("f.top")
-    return flat.select("subject", F.col("f.path").alias("field"), F.col("f.type").alias("type"), F.coalesce(F.array_contains("required_fields", F.col("f.path")), F.lit(False)).alias("required"))
-
-
 _TYPES = "CASE lower(t) WHEN 'boolean' THEN 'bool' WHEN 'int32' THEN 'int' WHEN 'integer' THEN 'int' WHEN 'int64' THEN 'long' WHEN 'bigint' THEN 'long' WHEN 'float32' THEN 'float' WHEN 'real' THEN 'float' WHEN 'float64' THEN 'double' WHEN 'utf8' THEN 'string' WHEN 'text' THEN 'string' WHEN 'bytes' THEN 'binary' WHEN 'record' THEN 'struct' ELSE lower(t) END"
-_COMPAT = f"""WITH e AS (SELECT subject, version, arg_min(definition::JSON, schema_id) AS j FROM schema_entries WHERE version IN (1, 2) GROUP BY 1, 2),
-l AS (SELECT subject, version, j, unnest(json_extract(j, '$.fields[*]')) AS f FROM e WHERE json_type(j, '$.fields') = 'ARRAY'),
-o AS (SELECT subject, version, j, unnest(json_keys(j, '$.fields')) AS k FROM e WHERE json_type(j, '$.fields') = 'OBJECT'),
-r AS (SELECT subject, version, j, f->>'$.name' AS field, f->>'$.type' AS t FROM l
-  UNION ALL SELECT subject, version, j, k, CASE WHEN json_type(json_extract(j, '$.fields."' || k || '"')) = 'OBJECT' THEN 'struct' ELSE json_extract_string(j, '$.fields."' || k || '"') END FROM o),
-x AS (SELECT subject, version, field, {_TYPES} AS type, list_contains(CAST(json_extract(j, '$.required_fields') AS VARCHAR[]), field) AS required FROM r),
-a AS (SELECT * FROM x WHERE version = 1), b AS (SELECT * FROM x WHERE version = 2),
-m AS (SELECT coalesce(a.subject, b.subject) AS subject, a.field AS fa, b.field AS fb, a.type AS ta, b.type AS tb, coalesce(a.required, false) AS ra, coalesce(b.required, false) AS rb FROM a FULL JOIN b ON a.subject = b.subject AND a.field = b.field)
-SELECT subject, NOT bool_or((fb IS NOT NULL AND rb AND NOT ra) OR (fa IS NOT NULL AND fb IS NOT NULL AND ta <> tb)) AS backward, NOT bool_or(ra AND fb IS NULL) AS forward,
-  NOT bool_or((fb IS NOT NULL AND rb AND NOT ra) OR (fa IS NOT NULL AND fb IS NOT NULL AND ta <> tb)) AND NOT bool_or(ra AND fb IS NULL) AS "full" FROM m GROUP BY 1"""
-
-
-@query(_COMPAT)
-def schema_compatibility(spark, d):
-    return registry.compatibility(_fields(spark, d, 1), _fields(spark, d, 2))
-
-
 _STEPS = f"""WITH e AS (SELECT subject, version, arg_min(definition::JSON, schema_id) AS j FROM schema_entries GROUP BY 1, 2),
 s AS (SELECT * FROM (SELECT subject, version, lag(version) OVER (PARTITION BY subject ORDER BY version) AS previous FROM e) WHERE previous IS NOT NULL),
 l AS (SELECT subject, version, j, unnest(json_extract(j, '$.fields[*]')) AS f FROM e WHERE json_type(j, '$.fields') = 'ARRAY'),
@@ -345,7 +357,7 @@ SELECT subject, version, previous, coalesce(backward, true) AS backward, coalesc
 
 
 @query(_STEPS)
-def schema_compatibility_steps(spark, d):
+def schema_compatibility(spark, d):
     from ..operators import drift
 
     entries = t(spark, d, "schema_entries")
@@ -363,15 +375,49 @@ def schema_latest(spark, d):
     return registry.latest(t(spark, d, "schema_entries"))
 
 
-@query("SELECT schema_id, version, sha256(regexp_replace(definition, '\\s+', '', 'g')) AS fingerprint FROM schema_entries")
+_CANON = f"""WITH e AS (SELECT schema_id, subject, version, registered_at, definition::JSON AS j FROM schema_entries),
+l AS (SELECT schema_id, subject, version, registered_at, j, unnest(json_extract(j, '$.fields[*]')) AS f FROM e WHERE json_type(j, '$.fields') = 'ARRAY'),
+o AS (SELECT schema_id, subject, version, registered_at, j, unnest(json_keys(j, '$.fields')) AS k FROM e WHERE json_type(j, '$.fields') = 'OBJECT'),
+ov AS (SELECT *, json_extract(j, '$.fields."' || k || '"') AS v FROM o),
+r AS (SELECT schema_id, subject, version, registered_at, j, f->>'$.name' AS path, f->>'$.type' AS t FROM l
+  UNION ALL SELECT schema_id, subject, version, registered_at, j, k, CASE WHEN json_type(v) = 'OBJECT' THEN 'struct' ELSE v->>'$' END FROM ov
+  UNION ALL SELECT schema_id, subject, version, registered_at, j, path || '.' || (c->>'$.name'), c->>'$.type' FROM (SELECT schema_id, subject, version, registered_at, j, f->>'$.name' AS path, unnest(json_extract(f, '$.fields[*]')) AS c FROM l WHERE lower(f->>'$.type') IN ('struct', 'record'))
+  UNION ALL SELECT schema_id, subject, version, registered_at, j, k || '.' || c, json_extract_string(i, '$."' || c || '"') FROM (SELECT schema_id, subject, version, registered_at, j, k, i, unnest(json_keys(i)) AS c FROM (SELECT *, json_extract(v, '$.*')[1] AS i FROM ov WHERE json_type(v) = 'OBJECT'))),
+x AS (SELECT DISTINCT schema_id, subject, version, registered_at, path || ':' || {_TYPES} || CASE WHEN list_contains(CAST(json_extract(j, '$.required_fields') AS VARCHAR[]), path) THEN '!' ELSE '' END AS line FROM r),
+c AS (SELECT schema_id, subject, version, registered_at, sha256(string_agg(line, E'\\n' ORDER BY line)) AS fingerprint FROM x GROUP BY 1, 2, 3, 4)
+"""
+
+
+@query(_CANON + "SELECT schema_id, version, fingerprint FROM c")
 def schema_fingerprints(spark, d):
-    return t(spark, d, "schema_entries").select("schema_id", "version", registry.fingerprint(F.col("definition")).alias("fingerprint"))
+    return t(spark, d, "schema_entries").select("schema_id", "subject", "version", "registered_at", registry.fingerprint(F.col("definition")).alias("fingerprint")).distinct().select("schema_id", "version", "fingerprint")
+
+
+@query(_CANON + """, g AS (SELECT *, coalesce(fingerprint <> lag(fingerprint) OVER w, true) AS fresh FROM c WINDOW w AS (PARTITION BY subject ORDER BY registered_at, schema_id))
+SELECT subject, schema_id, CASE WHEN fresh THEN 'registered' ELSE 'same' END AS outcome, count(*) FILTER (fresh) OVER (PARTITION BY subject ORDER BY registered_at, schema_id)::INT AS assigned_version FROM g""")
+def schema_register(spark, d):
+    """All entries submitted anew in their order, to subjects without a compatibility level; levels are tested against a plain registry."""
+    entries = t(spark, d, "schema_entries").select("subject", "schema_id", "definition", "registered_at").distinct()
+    return registry.register(entries, default="NONE").select("subject", "schema_id", "outcome", "assigned_version")
+
+
+@query(_CANON + ", w AS (SELECT fingerprint FROM c WHERE version = 2) SELECT fingerprint, subject, arg_min(version, (version, schema_id)) AS version, arg_min(schema_id, (version, schema_id)) AS schema_id FROM c WHERE fingerprint IN (SELECT fingerprint FROM w) GROUP BY 1, 2")
+def schema_resolve(spark, d):
+    """Who else has a definition that some subject has as its second version."""
+    entries = t(spark, d, "schema_entries")
+    return registry.resolve(entries, entries.where("version = 2").select(registry.fingerprint(F.col("definition")).alias("fingerprint")))
+
+
+@query("SELECT schema_id, subject, version FROM schema_entries WHERE NOT (version % 3 = 1 AND subject < 'm') OR version IS NULL OR subject IS NULL")
+def schema_usable(spark, d):
+    entries = t(spark, d, "schema_entries")
+    return registry.usable(entries, entries.where("version % 3 = 1 AND subject < 'm'")).select("schema_id", "subject", "version")
 
 
 # --- the overlay ---------------------------------------------------------------------------------------------------------
 
 STATE = LOG + """, s AS (SELECT stream_id, log_offset, event_id, ts, user_id, CASE WHEN event_id % 11 = 0 THEN 'EVICTED_DLQ' WHEN event_id % 13 = 0 THEN 'LEASED' ELSE 'ACKED' END AS state,
-  CASE WHEN event_id % 11 = 0 THEN 3 WHEN event_id % 13 = 0 THEN event_id % 3 + 1 ELSE 0 END AS attempts FROM log),
+  CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 13 = 0 THEN event_id % 3 + 1 ELSE 0 END AS attempts FROM log),
 w AS (SELECT stream_id, coalesce(min(log_offset) FILTER (state IN ('LEASED', 'READY')), max(log_offset) + 1) AS w_base, max(log_offset) AS head FROM s GROUP BY 1)
 """
 
@@ -415,9 +461,15 @@ def overlay_inspection(spark, d):
     return overlay.inspect(the_states(spark, d)).withColumn("sample_sum", F.aggregate("dlq_samples", F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("dlq_samples")
 
 
-@query(STATE + "SELECT stream_id, log_offset, 'open_below_base' AS breach FROM s JOIN w USING (stream_id) WHERE log_offset < w_base AND state NOT IN ('ACKED', 'EVICTED_DLQ')")
+@query(STATE + """SELECT stream_id, log_offset, 'open_below_base' AS breach FROM s JOIN w USING (stream_id) WHERE log_offset < w_base + 7 AND state NOT IN ('ACKED', 'EVICTED_DLQ')
+UNION ALL SELECT stream_id, log_offset, 'two_states' FROM s WHERE event_id % 50 = 0 AND state <> 'READY'
+UNION ALL SELECT stream_id, log_offset, 'open_below_base' FROM s JOIN w USING (stream_id) WHERE event_id % 50 = 0 AND log_offset < w_base + 7""")
 def overlay_invariants(spark, d):
-    return overlay.invariant_breaches(the_states(spark, d).select("stream_id", "log_offset", "state"))
+    """A state that was tampered with: some offsets are READY besides what they are, and bases ran ahead."""
+    states = the_states(spark, d).select("stream_id", "log_offset", "state", "event_id")
+    both = states.unionByName(states.where("event_id % 50 = 0").withColumn("state", F.lit("READY"))).drop("event_id")
+    bases = overlay.base_offsets(states).withColumn("w_base", F.col("w_base") + 7)
+    return overlay.invariant_breaches(both, bases=bases)
 
 
 @query(STATE + "SELECT stream_id, count(*) AS produced, count(*) FILTER (state = 'ACKED') AS acked, count(*) FILTER (state = 'EVICTED_DLQ') AS dead, count(*) FILTER (state = 'LEASED') AS leased FROM s GROUP BY 1")
@@ -464,13 +516,35 @@ def attempt_numbers(spark, d):
     return overlay.attempts(the_journal(spark, d), ["stream_id"]).select("stream_id", "log_offset", "token", "attempt")
 
 
-@query()
+_FOLD = """WITH j AS (SELECT DISTINCT tenant_id, stream_id, group_id, log_offset, seq, op, token, deadline_us FROM lease_deltas WHERE log_offset IS NOT NULL AND seq IS NOT NULL),
+l AS (SELECT tenant_id, stream_id, group_id, log_offset, list_prepend({'seq': -1::BIGINT, 'op': '', 'token': NULL::BIGINT, 'deadline': NULL::BIGINT, 'state': 'READY', 'held': NULL::BIGINT, 'until': NULL::BIGINT, 'attempts': 0, 'granted': 0, 'rejected': 0, 'outs': []::VARCHAR[]},
+  list({'seq': seq, 'op': op, 'token': token, 'deadline': deadline_us, 'state': '', 'held': NULL::BIGINT, 'until': NULL::BIGINT, 'attempts': 0, 'granted': 0, 'rejected': 0, 'outs': []::VARCHAR[]} ORDER BY seq)) AS ops, list(op ORDER BY seq) AS names, list(seq ORDER BY seq) AS seqs FROM j GROUP BY 1, 2, 3, 4),
+f AS (SELECT *, list_reduce(ops, lambda a, e: {'seq': e.seq, 'op': e.op, 'token': e.token, 'deadline': e.deadline,
+  'state': CASE WHEN e.op = 'Acquire' AND a.state = 'READY' THEN 'LEASED' WHEN e.op = 'Ack' AND a.state = 'LEASED' AND a.held IS NOT DISTINCT FROM e.token THEN 'ACKED' WHEN e.op = 'Nack' AND a.state = 'LEASED' THEN CASE WHEN a.attempts >= 3 THEN 'EVICTED_DLQ' ELSE 'READY' END WHEN e.op = 'EvictDlq' AND a.state <> 'ACKED' THEN 'EVICTED_DLQ' ELSE a.state END,
+  'held': CASE WHEN e.op = 'Acquire' AND a.state = 'READY' THEN e.token WHEN (e.op = 'Ack' AND a.state = 'LEASED' AND a.held IS NOT DISTINCT FROM e.token) OR (e.op = 'Nack' AND a.state = 'LEASED') OR (e.op = 'EvictDlq' AND a.state <> 'ACKED') THEN NULL ELSE a.held END,
+  'until': CASE WHEN e.op = 'Acquire' AND a.state = 'READY' THEN e.deadline WHEN (e.op = 'Ack' AND a.state = 'LEASED' AND a.held IS NOT DISTINCT FROM e.token) OR (e.op = 'Nack' AND a.state = 'LEASED') OR (e.op = 'EvictDlq' AND a.state <> 'ACKED') THEN NULL ELSE a.until END,
+  'attempts': CASE WHEN e.op = 'Acquire' AND a.state = 'READY' THEN a.attempts + 1 WHEN (e.op = 'Ack' AND a.state = 'LEASED' AND a.held IS NOT DISTINCT FROM e.token) OR (e.op = 'Nack' AND a.state = 'LEASED' AND a.attempts >= 3) OR (e.op = 'EvictDlq' AND a.state <> 'ACKED') THEN 0 ELSE a.attempts END,
+  'granted': a.granted + (e.op = 'Acquire' AND a.state = 'READY')::INT, 'rejected': a.rejected + ((e.op = 'Acquire' AND a.state <> 'READY') OR (e.op = 'Ack' AND a.state <> 'ACKED' AND NOT (a.state = 'LEASED' AND a.held IS NOT DISTINCT FROM e.token)))::INT,
+  'outs': list_append(a.outs, CASE WHEN e.op = 'Acquire' THEN CASE WHEN a.state = 'READY' THEN 'granted' ELSE 'refused' END WHEN e.op = 'Ack' THEN CASE WHEN a.state = 'ACKED' OR (a.state = 'LEASED' AND a.held IS NOT DISTINCT FROM e.token) THEN 'accepted' WHEN a.state = 'LEASED' THEN 'conflict:stale_token' ELSE 'conflict:not_leased' END
+    WHEN e.op = 'Nack' AND a.state = 'LEASED' THEN CASE WHEN a.attempts >= 3 THEN 'dead_lettered' ELSE 'returned' END WHEN e.op = 'EvictDlq' AND a.state <> 'ACKED' THEN 'dead_lettered' ELSE 'ignored' END)}) AS s FROM l)
+"""
+
+
+@query(_FOLD + "SELECT tenant_id, stream_id, group_id, log_offset, s.state AS state, s.held AS token, s.until AS deadline_us, s.attempts AS attempts, s.granted AS granted, s.rejected AS rejected FROM f")
 def overlay_fold(spark, d):
-    """The journal as it is: repeated rows, rows out of order, outdated tokens. Tested against a plain fold."""
+    """The journal as it is: repeated rows, rows out of order, outdated tokens."""
     return overlay.fold_journal(t(spark, d, "lease_deltas"), ["tenant_id", "stream_id", "group_id"])
 
 
-@query()
+@query(_FOLD + "SELECT tenant_id, stream_id, group_id, log_offset, unnest(seqs) AS seq, unnest(names) AS op, unnest(s.outs) AS outcome FROM f")
+def overlay_outcomes(spark, d):
+    """What each operation of the journal came to."""
+    return overlay.journal_outcomes(t(spark, d, "lease_deltas"), ["tenant_id", "stream_id", "group_id"])
+
+
+@query(_FOLD + """, g AS (SELECT tenant_id, stream_id, group_id, max(log_offset) AS head FROM f GROUP BY 1, 2, 3),
+n AS (SELECT tenant_id, stream_id, group_id, log_offset, row_number() OVER (PARTITION BY tenant_id, stream_id, group_id ORDER BY log_offset) - 1 AS i FROM f WHERE s.state IN ('ACKED', 'EVICTED_DLQ'))
+SELECT tenant_id, stream_id, group_id, any_value(head) AS head, count(*) FILTER (log_offset = i) AS w_base FROM g LEFT JOIN n USING (tenant_id, stream_id, group_id) GROUP BY 1, 2, 3""")
 def overlay_fold_base(spark, d):
     key = ["tenant_id", "stream_id", "group_id"]
     return overlay.base_of_sparse(overlay.fold_journal(t(spark, d, "lease_deltas"), key), key)
@@ -499,10 +573,22 @@ def producer_dedup(spark, d):
     return producer.check_sequences(_batches(spark, d), ["producer_id"], "arrival").select("producer_id", "arrival", "base_sequence", "outcome")
 
 
-@query(_PROD)
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+p AS (SELECT *, CASE WHEN o_custkey % 10 = 0 THEN -1 ELSE o_custkey END AS producer_id, 10 * (i % 5) AS base_sequence, i // 5 AS epoch FROM o WHERE i % 5 <> 3)
+SELECT producer_id, o_orderkey * 4 AS arrival, base_sequence, CASE WHEN producer_id = -1 OR i % 5 < 3 THEN 'accepted' ELSE 'out_of_order' END AS outcome FROM p
+UNION ALL SELECT producer_id, o_orderkey * 4 + 1, base_sequence, CASE WHEN producer_id = -1 THEN 'accepted' ELSE 'duplicate' END FROM p WHERE i % 5 = 1
+UNION ALL SELECT producer_id, o_orderkey * 4 + 2, base_sequence, CASE WHEN producer_id = -1 THEN 'accepted' ELSE 'fenced' END FROM p WHERE i % 5 = 2 AND epoch > 0""")
 def producer_fold(spark, d):
-    b = _batches(spark, d).withColumn("producer_epoch", F.lit(0)).withColumn("next_offset", F.col("o_orderkey"))
-    return producer.fold_producers(b, ["producer_id"]).select("producer_id", "arrival", "base_sequence", "outcome")
+    """Producers that start anew in a higher epoch every five batches, lose the fourth, send the second twice and the third once more in their old epoch; some aren't checked."""
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", i.alias("i")).where("i % 5 <> 3")
+    who = F.when(F.col("o_custkey") % 10 == 0, -1).otherwise(F.col("o_custkey")).cast("bigint").alias("producer_id")
+    send = lambda rows, late, epoch: rows.select(who, (F.col("o_orderkey") * 4 + late).alias("arrival"), epoch.cast("bigint").alias("producer_epoch"), (F.col("i") % 5 * 10).cast("bigint").alias("base_sequence"), F.lit(10).cast("bigint").alias("n_records"), F.col("o_orderkey").alias("next_offset"))
+    epoch = F.floor(F.col("i") / 5)
+    all_ = send(o, 0, epoch).unionByName(send(o.where("i % 5 = 1"), 1, epoch)).unionByName(send(o.where("i % 5 = 2 AND i >= 5"), 2, epoch - 1))
+    return producer.fold_producers(all_, ["producer_id"]).select("producer_id", "arrival", "base_sequence", "outcome")
 
 
 @query("""WITH g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts)) AS gap FROM events)
@@ -529,10 +615,49 @@ def entity_order(spark, d):
     return log.dense_offsets(t(spark, d, "events"), "user_id", ["ts", "event_id"], F.to_date("ts"), "nth").select("user_id", "event_id", (F.col("nth") + 1).alias("nth"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem SEMI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey)")
+_TXN = LOG + """, r AS (SELECT stream_id, log_offset, event_id, (event_id // 20) % 50 AS txn_id FROM log WHERE event_id % 20 <> 19), m AS (SELECT stream_id, log_offset, (event_id // 20) % 50 AS txn_id, CASE WHEN event_id % 3 = 0 THEN 'abort' ELSE 'commit' END AS kind FROM log WHERE event_id % 20 = 19),
+f AS (SELECT stream_id, txn_id, min(log_offset) AS at, arg_min(kind, log_offset) AS kind FROM m WHERE txn_id <> 0 GROUP BY 1, 2),
+v AS (SELECT r.*, CASE WHEN r.txn_id = 0 THEN 'none' WHEN f.at IS NULL OR r.log_offset >= f.at THEN 'open' WHEN f.kind = 'commit' THEN 'committed' ELSE 'aborted' END AS txn_state FROM r LEFT JOIN f ON f.stream_id = r.stream_id AND f.txn_id = r.txn_id)
+"""
+
+
+def _txn(spark, d):
+    """The log as records and markers: every twentieth event ends the transaction its number names, commits or aborts it."""
+    rows = the_log(spark, d).withColumn("txn_id", F.floor(F.col("event_id") / 20) % 50)
+    markers = rows.where("event_id % 20 = 19").select("stream_id", "log_offset", "txn_id", F.when(F.col("event_id") % 3 == 0, "abort").otherwise("commit").alias("kind"))
+    return rows.where("event_id % 20 <> 19").select("stream_id", "log_offset", "event_id", "txn_id"), markers
+
+
+@query(_TXN + "SELECT stream_id, log_offset, event_id, txn_id, txn_state FROM v WHERE txn_state IN ('none', 'committed')")
 def txn_read_committed(spark, d):
-    done = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t(spark, d, "lineitem").join(done, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
+    return transactions.read_log(*_txn(spark, d))
+
+
+@query(_TXN + "SELECT stream_id, log_offset, event_id, txn_id, txn_state FROM v")
+def txn_read_uncommitted(spark, d):
+    return transactions.read_log(*_txn(spark, d), committed=False)
+
+
+@query(_TXN + "SELECT stream_id, coalesce(min(log_offset) FILTER (txn_state = 'open'), max(log_offset) + 1) AS last_stable_offset FROM v GROUP BY 1")
+def txn_last_stable(spark, d):
+    return transactions.last_stable(*_txn(spark, d))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) <> 'click'")
+def compacted_log(spark, d):
+    """The latest value of each key; a click deletes it."""
+    e = t(spark, d, "events").select("user_id", "ts", "event_id", "value", (F.col("event_type") == "click").alias("gone"))
+    return transactions.latest_values(e, "user_id", ["ts", "event_id"], "gone").select("user_id", "event_id", "value")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS pos, (event_id % 5 + 1)::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b(user_id, i, event_id, pos, tokens, admitted) AS (SELECT user_id, i, event_id, pos, CASE WHEN 6 >= cost THEN 6 - cost ELSE 6 END, 6 >= cost FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.event_id, e.pos, CASE WHEN least(6, b.tokens + 0.00002 * (e.pos - b.pos) / 1000000) >= e.cost THEN least(6, b.tokens + 0.00002 * (e.pos - b.pos) / 1000000) - e.cost ELSE least(6, b.tokens + 0.00002 * (e.pos - b.pos) / 1000000) END,
+    least(6, b.tokens + 0.00002 * (e.pos - b.pos) / 1000000) >= e.cost FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT user_id, event_id, admitted, round(tokens, 4) AS tokens FROM b""")
+def quota_admission(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 5 + 1).alias("cost"))
+    return quota.token_bucket(e, ["user_id"], "at", "cost", 6.0, 0.00002, ["event_id"]).select("user_id", "event_id", "admitted", F.round("tokens", 4).alias("tokens"))
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'logout'")
@@ -557,22 +682,60 @@ def receipt_handles(spark, d):
     return m.select("delivery_id", "h.*")
 
 
-@query("SELECT event_id, ((user_id & 32767) << 48) | ((event_id & 65535) << 32) | ((event_id * 31) & 4294967295) AS token, user_id & 32767 AS shard, event_id & 65535 AS epoch, (event_id * 31) & 4294967295 AS log_offset FROM events")
+@query("""WITH e AS (SELECT event_id, (user_id * 37) & 65535 AS shard, event_id & 65535 AS epoch, (event_id * 31) & 4294967295 AS nonce FROM events)
+SELECT event_id, (CASE WHEN shard >= 32768 THEN shard - 65536 ELSE shard END) * 281474976710656 + epoch * 4294967296 + nonce AS token, shard, epoch, nonce FROM e""")
 def token_pack(spark, d):
-    e = t(spark, d, "events").select("event_id", ids.pack_token(F.col("user_id"), F.col("event_id"), F.col("event_id") * 31).alias("token"))
+    e = t(spark, d, "events").select("event_id", ids.pack_token(F.col("user_id") * 37, F.col("event_id"), F.col("event_id") * 31).alias("token"))
     return e.select("event_id", "token", ids.unpack_token(F.col("token")).alias("u")).select("event_id", "token", "u.*")
 
 
+@query("""WITH e AS (SELECT event_id, printf('%08x', user_id) AS a, printf('%016x', event_id) AS b, printf('%016x', event_id * 1000003) AS c, printf('%08x', (event_id * 31) & 4294967295) AS d FROM events),
+le AS (SELECT event_id, """ + " || ".join(f"substr({c}, {i}, 2)" for c, n in (("a", 8), ("b", 16), ("c", 16), ("d", 8)) for i in range(n - 1, 0, -2)) + """ AS token FROM e)
+SELECT e.event_id, token, e.event_id * 1000003 AS log_offset, (e.event_id * 31) & 4294967295 AS nonce FROM e JOIN le USING (event_id)""")
+def token_bytes(spark, d):
+    e = t(spark, d, "events")
+    raw = e.select("event_id", ids.token_bytes(F.col("user_id"), F.col("event_id"), F.col("event_id") * 1000003, F.col("event_id") * 31).alias("raw"))
+    return raw.select("event_id", ids.hex_id(F.col("raw")).alias("token"), ids.parse_token_bytes(F.col("raw")).alias("t")).select("event_id", "token", "t.log_offset", "t.nonce")
+
+
+@query("SELECT event_id, ((event_id * 2654435761) >> 32) % 1024 AS shard, printf('%04x', (event_id * 2654435761) >> 48) AS prefix FROM events")
+def hash_shards(spark, d):
+    """Shard and object prefix of given 64-bit hashes."""
+    h = F.col("event_id") * 2654435761
+    return t(spark, d, "events").select("event_id", ids.shard_of(h).alias("shard"), ids.uri_prefix(h).alias("prefix"))
+
+
+@query()
+def stream_ids(spark, d):
+    """Stream ids, shards and chunk addresses of every stream by its name; tested against the published hash function."""
+    s = t(spark, d, "streams").select("stream_id", F.coalesce("stream_name", F.lit("")).alias("name"), "tenant_id", F.col("active_segment_id").alias("segment"))
+    tenant = F.concat(ids.little_endian(F.col("tenant_id"), 8), ids.little_endian(F.lit(0), 8))
+    return s.select(
+        "stream_id", ids.hex_id(ids.topic_stream(F.col("name"), F.lit(3))).alias("topic_stream"), ids.hex_id(ids.tenant_stream(tenant, F.col("name"))).alias("queue_stream"),
+        ids.hex_id(ids.tenant_stream(tenant, F.col("name"), F.lit(3))).alias("bridged_stream"), ids.shard_of(ids.xxh64(F.col("name"))).alias("shard"),
+        ids.chunk_uri("lake", tenant, F.unhex("stream_id"), F.col("segment"), F.col("segment") + 99).alias("uri"),
+    )
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL ELSE event_type END AS body FROM events")
+def strict_utf8(spark, d):
+    """Bodies, a third of which end in a byte that is no UTF-8."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.col("event_type").cast("binary"), F.unhex(F.lit("FF")))).otherwise(F.col("event_type").cast("binary"))
+    return t(spark, d, "events").select("event_id", ids.strict_text(raw).alias("body"))
+
+
 @query("""SELECT event_id, CASE WHEN user_id % 7 <> 3 THEN 'wrong_shard' WHEN event_id % 5 < 2 THEN 'fenced' WHEN event_id % 5 > 2 THEN 'from_the_future' WHEN event_id > 5000 THEN 'beyond_head' ELSE 'valid' END AS outcome FROM events""")
 def ack_outcomes(spark, d):
     e = t(spark, d, "events")
     return e.select("event_id", ids.token_outcome(F.col("user_id") % 7, F.col("event_id") % 5, F.lit(3), F.lit(2), F.col("event_id"), F.lit(5000)).alias("outcome"))
 
 
-@query("SELECT delivery_id, CASE WHEN x LIKE 'amq.topic%' OR x LIKE '%.topic.%' THEN 'rejected:topic' WHEN x LIKE 'amq.headers%' THEN 'rejected:headers' ELSE 'routed' END AS outcome FROM (SELECT delivery_id, CASE delivery_id % 4 WHEN 0 THEN 'amq.topic' WHEN 1 THEN 'amq.headers' WHEN 2 THEN 'a.topic.b' ELSE 'amq.direct' END AS x FROM sqs_messages)")
+_EXCHANGES = ["amq.topic", "amq.headers", "a.topic.b", "amq.direct", "amq.headers.x", "amq.topics", "amq.topic.x"]
+
+
+@query("SELECT delivery_id, CASE WHEN x = 'amq.topic' OR contains(x, '.topic.') THEN 'rejected:topic' WHEN x = 'amq.headers' THEN 'rejected:headers' ELSE 'routed' END AS outcome FROM (SELECT delivery_id, [" + ", ".join(f"'{x}'" for x in _EXCHANGES) + "][delivery_id % 7 + 1] AS x FROM sqs_messages)")
 def exchange_routing(spark, d):
-    i = F.col("delivery_id") % 4
-    x = F.when(i == 0, "amq.topic").when(i == 1, "amq.headers").when(i == 2, "a.topic.b").otherwise("amq.direct")
+    x = F.element_at(F.array(*[F.lit(x) for x in _EXCHANGES]), (F.col("delivery_id") % 7 + 1).cast("int"))
     return t(spark, d, "sqs_messages").select("delivery_id", ids.exchange_outcome(x).alias("outcome"))
 
 
@@ -581,12 +744,6 @@ def page_padding(spark, d):
     return t(spark, d, "record_entries").select("record_id", ids.page_padded(F.col("payload_len")).alias("padded"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (stream_id IS NULL) AS n_null FROM record_entries")
-def checksum_coverage(spark, d):
-    r = t(spark, d, "record_entries").select("stream_id", F.crc32(F.concat_ws("|", "stream_id", "logical_offset").cast("binary")).alias("crc"))
-    return r.agg(F.count("crc").alias("n"), F.count_if(F.col("stream_id").isNull()).alias("n_null"))
-
-
 # --- governance ----------------------------------------------------------------------------------------------------------
 
 
@@ -609,10 +766,33 @@ def retention_visible(spark, d):
     return govern.visible(e, e.where("user_id % 25 = 0").select("user_id"), "ts", F.lit("2024-01-20").cast(NTZ), "user_id").select("event_id", "user_id")
 
 
-@query("SELECT event_id FROM events WHERE user_id % 25 = 0")
+@query("WITH h AS (SELECT user_id FROM events WHERE user_id % 5 = 0 GROUP BY 1 HAVING arg_max(event_id % 3, (ts, event_id)) <> 0) SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM h)")
 def legal_hold_filter(spark, d):
+    """Holds that are applied and released again by the events of some users: those whose last one applied it."""
     e = t(spark, d, "events")
-    return e.join(e.where("user_id % 25 = 0").select("user_id").distinct(), "user_id", "left_semi").select("event_id")
+    log_ = e.where("user_id % 5 = 0").select("user_id", "ts", "event_id", F.when(F.col("event_id") % 3 == 0, "release").otherwise("apply").alias("kind"))
+    return govern.held_records(e, govern.active_holds(log_, ["user_id"], ["ts", "event_id"]), ["user_id"]).select("event_id")
+
+
+@query("SELECT tenant_id, stream_id, 'PROOF-SHRED-' || (tenant_id % 256) || '-' || (tenant_id * 7) || '-' || (1700000000000000000 + tenant_id) AS proof_id, stream_name IS NULL OR stream_name < 'n' AS valid FROM streams")
+def erasure_proofs(spark, d):
+    """Proofs of erasure of one key a stream, some of them forged afterwards."""
+    s = t(spark, d, "streams")
+    tenant = F.concat(ids.little_endian(F.col("tenant_id"), 8), ids.little_endian(F.lit(0), 8))
+    targets = s.select(tenant.alias("tenant_id"), (F.col("tenant_id") * 7).alias("dek_id"), "stream_id", (F.col("tenant_id") + 1_700_000_000_000_000_000).alias("destroyed_at_ns"), F.lit("op").alias("operator_id"), F.lit("request").alias("reason"))
+    proofs = govern.erasure_proofs(targets).join(s.select("stream_id", F.col("tenant_id").alias("t_"), "stream_name"), "stream_id")
+    forged = proofs.withColumn("reason", F.when(F.col("stream_name") >= "n", "other").otherwise(F.col("reason")))
+    return govern.valid_proofs(forged).select(F.col("t_").alias("tenant_id"), "stream_id", "proof_id", "valid")
+
+
+@query("SELECT stream_id, tenant_id % 10 <> 0 AS active FROM streams")
+def key_registry(spark, d):
+    """Whether each stream's key is active after those of some tenants were destroyed; a key that is gone from the table is in the registry."""
+    s = t(spark, d, "streams").select("stream_id", "tenant_id", F.col("tenant_id").alias("dek_id"))
+    keys, _ = settle(govern.new_keys(s.select("tenant_id", "dek_id").distinct()), "keys")
+    destroyed = s.where("tenant_id % 10 = 0").select("tenant_id", "dek_id").distinct()
+    left = govern.erase_keys(keys, destroyed)
+    return govern.active_keys(s, destroyed).join(left.select("tenant_id", "dek_id", (F.octet_length("dek") == 32).alias("has_")), ["tenant_id", "dek_id"], "left").select("stream_id", (F.col("active") & F.coalesce("has_", F.lit(False))).alias("active"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_nationkey <> c_custkey % 25 AND c_mktsegment <> 'BUILDING' THEN 'deny:tenant' WHEN c_nationkey = 3 THEN 'deny:rule'
@@ -621,7 +801,7 @@ def abac_decisions(spark, d):
     role = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("super-admin"), F.lit("producer"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("producer"))).otherwise(F.array(F.lit("guest")))
     req = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("tenant_id"), role.alias("roles"), F.when(F.col("c_custkey") % 2 == 0, "produce").otherwise("consume").alias("action"), (F.col("c_custkey") % 25).alias("resource_tenant"))
     rules = spark.createDataFrame([("allow", None, ["producer"], ["produce"]), ("deny", 3, [], ["produce", "consume"])], "effect string, tenant_scope bigint, required_roles array<string>, actions array<string>")
-    return govern.authorize(req, rules).select("c_custkey", "decision")
+    return govern.authorize(req, rules, "c_custkey").select("c_custkey", "decision")
 
 
 @query("SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN props END AS payload FROM events")
@@ -666,17 +846,27 @@ def backlog_backpressure(spark, d):
     return metrics.backpressure(f, "file_id", "delta", 20, ["subject"]).select("file_id", "backlog", "backpressure")
 
 
-@query("WITH h AS (SELECT DISTINCT batch_id, region_name, physical_ms - timestamp_us // 1000 AS lag_ms FROM batch_headers) SELECT region_name, count(*) AS n, max(lag_ms) AS most, quantile_disc(lag_ms, 0.95) AS p95 FROM h GROUP BY 1")
+@query("""WITH h AS (SELECT DISTINCT batch_id, region_name, physical_ms - timestamp_us // 1000 AS lag_ms FROM batch_headers), r AS (SELECT *, row_number() OVER (PARTITION BY region_name ORDER BY lag_ms, batch_id) - 1 AS i, count(*) OVER (PARTITION BY region_name) AS n FROM h)
+SELECT region_name, any_value(n) AS n, max(lag_ms) AS most, max(lag_ms) FILTER (i = floor(n * 0.95)) AS p95 FROM r GROUP BY 1""")
 def freshness_p95(spark, d):
-    h = t(spark, d, "batch_headers").select("batch_id", "region_name", (F.col("physical_ms") - F.floor(F.col("timestamp_us") / 1000)).alias("lag_ms")).distinct()
-    return h.groupBy("region_name").agg(F.count(F.lit(1)).alias("n"), F.max("lag_ms").alias("most"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY lag_ms)").cast("bigint").alias("p95"))
+    """The lag of batches; the percentile in two passes, so that no region's values meet in one buffer."""
+    h = t(spark, d, "batch_headers").select("batch_id", F.coalesce("region_name", F.lit("")).alias("region_name"), (F.col("physical_ms") - F.floor(F.col("timestamp_us") / 1000)).alias("lag_ms")).distinct()
+    p = metrics.index_percentiles(h, "region_name", "lag_ms", [0.95], "batch_id", 100.0)
+    j = h.groupBy("region_name").agg(F.count(F.lit(1)).alias("n"), F.max("lag_ms").alias("most")).join(p, "region_name")
+    return j.select(F.nullif("region_name", F.lit("")).alias("region_name"), "n", "most", F.col("p950").cast("bigint").alias("p95"))
 
 
-@query("SELECT code, remediation, count(*) AS n FROM (SELECT 'E00' || (event_id % 8 + 1) AS code FROM events) JOIN (VALUES " + ", ".join(f"('{c}', '{r.replace(chr(39), chr(39) * 2)}')" for c, _, r in metrics.DIAGNOSTICS) + ") v(code, remediation) USING (code) GROUP BY 1, 2")
+@query("SELECT code, remediation, count(*) AS n FROM (SELECT printf('ERR-%03d', event_id % 16 + 1) AS code FROM events) JOIN (VALUES " + ", ".join(f"('ERR-{n:03d}', '{r.replace(chr(39), chr(39) * 2)}')" for n, _, r in metrics.DIAGNOSTICS) + ") v(code, remediation) USING (code) GROUP BY 1, 2")
 def diagnostics_lookup(spark, d):
-    codes = spark.createDataFrame(metrics.DIAGNOSTICS, "code string, text string, remediation string")
-    e = t(spark, d, "events").groupBy(F.concat(F.lit("E00"), (F.col("event_id") % 8 + 1).cast("string")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return e.join(F.broadcast(codes), "code").select("code", "remediation", "n")
+    e = t(spark, d, "events").groupBy(F.format_string("ERR-%03d", F.col("event_id") % 16 + 1).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(F.broadcast(metrics.diagnostics(spark)), "code").select("code", "remediation", "n")
+
+
+@query("SELECT batch_id, CASE WHEN flags % 2 = 1 THEN 'Degraded' WHEN batch_id % 5 = 0 OR batch_id % 7 = 0 THEN 'Unhealthy' WHEN batch_id % 11 = 0 THEN 'Degraded' ELSE 'Healthy' END AS status FROM (SELECT DISTINCT batch_id, flags FROM batch_headers)")
+def readiness(spark, d):
+    b = F.col("batch_id")
+    probes = t(spark, d, "batch_headers").select("batch_id", "flags").distinct().select("batch_id", (F.col("flags") % 2 == 1).alias("draining"), (b % 5 != 0).alias("storage"), (b % 7 != 0).alias("state_plane"), (b % 11 != 0).alias("memory"))
+    return metrics.readiness(probes).select("batch_id", "status")
 
 
 # --- analytics -----------------------------------------------------------------------------------------------------------
@@ -713,13 +903,16 @@ def pushdown_range_filter(spark, d):
 
 @query("SELECT count(*) AS scanned, count(*) FILTER (l_quantity > 40) AS matched FROM lineitem")
 def pushdown_counts(spark, d):
-    return t(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("l_quantity") > 40).alias("matched"))
+    return log.pushdown_report(t(spark, d, "lineitem"), "l_quantity > 40")
 
 
-@query("SELECT (SELECT count(*) FROM events) AS ingested, (SELECT count(*) FROM events) AS stored")
+@query("SELECT event_type AS stream_id, count(*) AS ingested, count(*) AS stored, count(*) AS in_chunks FROM events GROUP BY 1")
 def count_reconcile(spark, d):
-    stored = the_log(spark, d).agg(F.count(F.lit(1)).alias("stored"))
-    return t(spark, d, "events").agg(F.count(F.lit(1)).alias("ingested")).withColumn("stored", stored.scalar())
+    """What was taken in, what the log has when it is read back, and what its manifest says."""
+    rows = the_log(spark, d)
+    stored = log.registry_heads(rows).select("stream_id", F.col("n_records").alias("stored"))
+    chunks = log.chunk_manifest(rows, 500, F.length("props")).groupBy("stream_id").agg(F.sum("n_records").alias("in_chunks"))
+    return t(spark, d, "events").groupBy(F.col("event_type").alias("stream_id")).agg(F.count(F.lit(1)).alias("ingested")).join(stored, "stream_id", "full_outer").join(chunks, "stream_id", "full_outer")
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -766,9 +959,7 @@ def manifest_totals(spark, d):
 SELECT payload_id, CASE WHEN NOT ok OR extra > 0 THEN 'rejected' ELSE 'accepted' END AS strict, CASE WHEN NOT ok THEN 'raw' WHEN extra > 0 THEN 'overflow' ELSE 'accepted' END AS permissive FROM x""")
 def schema_modes(spark, d):
     s = shred_fixed_cap(spark, d)
-    strict = F.when(~F.col("is_object") | (F.col("n_overflow") > 0), "rejected").otherwise("accepted")
-    permissive = F.when(~F.col("is_object"), "raw").when(F.col("n_overflow") > 0, "overflow").otherwise("accepted")
-    return s.select("payload_id", strict.alias("strict"), permissive.alias("permissive"))
+    return s.select("payload_id", shred.mode_outcome("strict").alias("strict"), shred.mode_outcome("permissive").alias("permissive"))
 
 
 @query("""WITH g AS (SELECT delivery_id, epoch_us(received_at) - epoch_us(lag(received_at) OVER (PARTITION BY queue_url, md5(message_body) ORDER BY received_at, delivery_id)) AS gap FROM sqs_messages)
@@ -819,10 +1010,12 @@ def schema_versions(spark, d):
     return t(spark, d, "schema_entries").groupBy("subject", "version").agg(F.count_distinct("schema_id").alias("n_entries"))
 
 
-@query("SELECT f AS payload_fields, least(f, 64) AS n_columns, greatest(f - 64, 0) AS n_overflow FROM (VALUES (0), (61), (64), (65), (100)) v(f)")
+@query("SELECT event_id, least(event_id % 101, 64) AS n_columns, greatest(event_id % 101 - 64, 0) AS n_overflow FROM events")
 def wide_payload_cap(spark, d):
-    sizes = [0, 61, 64, 65, 100]
-    wide = spark.createDataFrame([(n, "{" + ",".join(f'"field_{i:03d}":"v{i}"' for i in range(n)) + "}") for n in sizes], "payload_fields int, payload string")
-    names = [r.field for r in shred.first_come(shred.field_observations(wide.where("payload_fields = 100"), "payload_fields", "payload")).collect()]
-    s = shred.split_report(wide, "payload_fields", "payload", names)
-    return s.select("payload_fields", F.col("n_columns").cast("int").alias("n_columns"), F.col("n_overflow").cast("int").alias("n_overflow"))
+    """Payloads of up to 100 fields, one a event, over a schema of 64."""
+    n = (F.col("event_id") % 101).cast("int")
+    name = lambda i: F.format_string('"field_%03d":"v%d"', i, i)
+    body = F.concat(F.lit("{"), F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), name), ",")).otherwise(F.lit("")), F.lit("}"))
+    wide = t(spark, d, "events").select("event_id", body.alias("payload"))
+    names = [r.field for r in shred.first_come(shred.field_observations(wide.withColumn("at", F.lit(0)), "at", "payload")).collect()]  # at most 64 names
+    return shred.split_report(wide, "event_id", "payload", names).select("event_id", "n_columns", "n_overflow")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return at
 
 
+_kept: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    """The path of a table that is written once an application, by its first user; after ``release`` it is written anew."""
+    app = spark.sparkContext.applicationId
+    at = _kept.get((app, name))
+    if at is None or at not in _made.get(app, ()):
+        at = scratch(spark, "kept")
+        write(at)
+        _kept[app, name] = at
+    return at
+
+
 def release(spark: SparkSession) -> int:
     """Drop every intermediate table this application has written so far; to be called once the results made of them are written. Returns how many there were."""
     at = _made.pop(spark.sparkContext.applicationId, [])

@@ -32,8 +32,9 @@ def registry_heads(log: DataFrame) -> DataFrame:
     return log.groupBy("stream_id").agg((F.max("log_offset") + 1).alias("head_offset"), F.count(F.lit(1)).alias("n_records"))
 
 
-def fetch(log: DataFrame, stream_id: str, start: int, max_records: int, end: int | None = None) -> DataFrame:
-    """Bounded read of one stream: records from ``start`` (to ``end`` inclusive) in order, at most ``max_records``.
+def fetch(log: DataFrame, stream_id: str, start: int, max_records: int, end: int | None = None, max_bytes: int | None = None, size: Column | None = None) -> DataFrame:
+    """Bounded read of one stream: records from ``start`` (to ``end`` inclusive) in order, at most ``max_records``, and, with ``max_bytes``, no more than fill it by
+    ``size``, but always one. For committed records only, read what transactions.read_log gives.
 
     Offsets are dense, so the bound is a range predicate the scan can skip row groups by; ``has_more`` tells if the stream goes on.
     """
@@ -41,7 +42,54 @@ def fetch(log: DataFrame, stream_id: str, start: int, max_records: int, end: int
     own = log.where((F.col("stream_id") == stream_id) & (F.col("log_offset") >= start) & (F.col("log_offset") <= last + 1))
     top = own.agg(F.max("log_offset")).scalar()
     page = own.where(F.col("log_offset") <= last)
-    return page.withColumn("has_more", (top > last) & F.lit(end is None or end > last))
+    if max_bytes is None:
+        return page.withColumn("has_more", (top > last) & F.lit(end is None or end > last))
+    # at most max_records rows are summed
+    sums = page.withColumn("bytes_", F.sum(size).over(Window.partitionBy("stream_id").orderBy("log_offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kept = sums.where((F.col("bytes_") <= max_bytes) | (F.col("log_offset") == own.agg(F.min("log_offset")).scalar()))
+    taken = kept.agg(F.max("log_offset")).scalar()
+    bound = top if end is None else F.least(top, F.lit(end))
+    return kept.withColumn("has_more", bound > taken).drop("bytes_")
+
+
+class Cursor:
+    """A reader's place in one stream."""
+
+    def __init__(self, log: DataFrame, stream_id: str, start: int = 0) -> None:
+        self.log, self.stream_id, self._at = log, stream_id, start
+
+    def position(self) -> int:
+        return self._at
+
+    def seek(self, offset: int) -> None:
+        self._at = offset
+
+    def poll(self, max_records: int = 500) -> list:
+        """The next records, at most ``max_records``; the position moves behind the last of them."""
+        rows = fetch(self.log, self.stream_id, self._at, max_records).orderBy("log_offset").limit(max_records).collect()
+        if rows:
+            self._at = rows[-1]["log_offset"] + 1
+        return rows
+
+
+def replay(log: DataFrame, segment: str, order: Sequence[str], into: str = "replay_no") -> DataFrame:
+    """Recovery: every record with its place in the replay, segments by name and records by ``order`` inside. Numbered in two levels, so no task orders the whole log."""
+    return dense_offsets(log.withColumn("all_", F.lit(0)), "all_", [segment, *order], F.col(segment), into).drop("all_")
+
+
+def read_segments(spark, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """The segment files under a directory, at any depth, with the file each record is from; ``replay`` orders them."""
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(path).withColumn("segment", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def seal(chunks: DataFrame, log: DataFrame, records_per_chunk: int, payload: str) -> DataFrame:
+    """A manifest's chunks with ``crc32``, by which a sealed chunk is checked when it is read: the sum of the CRC-32 of offset and payload of its records, modulo 2^32.
+
+    A sum can be made map-side and in any order, so no chunk is gathered.
+    """
+    own = F.crc32(F.concat(F.col("log_offset").cast("string").cast("binary"), F.coalesce(F.col(payload), F.lit("")).cast("binary")))
+    sums = log.groupBy("stream_id", F.floor(F.col("log_offset") / records_per_chunk).alias("chunk_no")).agg(F.pmod(F.sum(own), F.lit(1 << 32)).alias("crc32"))
+    return chunks.withColumn("chunk_no", F.floor(F.col("start_offset") / records_per_chunk)).join(sums, ["stream_id", "chunk_no"], "left").drop("chunk_no")
 
 
 def flight_projection(log: DataFrame, payload: str, timestamp_ns: int) -> DataFrame:
@@ -62,9 +110,12 @@ def chunk_manifest(log: DataFrame, records_per_chunk: int, size: Column) -> Data
 
 
 def write_layout(log: DataFrame, path: str, time: str = "ingest_ts", buckets: int = 128, codec: str = "snappy", mode: str = "append") -> None:
-    """The lakehouse layout: partitioned by day and stream bucket, files sorted by (stream, offset), at most 5 million records a file."""
+    """The lakehouse layout: partitioned by day and stream bucket, files sorted by (stream, offset), at most 5 million records a file.
+
+    A day and bucket is written by as many tasks as it has blocks of 5 million offsets a stream, so that a hot stream's day isn't one task's.
+    """
     laid = log.withColumn("event_date", F.to_date(time)).withColumn("stream_bucket", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)).cast("int"))
-    spread = laid.repartition("event_date", "stream_bucket").sortWithinPartitions("event_date", "stream_bucket", "stream_id", "log_offset")
+    spread = laid.repartition("event_date", "stream_bucket", F.floor(F.col("log_offset") / 5_000_000)).sortWithinPartitions("event_date", "stream_bucket", "stream_id", "log_offset")
     spread.write.mode(mode).option("compression", codec).option("maxRecordsPerFile", 5_000_000).partitionBy("event_date", "stream_bucket").parquet(path)
 
 
@@ -79,3 +130,8 @@ def pushdown(table: DataFrame, predicate: str, columns: Sequence[str], max_recor
     if max_records is not None:
         out = out.orderBy(*order).limit(max_records)
     return out.select(*columns)
+
+
+def pushdown_report(table: DataFrame, predicate: str) -> DataFrame:
+    """(scanned, matched): the rows a predicate is put to, and those that meet it."""
+    return table.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.expr(predicate)).alias("matched"))
