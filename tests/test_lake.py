@@ -1,11 +1,13 @@
 import json
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import ids
-from tideline.operators import govern, lookup, registry, shred
+from test_overlay import journal
+from tideline.operators import govern, lookup, overlay, registry, shred
 from tideline.sources import log
 from tideline.sources.ledger import CommitConflict, Ledger
 from tideline.streaming import pipelines
@@ -140,11 +142,25 @@ def test_stream_state(rocks, tmp_path):
     df = spark.createDataFrame(rows, "k string, arrival bigint, producer_epoch bigint, base_sequence bigint, n_records bigint, next_offset bigint").coalesce(1)
     run(pipelines.idempotent_produce(source(spark, tmp_path, df.coalesce(1), "prod"), "k"), tmp_path, "produced", "append")
     assert {r.arrival: r.outcome for r in spark.table("produced").collect()}.keys() == set(range(5))
-    ops = [("s:0", 1, "Acquire", 5, 1), ("s:0", 2, "Ack", 5, None), ("s:1", 3, "Acquire", 6, 1), ("s:1", 4, "Ack", 5, None), ("s:1", 4, "Ack", 6, None)]
-    j = spark.createDataFrame(ops, "k string, seq bigint, op string, token bigint, deadline_us bigint").coalesce(1)
-    j.write.parquet(str(tmp_path / "ops"))
-    run(pipelines.leases(spark.readStream.schema(j.schema).parquet(str(tmp_path / "ops")), "k"), tmp_path, "leased", "update")
-    assert {r.key: r.state for r in spark.table("leased").collect()} == {"s:0": "ACKED", "s:1": "LEASED"}
+    bare = spark.createDataFrame([(-1, 1, 0, 5, 1, 10), (-1, 2, 0, 5, 1, 11)], "producer_id bigint, arrival bigint, producer_epoch bigint, base_sequence bigint, n_records bigint, next_offset bigint").withColumn("k", F.lit("free"))
+    bare.coalesce(1).write.parquet(str(tmp_path / "free"))
+    run(pipelines.idempotent_produce(spark.readStream.schema(bare.schema).parquet(str(tmp_path / "free")), "k"), tmp_path, "free", "append")
+    assert {r.arrival: (r.outcome, r.base_offset) for r in spark.table("free").collect()} == {1: ("accepted", 10), 2: ("accepted", 11)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_leases_are_those_of_the_journal(rocks, tmp_path, seed):
+    """A random journal in random order, cut into micro-batches."""
+    spark = rocks
+    rows = journal(random.Random(seed), 240, 12)
+    j = spark.createDataFrame([(f"{s}:{o}", s, o, *rest) for s, o, *rest in rows], "k string, stream_id string, log_offset bigint, seq bigint, op string, token bigint, deadline_us bigint")
+    stream = source(spark, tmp_path, j.repartition(3), "ops")
+    run(pipelines.leases(stream, "k"), tmp_path, f"leased{seed}", "update")
+    latest = {}
+    for r in spark.table(f"leased{seed}").collect():  # in the order of the micro-batches
+        latest[r.key] = (r.state, r.token, r.deadline_us, r.attempts)
+    want = {f"{r.stream_id}:{r.log_offset}": (r.state, r.token, r.deadline_us, r.attempts) for r in overlay.fold_journal(j.drop("k"), ["stream_id"]).collect()}
+    assert latest == want
 
 
 def test_stream_duplicates(spark, tmp_path):

@@ -17,35 +17,51 @@ def plain(rows, max_retries=3):
         holds = st == "LEASED" and tok == token
         if op == "Acquire" and st == "READY":
             st, tok, dl, att = "LEASED", token, deadline, att + 1
-        elif op == "Ack" and holds:
+        elif (op == "Ack" and holds) or (op == "AckUnfenced" and st != "EVICTED_DLQ"):
             st, tok, dl, att = "ACKED", None, None, 0
         elif op == "Nack" and st == "LEASED":
-            st, tok, dl = ("EVICTED_DLQ" if att >= max_retries else "READY"), None, None
+            st, tok, dl, att = ("EVICTED_DLQ", None, None, 0) if att >= max_retries else ("READY", None, None, att)
         elif op == "EvictDlq" and st != "ACKED":
             st, tok, dl, att = "EVICTED_DLQ", None, None, 0
         elif op == "Redrive" and st == "EVICTED_DLQ":
             st, tok, dl, att = "READY", None, None, 0
         elif op == "Renew" and holds:
             dl = deadline
+        elif op == "Expire" and st == "LEASED" and dl is not None and dl <= deadline:
+            st, tok, dl, att = ("EVICTED_DLQ", None, None, 0) if att >= max_retries else ("READY", None, None, att)
         state[s, o] = (st, tok, dl, att)
     return state
 
 
+def journal(rng, n, offsets=60):
+    """Random operations, some repeated, in random order."""
+    rows = []
+    for seq in range(n):
+        op = rng.choice(["Acquire", "Acquire", "Acquire", "Ack", "Ack", "Nack", "EvictDlq", "Redrive", "Renew", "Expire", "AckUnfenced"])
+        rows.append((rng.choice("ab"), rng.randrange(offsets), seq, op, rng.choice([2**60 + rng.randrange(4), None]) if op in ("Acquire", "Ack", "Renew") else None, rng.randrange(n) if op in ("Acquire", "Renew", "Expire") else None))
+    rows += rng.sample(rows, n // 10)
+    rng.shuffle(rows)
+    return rows
+
+
 def fold(spark, rows, **how):
     return {(r.stream_id, r.log_offset): (r.state, r.token, r.deadline_us, r.attempts) for r in overlay.fold_journal(spark.createDataFrame(rows, J), KEY, **how).collect()}
 
 
 def test_fold_like_a_plain_one(spark):
-    rng = random.Random(4)
-    rows = []
-    for seq in range(3000):
-        op = rng.choice(["Acquire", "Acquire", "Acquire", "Ack", "Ack", "Nack", "EvictDlq", "Redrive", "Renew"])
-        rows.append((rng.choice("ab"), rng.randrange(60), seq, op, rng.randrange(4) if op in ("Acquire", "Ack", "Renew") else None, seq if op in ("Acquire", "Renew") else None))
-    rows += rng.sample(rows, 300)
-    rng.shuffle(rows)
+    rows = journal(random.Random(4), 3000)
     assert fold(spark, rows) == plain(rows)
 
 
+def test_outcomes(spark):
+    ops = [("Acquire", 7, 9), ("Acquire", 8, 9), ("Ack", 8, None), ("Renew", 7, 20), ("Nack", None, None), ("Ack", 7, None), ("Acquire", 9, 30), ("Expire", None, 30), ("Acquire", 1, 9), ("Nack", None, None), ("Ack", 1, None), ("AckUnfenced", None, None), ("Redrive", None, None), ("AckUnfenced", None, None), ("Ack", 5, None), ("EvictDlq", None, None)]
+    df = spark.createDataFrame([("s", 0, i, op, t, d) for i, (op, t, d) in enumerate(ops)], J)
+    got = [r.outcome for r in overlay.journal_outcomes(df, KEY).orderBy("seq").collect()]
+    assert got == ["granted", "refused", "conflict:stale_token", "renewed", "returned", "conflict:not_leased", "granted", "returned", "granted", "dead_lettered", "conflict:not_leased", "ignored", "redriven", "accepted", "accepted", "ignored"]
+    r = overlay.fold_journal(df, KEY).first()
+    assert (r.state, r.granted, r.rejected, r.attempts) == ("ACKED", 3, 4, 0)
+
+
 def test_the_real_journal(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lease_deltas.parquet").selectExpr("concat_ws('|', tenant_id, stream_id, group_id) AS stream_id", "log_offset", "seq", "op", "token", "deadline_us")
     rows = [tuple(r) for r in df.collect()]

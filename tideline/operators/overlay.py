@@ -179,3 +179,33 @@ def restored(log: DataFrame, snap: DataFrame, bases: DataFrame, key: Sequence[st
     j = log.join(snap, [*key, "log_offset"], "left").join(bases.select(*key, "w_base"), list(key), "left")
     state = F.coalesce("state", F.when(F.col("log_offset") < F.col("w_base"), ACKED).otherwise(READY))
     return j.withColumn("state", state).withColumn("attempts", F.coalesce("attempts", F.lit(0))).drop("w_base")
+
+
+class Lease:
+    """The rules of fold_journal for one offset, an operation at a time, for streams."""
+
+    __slots__ = ("attempts", "deadline", "state", "token")
+
+    def __init__(self) -> None:
+        self.state, self.token, self.deadline, self.attempts = READY, None, None, 0
+
+    def _set(self, state: str, attempts: int) -> None:
+        self.state, self.token, self.deadline, self.attempts = state, None, None, attempts
+
+    def apply(self, op: str, token: int | None, deadline: int | None, max_retries: int = 3) -> None:
+        leased = self.state == LEASED
+        holds = leased and self.token == token
+        due = op == "Expire" and leased and None not in (self.deadline, deadline) and self.deadline <= deadline
+        if op == "Acquire" and self.state == READY:
+            self.state, self.token, self.deadline, self.attempts = LEASED, token, deadline, self.attempts + 1
+        elif (op == "Ack" and holds) or (op == "AckUnfenced" and self.state != DLQ):
+            self._set(ACKED, 0)
+        elif due or (op == "Nack" and leased):
+            spent = self.attempts >= max_retries
+            self._set(DLQ if spent else READY, 0 if spent else self.attempts)
+        elif op == "Renew" and holds:
+            self.deadline = deadline
+        elif op == "EvictDlq" and self.state != ACKED:
+            self._set(DLQ, 0)
+        elif op == "Redrive" and self.state == DLQ:
+            self._set(READY, 0)

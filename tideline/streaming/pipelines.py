@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.late import CounterState
+from ..operators.overlay import Lease
 from ..operators.producer import ProducerState
 from ..sources.ledger import Ledger
 
@@ -49,18 +49,17 @@ def late_counters(records: DataFrame, batches: Callable[[], DataFrame], state: C
 
 
 class Producers(StatefulProcessor):
-    """Idempotent produce: one ProducerState per key."""
+    """Idempotent produce: one ProducerState per key. A producer id of -1 isn't checked and keeps no state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "epoch bigint, last bigint, off bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         held = self.state.get() if self.state.exists() else (None, None, None)
         state = ProducerState(*held)
-        for pdf in rows:
-            pdf = pdf.sort_values("arrival", kind="stable")
-            out = [state.offer(r.producer_epoch, r.base_sequence, r.n_records, r.next_offset) for r in pdf.itertuples()]
-            yield pd.DataFrame({"arrival": pdf["arrival"], "outcome": [o for o, _ in out], "base_offset": pd.array([b for _, b in out], dtype="Int64")})
+        for r in sorted(rows, key=lambda r: r.arrival):
+            outcome, offset = ("accepted", r.next_offset) if r.producer_id == -1 else state.offer(r.producer_epoch, r.base_sequence, r.n_records, r.next_offset)
+            yield Row(arrival=r.arrival, outcome=outcome, base_offset=offset)
         self.state.update((state.epoch, state.last, state.offset))
 
     def close(self) -> None:
@@ -68,40 +67,38 @@ class Producers(StatefulProcessor):
 
 
 def idempotent_produce(stream: DataFrame, key: str) -> DataFrame:
-    """Outcome per producer batch; needs the RocksDB state store (STATE_STORE)."""
-    return stream.groupBy(key).transformWithStateInPandas(Producers(), "arrival bigint, outcome string, base_offset bigint", "Append", "none")
+    """Outcome per producer batch, in the order of arrival inside a micro-batch and of the micro-batches; needs the RocksDB state store (STATE_STORE).
+
+    A micro-batch's batches of one producer are sorted by one task: batches of records, not records.
+    """
+    named = stream if "producer_id" in stream.columns else stream.withColumn("producer_id", F.lit(None).cast("bigint"))
+    return named.groupBy(key).transformWithState(Producers(), "arrival bigint, outcome string, base_offset bigint", "Append", "none")
 
 
 class Leases(StatefulProcessor):
-    """The overlay of one (group, stream, offset): the same rules as fold_journal, one state per offset; an operation at or behind the
-    last seq of its offset is a repeat and changes nothing."""
+    """The overlay of one (group, stream, offset), by the rules of fold_journal.
+
+    The state has the offset's operations by seq, so that one that comes late, in another micro-batch than those after it, takes its place, and one that is
+    repeated changes nothing; the outcome is that of the whole journal so far. An offset has a few operations, one lease's for each attempt.
+    """
 
     max_retries = 3
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lease", "state string, token bigint, deadline bigint, attempts int, seq bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        state, token, deadline, attempts, seq = self.state.get() if self.state.exists() else ("READY", None, None, 0, -1)
-        for pdf in rows:
-            for r in pdf.sort_values("seq", kind="stable").itertuples():
-                if r.seq <= seq:
-                    continue
-                seq = int(r.seq)
-                own = None if pd.isna(r.token) else int(r.token)
-                holds = state == "LEASED" and own == token
-                if r.op == "Acquire" and state == "READY":
-                    state, token, deadline, attempts = "LEASED", own, None if pd.isna(r.deadline_us) else int(r.deadline_us), attempts + 1
-                elif r.op == "Ack" and holds:
-                    state, token, deadline, attempts = "ACKED", None, None, 0
-                elif r.op == "Nack" and state == "LEASED":
-                    state, token, deadline = "EVICTED_DLQ" if attempts >= self.max_retries else "READY", None, None
-                elif r.op == "EvictDlq" and state != "ACKED":
-                    state, token, deadline, attempts = "EVICTED_DLQ", None, None, 0
-                elif r.op == "Redrive" and state == "EVICTED_DLQ":
-                    state, token, deadline, attempts = "READY", None, None, 0
-        self.state.update((state, token, deadline, attempts, seq))
-        yield pd.DataFrame({"key": [key[0]], "state": [state], "attempts": [attempts]})
+        self.ops = handle.getMapState("ops", "seq bigint", "op string, token bigint, deadline bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        low = lambda op: tuple((x is not None, x) for x in op)
+        for r in rows:
+            if r.seq is None:
+                continue
+            op, at = (r.op, r.token, r.deadline_us), (r.seq,)
+            if not self.ops.containsKey(at) or low(op) < low(tuple(self.ops.getValue(at))):
+                self.ops.updateValue(at, op)
+        lease = Lease()
+        for _, op in sorted(((k[0], tuple(v)) for k, v in self.ops.iterator()), key=lambda x: x[0]):
+            lease.apply(*op, self.max_retries)
+        yield Row(key=key[0], state=lease.state, token=lease.token, deadline_us=lease.deadline, attempts=lease.attempts)
 
     def close(self) -> None:
         pass
@@ -109,4 +106,4 @@ class Leases(StatefulProcessor):
 
 def leases(stream: DataFrame, key: str) -> DataFrame:
     """The state of every offset a micro-batch touched; needs the RocksDB state store (STATE_STORE)."""
-    return stream.groupBy(key).transformWithStateInPandas(Leases(), "key string, state string, attempts int", "Update", "none")
+    return stream.groupBy(key).transformWithState(Leases(), "key string, state string, token bigint, deadline_us bigint, attempts int", "Update", "none")
