@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tideline.operators.skew import heavy_key_report, heavy_keys, skew_aggregate, skew_join, stream_totals, tenant_ops
+from tideline.operators.skew import LEAST_SHARE, heavy_key_report, heavy_keys, skew_aggregate, skew_join, split_share, stream_totals, tenant_ops
 
 
 def table(spark, n=10_000):
@@ -48,3 +48,15 @@ def test_report_totals_and_clashing_columns(spark):
     ops = spark.createDataFrame([(1, "Ack"), (1, None), (None, "Nack"), (1, "odd")], "tenant_id bigint, op string")
     assert {t.tenant_id: (t.n_ack, t.n_nack, t.n_other) for t in tenant_ops(ops).collect()} == {1: (1, 0, 2), None: (0, 1, 0)}
     assert stream_totals(r.limit(0), s).count() == 0
+
+
+def test_many_heavy_keys_and_a_bound_in_rows(spark):
+    df = spark.range(6000).selectExpr("id % 300 AS k", "id AS v")
+    assert split_share(df) == 0.02 and split_share(df, task_rows=12) == 0.002 and split_share(df, task_rows=0) == LEAST_SHARE
+    heavy = heavy_keys(df, "k", split_share(df, task_rows=12))
+    assert len(heavy) == 300
+    right = spark.range(250).selectExpr("id AS k", "id * 2 AS w")
+    got, want = skew_join(df, right, "k", heavy), df.join(right, "k", "left")
+    assert got.exceptAll(want.select(*got.columns)).isEmpty() and got.count() == 6000
+    agg = [F.count(F.lit(1)).alias("n")]
+    assert skew_aggregate(df, "k", agg, [F.sum("n").alias("n")], heavy).where("n <> 20").isEmpty()

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 #: Sketches are merged in two levels, so that the last task gets at most this many.
 FAN_IN = 64
+#: A key is heavy from this share of all rows on, and, where work is split by it, from so many rows one task may get; but not below the share for which a
+#: sketch still has at most a million entries.
+SHARE, TASK_ROWS, LEAST_SHARE = 0.02, 50_000_000, 2e-5
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
+def heavy_keys(df: DataFrame, key: str, share: float = SHARE) -> list:
     """The keys with more than ``share`` of all rows, exactly, as a list of at most 1/share values.
 
     A mergeable frequent-items sketch (one bounded sketch per task, merged in two levels) proposes candidates: its error is
@@ -37,24 +40,38 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
     return [r.k for r in exact.collect()]
 
 
-def skew_aggregate(df: DataFrame, key: str, aggs: Sequence[Column], merge: Sequence[Column], heavy: list | None = None, salts: int = 64, share: float = 0.02) -> DataFrame:
+def split_share(df: DataFrame, share: float = SHARE, task_rows: int = TASK_ROWS) -> float:
+    """The share from which a key must be split: ``share``, or what one task may get, whichever is less. The rows are counted, of files by their footers."""
+    return max(LEAST_SHARE, min(share, task_rows / max(1, df.count())))
+
+
+def _apart(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFrame]:
+    """(rows of heavy keys, the others, null keys among them). Heavy keys, at most 1/LEAST_SHARE, are met by a broadcast once there are too many for an expression."""
+    if len(heavy) <= 200:
+        is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+        return df.where(is_heavy), df.where(~is_heavy)
+    few = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in heavy], df.select(key).schema))
+    return df.join(few, key, "left_semi").select(*df.columns), df.join(few, key, "left_anti").select(*df.columns)
+
+
+def skew_aggregate(df: DataFrame, key: str, aggs: Sequence[Column], merge: Sequence[Column], heavy: list | None = None, salts: int = 64, share: float = SHARE) -> DataFrame:
     """Per-key aggregates with the work spread evenly.
 
     Rows of heavy keys are salted, aggregated per (key, salt) and merged; the others take one ordinary shuffle; then union.
     ``aggs`` are named aggregates of the rows, ``merge`` the aggregates that merge those names into the same names. A null
     key is an ordinary key here, so its rows are grouped under null.
     """
-    heavy = heavy_keys(df, key, share) if heavy is None else heavy
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False)) if heavy else F.lit(False)
-    light = df.where(~is_heavy).groupBy(key).agg(*aggs)
+    heavy = heavy_keys(df, key, split_share(df, share)) if heavy is None else heavy
+    hot, rest = _apart(df, key, heavy)
+    light = rest.groupBy(key).agg(*aggs)
     if not heavy:
         return light
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("salt_")
-    hot = df.where(is_heavy).withColumn("salt_", salt).groupBy(key, "salt_").agg(*aggs).groupBy(key).agg(*merge)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))  # the same again should a task be run again; equal rows fold map-side
+    hot = hot.withColumn("salt_", salt).groupBy(key, "salt_").agg(*aggs).groupBy(key).agg(*merge)
     return light.unionByName(hot)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: list | None = None, how: str = "left", share: float = 0.02) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: list | None = None, how: str = "left", share: float = SHARE) -> DataFrame:
     """left joined to right on ``key``, where a few keys hold most rows of left.
 
     The right rows of the heavy keys are broadcast, so that heavy rows stay where they are; all other keys are joined by an
@@ -64,18 +81,19 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: list | None =
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    heavy = heavy_keys(left, key, share) if heavy is None else heavy
+    heavy = heavy_keys(left, key, split_share(left, share)) if heavy is None else heavy
     right = right.select(*[F.col(c).alias(c if c == key or c not in left.columns else f"{c}_right") for c in right.columns])
-    stays = F.col(key).isNull() | (F.col(key).isin(heavy) if heavy else F.lit(False))
-    few = right.where(F.col(key).isin(heavy) if heavy else F.lit(False))
+    few, others = _apart(right.where(F.col(key).isNotNull()), key, heavy)
     if not few.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"the right side has several rows for one {key}")
-    hot = left.where(stays).join(F.broadcast(few), key, how)
-    rest = left.where(~stays).join(right.where(F.col(key).isNotNull() & ~(F.col(key).isin(heavy) if heavy else F.lit(False))).hint("shuffle_merge"), key, how)
-    return hot.unionByName(rest)
+    hot, rest = _apart(left, key, heavy)
+    stays = rest.where(F.col(key).isNull())
+    out = hot.join(F.broadcast(few), key, how).unionByName(rest.where(F.col(key).isNotNull()).join(others.hint("shuffle_merge"), key, how))
+    # a null key meets nothing, so its rows needn't move
+    return out.unionByName(stays.join(F.broadcast(few.limit(0)), key, how)) if how == "left" else out
 
 
-def heavy_key_report(parts: Sequence[tuple[str, DataFrame, str]], share: float = 0.02) -> DataFrame:
+def heavy_key_report(parts: Sequence[tuple[str, DataFrame, str]], share: float = SHARE) -> DataFrame:
     """(key_kind, key_value) of every heavy key of the given (kind, table, column)s; values as text."""
     spark = parts[0][1].sparkSession
     rows = [(kind, str(v)) for kind, df, key in parts for v in sorted(heavy_keys(df, key, share))]
@@ -88,7 +106,7 @@ def stream_totals(records: DataFrame, streams: DataFrame) -> DataFrame:
     The aggregates of the heavy streams and of the others are made apart (skew_aggregate) and the registry joined the same
     way. Records with a null stream form one row with a null key; a stream the registry lacks has null attributes.
     """
-    heavy = heavy_keys(records, "stream_id")
+    heavy = heavy_keys(records, "stream_id", split_share(records))
     aggs = [F.count(F.lit(1)).alias("n_records"), F.sum(F.coalesce("payload_len", F.lit(0)).cast("bigint")).alias("n_bytes"), F.max("logical_offset").alias("max_offset")]
     merge = [F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), F.max("max_offset").alias("max_offset")]
     rows = records.select("stream_id", "payload_len", "logical_offset")

@@ -36,16 +36,22 @@ def query(sql: str | None = None):
 LOG = "WITH log AS (SELECT event_type AS stream_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS log_offset, * FROM events)"
 
 
+def _appended(spark: SparkSession, d: str) -> DataFrame:
+    """The folder's events with their offsets: numbered by hour and inside the hours."""
+    e = t(spark, d, "events").withColumn("stream_id", F.col("event_type"))
+    return log.dense_offsets(e, "stream_id", ["ts", "event_id"], F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000))
+
+
 def the_log(spark: SparkSession, d: str) -> DataFrame:
     """The log of a folder's events, appended once a session in the lakehouse layout and read back."""
-    at = kept(spark, f"log of {d}", lambda at: log.write_layout(log.dense_offsets(t(spark, d, "events").withColumn("stream_id", F.col("event_type")), "stream_id", ["ts", "event_id"], F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)), at, "ts", 4))
-    return log.read_layout(spark, at).drop("event_date", "stream_bucket")
+    rows = _appended(spark, d)
+    at = kept(spark, f"log of {d}", lambda at: log.write_layout(rows, at, "ts", 1))
+    return log.read_layout(spark, at, rows.schema)
 
 
 @query(LOG + " SELECT stream_id, log_offset, event_id FROM log")
 def log_append_offsets(spark, d):
-    e = t(spark, d, "events").withColumn("stream_id", F.col("event_type"))
-    return log.dense_offsets(e, "stream_id", ["ts", "event_id"], F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)).select("stream_id", "log_offset", "event_id")
+    return _appended(spark, d).select("stream_id", "log_offset", "event_id")
 
 
 @query(LOG + " SELECT stream_id, max(log_offset) + 1 AS head_offset, count(*) AS n_records FROM log GROUP BY 1")

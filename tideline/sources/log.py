@@ -119,9 +119,9 @@ def write_layout(log: DataFrame, path: str, time: str = "ingest_ts", buckets: in
     spread.write.mode(mode).option("compression", codec).option("maxRecordsPerFile", 5_000_000).partitionBy("event_date", "stream_bucket").parquet(path)
 
 
-def read_layout(spark, path: str) -> DataFrame:
-    """Replay of a written log; evolved files are merged, missing columns are null."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def read_layout(spark, path: str, schema=None) -> DataFrame:
+    """Replay of a written log; evolved files are merged, missing columns are null. With a schema no footer is opened for it."""
+    return spark.read.option("mergeSchema", "true").parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
 
 
 def pushdown(table: DataFrame, predicate: str, columns: Sequence[str], max_records: int | None = None, order: Sequence[str] = ()) -> DataFrame:
