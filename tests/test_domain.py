@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.client import Client
 from tideline.functions import ids
 from tideline.operators import govern, lookup, metrics, quota, regions, registry, shred, transactions
+from tideline.operators.running import running
 from tideline.sources import log
 from tideline.sources.ledger import COMMITTED, FAILED, QUARANTINED, STAGED, CommitConflict, Ledger
 
@@ -228,6 +229,8 @@ def test_commits_scores_and_status(spark):
     m = spark.createDataFrame([("s", 1, 10, 12), ("s", 2, 20, 15), ("t", 1, 5, 9)], "s string, at int, source_high bigint, own_head bigint")
     w = spark.createDataFrame([("s",), ("s",), ("u",)], "s string")
     assert {r.s: tuple(r)[1:] for r in metrics.migration_status(m, w, ["s"]).collect()} == {"s": (20, 15, 0, 2), "t": (5, 9, 4, 0), "u": (-1, 0, 0, 1)}
+    ph = spark.createDataFrame([("s", i, p) for i, p in enumerate(["ConsumerCutover", "Rollback", "BridgeReplicating"])], "s string, at int, phase string")
+    assert [tuple(r) for r in metrics.current_phase(ph, ["s"]).collect()] == [("s", "BridgeReplicating")]
     p = spark.createDataFrame([(True, False, True, True), (False, False, True, True), (False, True, None, True), (False, True, True, False), (None, True, True, True)], "draining boolean, storage boolean, state_plane boolean, memory boolean")
     assert [r.status for r in metrics.readiness(p).collect()] == ["Degraded", "Unhealthy", "Unhealthy", "Degraded", "Healthy"]
     assert metrics.diagnostics(spark, "X").count() == 16
@@ -244,3 +247,17 @@ def test_client(spark, tmp_path):
     c.nack("s", "g", [1])
     assert {r.log_offset: r.state for r in c.states("s", "g").collect()} == {0: "ACKED", 1: "READY", 2: "READY", 3: "READY", 4: "READY"}
     assert [o for o, _ in c.lease("s", "g", 9, 100)] == [1, 2, 3, 4] and c.lease("s", "other", 1, 5)[0][0] == 0
+
+
+@pytest.mark.parametrize("block", [None, "at div 7"])
+def test_running_in_blocks(spark, block):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", None, "b"]), at, rng.choice([None, 1, 5, -2])) for at in rng.sample(range(200), 120)]
+    df = spark.createDataFrame(rows, "k string, at int, v int")
+    b = None if block is None else F.expr(block)
+    for how, before in (("max", False), ("max", True), ("sum", False), ("sum", True)):
+        got = {r.at: r.out for r in running(df, ["k"], ["at"], F.col("v"), "out", how, b, before).collect()}
+        for k, at, _ in rows:
+            seen = [v for kk, a, v in rows if kk == k and (a < at if before else a <= at) and v is not None]
+            assert got[at] == ((max if how == "max" else sum)(seen) if seen else None), (how, before, k, at)
+    assert running(df.limit(0), ["k"], ["at"], F.col("v"), "out", block=b).count() == 0

@@ -110,6 +110,16 @@ def test_handles_and_tokens(spark):
     assert tuple(row.t) == (42, 7, 1001) and row.g == "sqs-group-orders-queue"
 
 
+def test_partitions_are_pruned(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('s', id % 5) AS stream_id", "id AS log_offset", "timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id % 8 AS INT)) AS ingest_ts")
+    log.write_layout(rows, f"{tmp_path}/l", buckets=2)
+    own = log.read_layout(spark, f"{tmp_path}/l").where("event_date = date'2024-01-03' AND stream_bucket = 1 AND log_offset > 10")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(log_offset)" in plan
+    files = own.select(F.input_file_name()).distinct().collect()
+    assert len(files) == 1 and "event_date=2024-01-03/stream_bucket=1" in files[0][0]
+
+
 @pytest.fixture
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipelines.STATE_STORE)

@@ -257,7 +257,7 @@ def route(payload: str | None, version: int | None, renames: list[dict], target:
 
 def target_tables(entries: DataFrame) -> DataFrame:
     """(subject, target, renames): the types of each subject's latest version by path, and every rename on the way there."""
-    vs = versions(entries)
+    vs, _ = settle(versions(entries), "versions")
     last = vs.groupBy("subject").agg(F.max_by("fields", "version").alias("fields"))
     target = last.select("subject", F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], f["type"]))).alias("target"))
     renames = version_changes(vs).where("change_kind = 'renamed'").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("version", F.col("former_name").alias("was"), F.col("field_name").alias("now")))).alias("renames"))
@@ -285,12 +285,15 @@ def ingest(payloads: DataFrame, files: DataFrame, entries: DataFrame, promote: s
     f = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("subject", F.col("schema_version").alias("version"))).alias("f")).select("file_id", "f.subject", "f.version")
     slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    plans = target_tables(entries).select("subject", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), none("payload_id", "bigint"), none("file_id", "bigint"), none("version", "int"), none("payload", "string"), F.to_json(F.struct("target", "renames")).alias("plan"))
+    tables, _ = settle(target_tables(entries).coalesce(1), "targets")
+    plans = tables.select("subject", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), none("payload_id", "bigint"), none("file_id", "bigint"), none("version", "int"), none("payload", "string"), F.to_json(F.struct("target", "renames")).alias("plan"))
     rows = p.join(f, "file_id", "left").select("subject", F.pmod(F.xxhash64("payload_id"), F.lit(slices)).cast("int").alias("slice"), "payload_id", "file_id", "version", "payload", none("plan", "string"))
     both = plans.unionByName(rows).repartition("subject", "slice").sortWithinPartitions("subject", "slice", F.col("plan").isNull())
     done, _ = settle(both.select("subject", "payload_id", "file_id", "version", "plan", "payload").mapInArrow(_enforce_batches, ROUTED), "routed")
     if promote == "approved":
-        done = replay(done, approved_fields(done, files))
+        # a subject's promoted fields are a line; written, so that Spark knows how small they are
+        promoted, _ = settle(approved_fields(done, files, tables).coalesce(1), "promoted")
+        done = replay(done, promoted)
     return done.withColumn("rescued", F.when(F.size("rescued") > 0, _object("rescued")))
 
 
@@ -357,7 +360,7 @@ def _kind(value: Column) -> Column:
     return F.when(first == '"', "string").when(first.isin("t", "f"), "bool").when(first.isin("[", "{"), "json").when(first != "n", number)
 
 
-def approved_fields(done: DataFrame, files: DataFrame) -> DataFrame:
+def approved_fields(done: DataFrame, files: DataFrame, tables: DataFrame) -> DataFrame:
     """(subject, promoted): the undeclared fields any file of the subject promoted, with the type that holds their values.
 
     Long and double make double, other mixtures of scalars text; a field with arrays or objects isn't promoted. One subject's promoted
@@ -371,8 +374,7 @@ def approved_fields(done: DataFrame, files: DataFrame) -> DataFrame:
     for k in ("bool", "long", "double", "string"):
         one = one.when(F.col(k), k)
     # a declared field isn't promoted anew: its rescued values are mismatches, not missing columns
-    names = F.concat(*[F.map_keys(f"typed.{c}") for c in _TYPES])
-    typed = done.where("subject IS NOT NULL").select("subject", F.explode(names).alias("path")).distinct()
+    typed = tables.select("subject", F.explode(F.map_keys("target")).alias("path"))
     return wanted.join(per, ["subject", "path"]).join(typed, ["subject", "path"], "left_anti").withColumn("kind", one).where("kind <> 'json'").groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "kind")))).alias("promoted"))
 
 

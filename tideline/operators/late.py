@@ -15,6 +15,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_path, settle
+
 HOUR_US = 3_600_000_000
 
 
@@ -125,45 +127,70 @@ class CounterState:
     def __init__(self, spark: SparkSession, path: str, key: str = "stream_id", weight: str = "payload_len", lateness_us: int = 2 * HOUR_US, period_us: int = HOUR_US) -> None:
         self.spark, self.path, self.key, self.weight, self.how = spark, path.rstrip("/"), key, weight, {"lateness_us": lateness_us, "period_us": period_us}
 
-    def _epochs(self, kind: str) -> list[int]:
-        """The complete deliveries."""
+    def _complete(self, kind: str, what: str) -> list[int]:
+        """The numbers of the complete folders ``what=N`` of a kind."""
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        return sorted(int(f.getPath().getParent().getName()[6:]) for f in fs.globStatus(root.suffix("/epoch=*/_SUCCESS")))
+        found = fs.globStatus(root.suffix(f"/{what}=*/_SUCCESS")) if fs.exists(root) else []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
     def _read(self, kind: str, below: int | None = None, like: DataFrame | None = None) -> DataFrame | None:
-        at = [f"{self.path}/{kind}/epoch={e}" for e in self._epochs(kind) if below is None or e < below]
-        return self.spark.read.schema(like.schema).parquet(*at) if at and like is not None else self.spark.read.parquet(*at) if at else None
+        """A kind's rows of all deliveries below one: the last compaction and what came after it."""
+        base = max(self._complete(kind, "upto"), default=-1)
+        at = [f"{self.path}/{kind}/upto={base}"] * (base >= 0) + [f"{self.path}/{kind}/epoch={e}" for e in self._complete(kind, "epoch") if e > base and (below is None or e < below)]
+        if not at:
+            return None
+        return self.spark.read.parquet(*at) if like is None else self.spark.read.schema(like.schema).parquet(*at)
+
+    def applied(self, epoch: int) -> bool:
+        return epoch <= max(self._complete("counters", "upto"), default=-1) or epoch in self._complete("counters", "epoch")
 
     def apply(self, records: DataFrame, batches: DataFrame, epoch: int) -> None:
         """Add a delivery of records. ``batches`` has the headers known by now."""
-        if epoch in self._epochs("counters"):
+        if self.applied(epoch):
             return
         own = records.select("record_id", "batch_id", "timestamp_delta_ms", self.key, self.weight)
-        waiting = self._read_last("waiting", epoch, own)
-        rows = own if waiting is None else own.unionByName(waiting)
+        before = [e for e in self._complete("waiting", "epoch") if e < epoch]
+        rows = own.unionByName(self.spark.read.schema(own.schema).parquet(f"{self.path}/waiting/epoch={before[-1]}")) if before else own
         known = batches.where("batch_id IS NOT NULL").select("batch_id").distinct()
         rows.join(known, "batch_id", "left_anti").where("record_id IS NOT NULL AND batch_id IS NOT NULL").write.mode("overwrite").parquet(f"{self.path}/waiting/epoch={epoch}")
         cells = arrivals(rows, batches, columns=[self.key, self.weight], **self.how).where("verdict IS NOT NULL")
         old = self._read("cells", epoch, cells)
         if old is not None:
-            cells = cells.join(old.select("record_id", "source"), ["record_id", "source"], "left_anti").select(*cells.columns)
+            # only the periods the delivery touches can hold its records already
+            came, _ = settle(cells, "cells")
+            low, high = came.agg(F.min("period_end_us"), F.max("period_end_us")).first()
+            seen = old.where(F.col("period_end_us").between(low, high)) if low is not None else old.limit(0)
+            cells = came.join(seen.select("record_id", "source"), ["record_id", "source"], "left_anti").select(*cells.columns)
         cells.write.mode("overwrite").parquet(f"{self.path}/cells/epoch={epoch}")
         new = source_counters(self.spark.read.schema(cells.schema).parquet(f"{self.path}/cells/epoch={epoch}"), self.key, self.weight)
         held = self._read("counters", epoch, new)
         if held is not None:
             # a touched source's new version holds its old one
             same = [F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}")) for c in (self.key, *CELL_KEY)]
-            before = merge_counters(held, self.key).alias("held")
+            merged = merge_counters(held, self.key).alias("held")
             add = lambda c: (F.col(f"new.{c}") + F.coalesce(F.col(f"held.{c}"), F.lit(0))).alias(c)
-            new = new.alias("new").join(before, reduce(and_, same), "left").select(*[F.col(f"new.{c}").alias(c) for c in (self.key, *CELL_KEY)], add("version"), add("n"), add("total"))
+            new = new.alias("new").join(merged, reduce(and_, same), "left").select(*[F.col(f"new.{c}").alias(c) for c in (self.key, *CELL_KEY)], add("version"), add("n"), add("total"))
         new.write.mode("overwrite").parquet(f"{self.path}/counters/epoch={epoch}")
 
-    def _read_last(self, kind: str, below: int, like: DataFrame) -> DataFrame | None:
-        at = [e for e in self._epochs(kind) if e < below]
-        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{kind}/epoch={at[-1]}") if at else None
+    def compact(self, closed_before_us: int | None = None) -> None:
+        """Merge all deliveries so far into one table of each kind; between two deliveries only.
+
+        With ``closed_before_us`` the cells of periods that ended before are dropped: a record of them that is delivered once more would count anew, so the time
+        must be one from which no delivery is repeated. Counters stay.
+        """
+        done = self._complete("counters", "epoch")
+        if not done:
+            return
+        cells = self._read("cells")
+        kept = cells if closed_before_us is None else cells.where(F.col("period_end_us") >= closed_before_us)
+        kept.write.mode("overwrite").parquet(f"{self.path}/cells/upto={done[-1]}")
+        merge_counters(self._read("counters"), self.key).write.mode("overwrite").parquet(f"{self.path}/counters/upto={done[-1]}")
+        for kind in ("cells", "counters"):
+            for e in [x for x in self._complete(kind, "epoch") if x <= done[-1]]:
+                drop_path(self.spark, f"{self.path}/{kind}/epoch={e}")
+            for u in self._complete(kind, "upto")[:-1]:
+                drop_path(self.spark, f"{self.path}/{kind}/upto={u}")
 
     def state(self) -> DataFrame | None:
         """The merged counters, or None before the first delivery."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 #: The number, name and subsystem of each diagnostic code. What to do about them is said in own words.
 DIAGNOSTICS = [
     (1, "InvalidBatchHeader", "check how segments are aligned, and the disk"),
@@ -41,6 +43,15 @@ def readiness(probes: DataFrame) -> DataFrame:
     return probes.withColumn("status", status).withColumn("detail", detail)
 
 
+#: The phases of a migration, in their usual order; any may follow any.
+PHASES = ("BridgeReplicating", "DualWriteValidation", "ConsumerCutover", "Decommissioned", "Rollback")
+
+
+def current_phase(transitions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, phase) after transitions (by, at, phase): the latest one, whatever came before."""
+    return transitions.groupBy(*by).agg(F.max_by("phase", "at").alias("phase"))
+
+
 def migration_status(mappings: DataFrame, writes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per stream: the source's high-water mark, the own head, how far the own is ahead (0 where it is behind or nothing is mapped), and how many writes went to both."""
     last = mappings.groupBy(*by).agg(F.max_by(F.struct("source_high", "own_head"), "at").alias("m"))
@@ -88,7 +99,19 @@ def prometheus(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.format_string('%s{group="%s"} %d', F.col("name"), F.col("label"), F.col("value").cast("bigint")).alias("line"))
 
 
-def backpressure(backlog: DataFrame, order: str, delta: str, threshold: int, by: Sequence[str]) -> DataFrame:
-    """The running backlog per group, and whether backpressure is on (at or above the threshold)."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return backlog.withColumn("backlog", F.sum(delta).over(w)).withColumn("backpressure", F.col("backlog") >= threshold)
+def backpressure(backlog: DataFrame, order: str, delta: str, threshold: int, by: Sequence[str], block: Column | None = None) -> DataFrame:
+    """The running backlog per group, and whether backpressure is on (at or above the threshold). With a ``block`` (see running) a hot group is many tasks'."""
+    return running(backlog, by, [order], F.col(delta), "backlog", "sum", block).withColumn("backpressure", F.col("backlog") >= threshold)
+
+
+def inspection(chunks: DataFrame, heads: DataFrame) -> DataFrame:
+    """(stream_id, doc): what there is of each stream, as the JSON an administrator sees."""
+    per = chunks.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), F.min("start_offset").alias("first_offset"))
+    j = heads.select("stream_id", "head_offset").join(per, "stream_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return j.select("stream_id", F.to_json(F.struct("stream_id", zero("head_offset"), zero("first_offset"), zero("n_chunks"), zero("n_records"), zero("n_bytes"))).alias("doc"))
+
+
+def age_histogram(rows: DataFrame, age: Column, width: int, by: Sequence[str]) -> DataFrame:
+    """(by, bucket, n): how many rows are from bucket * width old on; a negative age counts as 0."""
+    return rows.groupBy(*by, F.floor(F.greatest(age, F.lit(0)) / width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

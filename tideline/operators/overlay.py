@@ -85,6 +85,15 @@ def journal_outcomes(journal: DataFrame, key: Sequence[str], max_retries: int =
     return done.select(*key, "log_offset", "o.ops.seq", "o.ops.op", F.col("o.out").alias("outcome"))
 
 
+def replay_breaks(journal: DataFrame, key: Sequence[str], max_retries: int = 3) -> DataFrame:
+    """(key, n_ops, aborted_at, n_replayed) of a strict replay, which an acquisition that isn't granted or an acknowledgement with another token breaks off."""
+    o = journal_outcomes(journal, key, max_retries)
+    bad = (F.col("outcome") == "refused") | F.col("outcome").startswith("conflict:")
+    at = o.groupBy(*key).agg(F.count(F.lit(1)).alias("n_ops"), F.min(F.when(bad, F.col("seq"))).alias("aborted_at"))
+    done = o.join(at, list(key)).groupBy(*key).agg(F.count_if(F.col("aborted_at").isNull() | (F.col("seq") < F.col("aborted_at"))).alias("n_replayed"))
+    return at.join(done, list(key))
+
+
 def _ops(journal: DataFrame, key: Sequence[str]) -> tuple[DataFrame, Column]:
     """Each offset's operations in order, and the state they start from."""
     rows = journal.where("log_offset IS NOT NULL AND seq IS NOT NULL")

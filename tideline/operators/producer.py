@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 OUTCOMES = "outcome string, base_offset bigint"
 
 
@@ -58,32 +60,62 @@ def fold_producers(batches: DataFrame, key: Sequence[str] = ("producer_id", "top
     return checked.mapInArrow(fold, schema).unionByName(free)
 
 
-def check_sequences(batches: DataFrame, key: Sequence[str], order: str, base: str = "base_sequence", n: str = "n_records") -> DataFrame:
-    """The same for logs without gaps or epochs, by windows: a batch at or below the greatest sequence seen before is a duplicate."""
-    seen = F.max(F.col(base) + F.col(n) - 1).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+def check_sequences(batches: DataFrame, key: Sequence[str], order: str, base: str = "base_sequence", n: str = "n_records", block: Column | None = None) -> DataFrame:
+    """The same for logs without gaps or epochs, by running maxima: a batch at or below the greatest sequence seen before is a duplicate."""
+    seen = F.col("seen_")
     outcome = F.when(seen.isNull(), "accepted").when(F.col(base) <= seen, "duplicate").when(F.col(base) > seen + 1, "out_of_order").otherwise("accepted")
-    return batches.withColumn("outcome", outcome)
+    return running(batches, key, [order], F.col(base) + F.col(n) - 1, "seen_", block=block, before=True).withColumn("outcome", outcome).drop("seen_")
+
 
+def fence_epochs(rows: DataFrame, key: Sequence[str], order: str, epoch: str = "epoch", block: Column | None = None) -> DataFrame:
+    """``fenced`` where a row's epoch is below the greatest one before it. With a ``block`` (see running) a hot key is many tasks'."""
+    return running(rows, key, [order], F.col(epoch), "max_epoch", block=block).withColumn("fenced", F.col(epoch) < F.col("max_epoch"))
 
-def fence_epochs(rows: DataFrame, key: Sequence[str], order: str, epoch: str = "epoch") -> DataFrame:
-    """``fenced`` where a row's epoch is below the greatest one before it."""
-    top = F.max(epoch).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("max_epoch", top).withColumn("fenced", F.col(epoch) < top)
 
+def window_duplicates(rows: DataFrame, key: Sequence[str], order: str, seconds: float, tie: Sequence[str] = (), sequence: str | None = None, most: int = 10_000, block: Column | None = None) -> DataFrame:
+    """``duplicate`` where the same key came at most ``seconds`` before: a bounded deduplication window. With a ``sequence`` number it also ends after so many numbers.
 
-def window_duplicates(rows: DataFrame, key: Sequence[str], order: str, seconds: float, tie: Sequence[str] = ()) -> DataFrame:
-    """``duplicate`` where the same key came at most ``seconds`` before: a bounded deduplication window."""
-    gap = F.unix_micros(F.col(order).cast("timestamp")) - F.unix_micros(F.lag(order).over(Window.partitionBy(*key).orderBy(order, *tie)).cast("timestamp"))
-    return rows.withColumn("duplicate", F.coalesce(gap <= int(seconds * 1_000_000), F.lit(False)))
+    The row before in order has the greatest time of all before, so a running maximum does, and with a ``block`` (see running) a hot key is many tasks'.
+    """
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    out = running(rows, key, [order, *tie], at, "before_", block=block, before=True)
+    near = at - F.col("before_") <= int(seconds * 1_000_000)
+    if sequence is not None:
+        out = out.withColumn("seq_", F.lag(sequence).over(Window.partitionBy(*key).orderBy(order, *tie)))
+        near = near & F.coalesce(F.col(sequence) - F.col("seq_") <= most, F.lit(True))
+    return out.withColumn("duplicate", F.coalesce(near, F.lit(False))).drop("before_", "seq_")
 
 
-def hlc_now(rows: DataFrame, key: Sequence[str], order: str, physical: str = "physical_ms") -> DataFrame:
+def hlc_now(rows: DataFrame, key: Sequence[str], order: str, physical: str = "physical_ms", block: Column | None = None) -> DataFrame:
     """Hybrid logical clock of local events: the running maximum of the physical time, and the count inside its plateau."""
-    w = Window.partitionBy(*key).orderBy(order)
-    top = rows.withColumn("hlc_ms", F.max(physical).over(w))
+    top = running(rows, key, [order], F.col(physical), "hlc_ms", block=block)
     return top.withColumn("hlc_count", (F.row_number().over(Window.partitionBy(*key, "hlc_ms").orderBy(order)) - 1).cast("bigint"))
 
 
+def hlc_receive(rows: DataFrame, key: Sequence[str], order: Sequence[str], physical: str, remote_ms: str, remote_count: str) -> DataFrame:
+    """The clock of a receiver after each message: hlc_ms and hlc_count by the update rule, or by that for local events where there is no remote time.
+
+    Each step depends on the last, so a receiver's messages are one task's, streamed in order with one clock, never held.
+    """
+    cols = rows.columns
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, *order)
+
+    def tick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, clock = None, Hlc(0)
+        for b in batches:
+            ms, counts = [], []
+            for *k, own, r_ms, r_count in zip(*[b.column(c).to_pylist() for c in (*key, physical, remote_ms, remote_count)], strict=True):
+                if k != now:
+                    now, clock = k, Hlc(0)
+                got = clock.now(own or 0) if r_ms is None else clock.update((r_ms, r_count or 0, 0), own or 0)
+                ms.append(got[0])
+                counts.append(got[1])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(ms, pa.int64()), pa.array(counts, pa.int64())], names=[*cols, "hlc_ms", "hlc_count"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", hlc_ms bigint, hlc_count bigint"
+    return ordered.mapInArrow(tick, schema)
+
+
 class Hlc:
     """now and update of a hybrid logical clock, for receivers."""
 

@@ -139,6 +139,18 @@ def widened(a: str, b: str) -> str | None:
     return "double" if {a, b} == {"long", "float"} else None
 
 
+def widened_type(a: Column, b: Column) -> Column:
+    """widened as an expression."""
+    pairs = [(x, y, w) for x in _NUMBERS for y in _NUMBERS if (w := widened(x, y)) is not None]
+    out = F.when(a == b, a)
+    for x, y, w in pairs:
+        out = out.when((a == x) & (b == y), w)
+    return out
+
+
+_NUMBERS = ("int", "long", "float", "double")
+
+
 def evolve(*tables: DataFrame) -> DataFrame:
     """One table from files of several schema versions; what a version lacks is null."""
     out = tables[0]

@@ -249,6 +249,20 @@ def shred_not_objects(spark, d):
     return s.where(~F.coalesce(shred.is_object(F.col("payload")), F.lit(False))).select("payload_id", F.col(shred.OVERFLOW).isNotNull().alias("has_overflow"))
 
 
+@query(_PAY + "SELECT payload_id, CASE WHEN is_object THEN j->>'$.unit' END AS unit, CASE WHEN is_object THEN j->>'$.never_there' END AS never_there FROM o")
+def shred_null_fill(spark, d):
+    """Promoted fields in name order; what a record lacks, or has as null, is null."""
+    s = shred.shred(_payloads(spark, d), "payload", ["unit", "never_there"], keep=["payload_id"], null_mode="missing")
+    assert s.columns == ["payload_id", "never_there", "unit", shred.OVERFLOW]
+    return s.select("payload_id", "unit", "never_there")
+
+
+@query(_PAY + "SELECT field FROM f WHERE field NOT IN ('unit', 'promoted_before') ORDER BY first_at, field LIMIT 8")
+def shred_promoted_union(spark, d):
+    """What may still be promoted where some fields were promoted by earlier batches."""
+    return shred.first_come(field_frequency(spark, d), 10, ["unit", "promoted_before"])
+
+
 @query(_PAY + """, g AS (SELECT payload_id, any_value(file_id) AS file_id FROM shred_payloads GROUP BY 1), m AS (SELECT k.payload_id, k.field, g.file_id, CASE json_type(json_extract(o.j, '$."' || k.field || '"')) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind
   FROM (SELECT DISTINCT * FROM k) k JOIN o USING (payload_id) JOIN g USING (payload_id)),
 c AS (SELECT field, max(n)::DOUBLE / sum(n) AS consistency FROM (SELECT field, kind, count(*) AS n FROM m WHERE kind IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
@@ -420,6 +434,20 @@ def schema_usable(spark, d):
     return registry.usable(entries, entries.where("version % 3 = 1 AND subject < 'm'")).select("schema_id", "subject", "version")
 
 
+@query(_STEPS.split("c AS (SELECT s.subject")[0].rstrip().rstrip(",") + """ SELECT n.subject, n.version, n.field, p.type AS old_type, n.type AS new_type, CASE WHEN n.type = p.type THEN n.type WHEN (p.type, n.type) IN (('int', 'long'), ('long', 'int')) THEN 'long' WHEN (p.type, n.type) IN (('int', 'float'), ('float', 'int')) THEN 'float'
+  WHEN p.type IN ('int', 'long', 'float', 'double') AND n.type IN ('int', 'long', 'float', 'double') THEN 'double' END AS widened FROM s JOIN x n USING (subject, version) JOIN x p ON p.subject = s.subject AND p.version = s.previous AND p.field = n.field""")
+def schema_widening(spark, d):
+    """Each top-level field of a version with the type that also holds what the version before it has."""
+    from ..operators import drift
+
+    vs, _ = settle(drift.versions(t(spark, d, "schema_entries")), "versions")
+    flat = vs.select("subject", "version", F.explode("fields").alias("f")).where("f.top").select("subject", "version", F.col("f.path").alias("field"), F.col("f.type").alias("type"))
+    steps = drift.with_previous(vs).where("previous IS NOT NULL")
+    old = flat.select("subject", F.col("version").alias("previous"), "field", F.col("type").alias("old_type"))
+    j = flat.join(steps, ["subject", "version"]).join(old, ["subject", "previous", "field"])
+    return j.select("subject", "version", "field", "old_type", F.col("type").alias("new_type"), registry.widened_type(F.col("old_type"), F.col("type")).alias("widened"))
+
+
 # --- the overlay ---------------------------------------------------------------------------------------------------------
 
 STATE = LOG + """, s AS (SELECT stream_id, log_offset, event_id, ts, user_id, CASE WHEN event_id % 11 = 0 THEN 'EVICTED_DLQ' WHEN event_id % 13 = 0 THEN 'LEASED' ELSE 'ACKED' END AS state,
@@ -556,6 +584,13 @@ def overlay_fold_base(spark, d):
     return overlay.base_of_sparse(overlay.fold_journal(t(spark, d, "lease_deltas"), key), key)
 
 
+@query(_FOLD + """, o AS (SELECT tenant_id, stream_id, group_id, unnest(seqs) AS seq, unnest(s.outs) AS outcome FROM f),
+a AS (SELECT tenant_id, stream_id, group_id, count(*) AS n_ops, min(seq) FILTER (outcome = 'refused' OR outcome LIKE 'conflict:%') AS aborted_at FROM o GROUP BY 1, 2, 3)
+SELECT tenant_id, stream_id, group_id, any_value(n_ops) AS n_ops, any_value(aborted_at) AS aborted_at, count(*) FILTER (aborted_at IS NULL OR seq < aborted_at) AS n_replayed FROM o JOIN a USING (tenant_id, stream_id, group_id) GROUP BY 1, 2, 3""")
+def overlay_replay(spark, d):
+    return overlay.replay_breaks(t(spark, d, "lease_deltas"), ["tenant_id", "stream_id", "group_id"])
+
+
 # --- producers, epochs, transactions -------------------------------------------------------------------------------------
 
 
@@ -576,44 +611,80 @@ SELECT producer_id, o_orderkey * 2 AS arrival, base_sequence, 'accepted' AS outc
 
 @query(_PROD)
 def producer_dedup(spark, d):
-    return producer.check_sequences(_batches(spark, d), ["producer_id"], "arrival").select("producer_id", "arrival", "base_sequence", "outcome")
+    return producer.check_sequences(_batches(spark, d), ["producer_id"], "arrival", block=F.floor(F.col("arrival") / 20_000)).select("producer_id", "arrival", "base_sequence", "outcome")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
-p AS (SELECT *, CASE WHEN o_custkey % 10 = 0 THEN -1 ELSE o_custkey END AS producer_id, 10 * (i % 5) AS base_sequence, i // 5 AS epoch FROM o WHERE i % 5 <> 3)
-SELECT producer_id, o_orderkey * 4 AS arrival, base_sequence, CASE WHEN producer_id = -1 OR i % 5 < 3 THEN 'accepted' ELSE 'out_of_order' END AS outcome FROM p
-UNION ALL SELECT producer_id, o_orderkey * 4 + 1, base_sequence, CASE WHEN producer_id = -1 THEN 'accepted' ELSE 'duplicate' END FROM p WHERE i % 5 = 1
-UNION ALL SELECT producer_id, o_orderkey * 4 + 2, base_sequence, CASE WHEN producer_id = -1 THEN 'accepted' ELSE 'fenced' END FROM p WHERE i % 5 = 2 AND epoch > 0""")
-def producer_fold(spark, d):
+def _produced(spark, d):
     """Producers that start anew in a higher epoch every five batches, lose the fourth, send the second twice and the third once more in their old epoch; some aren't checked."""
     from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     o = t(spark, d, "orders").select("o_custkey", "o_orderkey", i.alias("i")).where("i % 5 <> 3")
     who = F.when(F.col("o_custkey") % 10 == 0, -1).otherwise(F.col("o_custkey")).cast("bigint").alias("producer_id")
-    send = lambda rows, late, epoch: rows.select(who, (F.col("o_orderkey") * 4 + late).alias("arrival"), epoch.cast("bigint").alias("producer_epoch"), (F.col("i") % 5 * 10).cast("bigint").alias("base_sequence"), F.lit(10).cast("bigint").alias("n_records"), F.col("o_orderkey").alias("next_offset"))
+    send = lambda rows, late, epoch: rows.select(who, (F.col("o_orderkey") * 4 + late).alias("arrival"), epoch.cast("bigint").alias("producer_epoch"), (F.col("i") % 5 * 10).cast("bigint").alias("base_sequence"), F.lit(10).cast("bigint").alias("n_records"), F.col("o_orderkey").alias("next_offset"), (F.col("o_custkey") % 4).alias("topic"))
     epoch = F.floor(F.col("i") / 5)
     all_ = send(o, 0, epoch).unionByName(send(o.where("i % 5 = 1"), 1, epoch)).unionByName(send(o.where("i % 5 = 2 AND i >= 5"), 2, epoch - 1))
-    return producer.fold_producers(all_, ["producer_id"]).select("producer_id", "arrival", "base_sequence", "outcome")
+    return producer.fold_producers(all_, ["producer_id"])
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+p AS (SELECT *, CASE WHEN o_custkey % 10 = 0 THEN -1 ELSE o_custkey END AS producer_id, 10 * (i % 5) AS base_sequence, i // 5 AS epoch FROM o WHERE i % 5 <> 3)
+SELECT producer_id, o_orderkey * 4 AS arrival, base_sequence, CASE WHEN producer_id = -1 OR i % 5 < 3 THEN 'accepted' ELSE 'out_of_order' END AS outcome FROM p
+UNION ALL SELECT producer_id, o_orderkey * 4 + 1, base_sequence, CASE WHEN producer_id = -1 THEN 'accepted' ELSE 'duplicate' END FROM p WHERE i % 5 = 1
+UNION ALL SELECT producer_id, o_orderkey * 4 + 2, base_sequence, CASE WHEN producer_id = -1 THEN 'accepted' ELSE 'fenced' END FROM p WHERE i % 5 = 2 AND epoch > 0""")
+def producer_fold(spark, d):
+    return _produced(spark, d).select("producer_id", "arrival", "base_sequence", "outcome")
 
 
 @query("""WITH g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts)) AS gap FROM events)
 SELECT event_id, coalesce(gap <= 600000000, false) AS duplicate FROM g""")
 def dedup_within_window(spark, d):
-    return producer.window_duplicates(t(spark, d, "events"), ["user_id", "event_type"], "ts", 600).select("event_id", "duplicate")
+    return producer.window_duplicates(t(spark, d, "events"), ["user_id", "event_type"], "ts", 600, block=F.to_date("ts")).select("event_id", "duplicate")
+
+
+@query("""WITH g AS (SELECT delivery_id, epoch_us(received_at) - epoch_us(lag(received_at) OVER w) AS gap, sequence_number - lag(sequence_number) OVER w AS seqs
+  FROM sqs_messages WINDOW w AS (PARTITION BY queue_url, message_body ORDER BY received_at, delivery_id)) SELECT delivery_id, coalesce(gap <= 600000000, false) AND coalesce(seqs <= 50, true) AS duplicate FROM g""")
+def dedup_bounded(spark, d):
+    """A window that ends after ten minutes or fifty sequence numbers, whichever is first."""
+    m = t(spark, d, "sqs_messages").select("delivery_id", "queue_url", "message_body", "received_at", "sequence_number")
+    return producer.window_duplicates(m, ["queue_url", "message_body"], "received_at", 600, ["delivery_id"], "sequence_number", 50).select("delivery_id", "duplicate")
+
+
+@query("""WITH RECURSIVE h AS (SELECT DISTINCT batch_id, hlc_node_id, timestamp_us // 1000 AS own, physical_ms AS ms, hlc_logical::BIGINT AS c FROM batch_headers),
+o AS (SELECT *, row_number() OVER (PARTITION BY hlc_node_id ORDER BY batch_id) AS i FROM h),
+z(hlc_node_id, i, batch_id, ms, c) AS (SELECT hlc_node_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT hlc_node_id FROM h)
+  UNION ALL SELECT o.hlc_node_id, o.i, o.batch_id, greatest(z.ms, o.ms, o.own), CASE WHEN z.ms = o.ms AND z.ms >= o.own THEN greatest(z.c, o.c) + 1 WHEN z.ms >= o.own AND z.ms > o.ms THEN z.c + 1 WHEN o.ms >= o.own AND o.ms > z.ms THEN o.c + 1 ELSE 0 END
+  FROM z JOIN o ON o.hlc_node_id = z.hlc_node_id AND o.i = z.i + 1)
+SELECT hlc_node_id, batch_id, ms AS hlc_ms, c AS hlc_count FROM z WHERE i > 0""")
+def hlc_updates(spark, d):
+    """A receiver per node that takes in its batches' clocks."""
+    h = t(spark, d, "batch_headers").select("batch_id", "hlc_node_id", F.floor(F.col("timestamp_us") / 1000).alias("own"), "physical_ms", F.col("hlc_logical").cast("bigint").alias("logical")).distinct()
+    return producer.hlc_receive(h, ["hlc_node_id"], ["batch_id"], "own", "physical_ms", "logical").select("hlc_node_id", "batch_id", "hlc_ms", "hlc_count")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+a AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN -1 ELSE o_custkey END AS producer_id, o_orderkey, o_custkey % 4 AS topic FROM o WHERE i % 5 < 3 OR (i % 5 = 4 AND o_custkey % 10 = 0)
+  UNION ALL SELECT -1, o_orderkey, o_custkey % 4 FROM o WHERE o_custkey % 10 = 0 AND (i % 5 = 1 OR (i % 5 = 2 AND i >= 5)))
+SELECT topic, count(*) AS n_batches, 10 * count(*) AS head_offset, count(DISTINCT o_orderkey) AS n_orders FROM a GROUP BY 1""")
+def produce_append(spark, d):
+    """Producer batches checked, and those accepted appended to their topic: duplicates, gaps and fenced ones add nothing."""
+    checked = _produced(spark, d).where("outcome = 'accepted'").withColumn("stream_id", F.col("topic").cast("string"))
+    records = checked.select("stream_id", "topic", "next_offset", "arrival", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1)).alias("i"))
+    stored = log.dense_offsets(records, "stream_id", ["arrival", "i"], F.floor(F.col("arrival") / 100_000))
+    return stored.groupBy("topic").agg(F.floor(F.count(F.lit(1)) / 10).alias("n_batches"), (F.max("log_offset") + 1).alias("head_offset"), F.count_distinct("next_offset").alias("n_orders"))
 
 
 @query("WITH e AS (SELECT event_id, user_id, ts, (event_id * 7 % 20)::INT AS epoch FROM events), m AS (SELECT *, max(epoch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS max_epoch FROM e) SELECT event_id, epoch, max_epoch, epoch < max_epoch AS fenced FROM m")
 def epoch_fence(spark, d):
     e = t(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_id") * 7 % 20).cast("int").alias("epoch"))
-    return producer.fence_epochs(e, ["user_id"], "at").select("event_id", "epoch", "max_epoch", "fenced")
+    return producer.fence_epochs(e, ["user_id"], "at", block=F.to_date(F.col("at.ts"))).select("event_id", "epoch", "max_epoch", "fenced")
 
 
 @query("""WITH h AS (SELECT batch_id, hlc_node_id, max(physical_ms) OVER (PARTITION BY hlc_node_id ORDER BY batch_id) AS hlc_ms FROM (SELECT DISTINCT batch_id, hlc_node_id, physical_ms FROM batch_headers))
 SELECT batch_id, hlc_node_id, hlc_ms, row_number() OVER (PARTITION BY hlc_node_id, hlc_ms ORDER BY batch_id) - 1 AS hlc_count FROM h""")
 def hlc_plateaus(spark, d):
     h = t(spark, d, "batch_headers").select("batch_id", "hlc_node_id", "physical_ms").distinct()
-    return producer.hlc_now(h, ["hlc_node_id"], "batch_id").select("batch_id", "hlc_node_id", "hlc_ms", "hlc_count")
+    return producer.hlc_now(h, ["hlc_node_id"], "batch_id", block=F.floor(F.col("batch_id") / 256)).select("batch_id", "hlc_node_id", "hlc_ms", "hlc_count")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events")
@@ -681,6 +752,15 @@ def queue_ids(spark, d):
     return m.select("delivery_id", ids.queue_group(F.col("queue_url")).alias("group_id"), ids.message_id(F.coalesce("sequence_number", F.lit(0)), F.col("message_body")).alias("made_id"), (F.md5("message_body") == F.col("md5_of_body")).alias("body_ok"))
 
 
+@query("""WITH o AS (SELECT delivery_id, queue_url, message_body, row_number() OVER (PARTITION BY queue_url ORDER BY received_at, delivery_id) - 1 AS off FROM sqs_messages)
+SELECT delivery_id, off AS log_offset, printf('msg-%016x-', off) || left(md5(message_body), 8) AS made_id, md5(message_body) AS md5_of_body FROM o""")
+def queue_send(spark, d):
+    """Messages appended to their queue's stream, with the identifiers the sender gets."""
+    m = t(spark, d, "sqs_messages").select("delivery_id", F.col("queue_url").alias("stream_id"), "message_body", "received_at")
+    stored = log.dense_offsets(m, "stream_id", ["received_at", "delivery_id"], F.to_date("received_at"))
+    return stored.select("delivery_id", "log_offset", ids.message_id(F.col("log_offset"), F.col("message_body")).alias("made_id"), F.md5("message_body").alias("md5_of_body"))
+
+
 @query("""WITH h AS (SELECT delivery_id, string_split(receipt_handle, '-') AS p FROM sqs_messages WHERE regexp_full_match(receipt_handle, 'RH-[0-9a-f]{8}-[0-9a-f]{16}-[0-9a-f]{16}-[0-9a-f]{8}'))
 SELECT delivery_id, ('0x' || p[2])::BIGINT AS shard, ('0x' || p[3])::BIGINT AS epoch, ('0x' || p[4])::BIGINT AS log_offset, ('0x' || p[5])::BIGINT AS nonce FROM h""")
 def receipt_handles(spark, d):
@@ -834,6 +914,27 @@ def metrics_rollup(spark, d):
     return metrics.rollup(t(spark, d, "events"), ["event_type"], "user_id")
 
 
+@query("SELECT event_type, count(*) AS n, round(coalesce(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 0), 0), 9) AS per_second FROM events GROUP BY 1")
+def throughput(spark, d):
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    g = t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), ((us(F.max("ts")) - us(F.min("ts"))) / 1_000_000).alias("s"))
+    return g.select("event_type", "n", F.round(metrics.rate(F.col("n"), F.col("s")), 9).alias("per_second"))
+
+
+@query(STATE + "SELECT stream_id, floor(greatest(epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts), 0) / 86400000000)::BIGINT AS bucket, count(*) AS n FROM s WHERE state = 'LEASED' GROUP BY 1, 2")
+def lease_age_histogram(spark, d):
+    """Leases by the days since they were given, as of a time."""
+    leased = the_states(spark, d).where("state = 'LEASED'")
+    return metrics.age_histogram(leased, F.lit(1_705_708_800_000_000) - F.unix_micros(F.col("ts").cast("timestamp")), 86_400_000_000, ["stream_id"])
+
+
+@query(LOG + """, c AS (SELECT stream_id, min(log_offset) AS s, count(*) AS n, sum(length(props))::BIGINT AS b FROM log GROUP BY stream_id, log_offset // 500)
+SELECT stream_id, to_json({'stream_id': stream_id, 'head_offset': sum(n)::BIGINT, 'first_offset': min(s), 'n_chunks': count(*), 'n_records': sum(n)::BIGINT, 'n_bytes': sum(b)::BIGINT})::VARCHAR AS doc FROM c GROUP BY 1""")
+def storage_inspection(spark, d):
+    rows = the_log(spark, d)
+    return metrics.inspection(log.chunk_manifest(rows, 500, F.length("props")), log.registry_heads(rows))
+
+
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, coalesce(max(value) FILTER (i = floor(n * 0.5)), 0) AS p500, coalesce(max(value) FILTER (i = floor(n * 0.95)), 0) AS p950, coalesce(max(value) FILTER (i = floor(n * 0.99)), 0) AS p990 FROM r GROUP BY 1""")
 def latency_index_percentiles(spark, d):
@@ -849,7 +950,7 @@ def prometheus_lines(spark, d):
 @query("""WITH b AS (SELECT file_id, subject, sum(CASE WHEN file_id % 3 = 0 THEN -record_count ELSE record_count END) OVER (PARTITION BY subject ORDER BY file_id)::BIGINT AS backlog FROM data_files) SELECT file_id, backlog, backlog >= 20 AS backpressure FROM b""")
 def backlog_backpressure(spark, d):
     f = t(spark, d, "data_files").withColumn("delta", F.when(F.col("file_id") % 3 == 0, -F.col("record_count")).otherwise(F.col("record_count")))
-    return metrics.backpressure(f, "file_id", "delta", 20, ["subject"]).select("file_id", "backlog", "backpressure")
+    return metrics.backpressure(f, "file_id", "delta", 20, ["subject"], F.floor(F.col("file_id") / 512)).select("file_id", "backlog", "backpressure")
 
 
 @query("""WITH h AS (SELECT DISTINCT batch_id, region_name, physical_ms - timestamp_us // 1000 AS lag_ms FROM batch_headers), r AS (SELECT *, row_number() OVER (PARTITION BY region_name ORDER BY lag_ms, batch_id) - 1 AS i, count(*) OVER (PARTITION BY region_name) AS n FROM h)
@@ -912,6 +1013,12 @@ def pushdown_counts(spark, d):
     return log.pushdown_report(t(spark, d, "lineitem"), "l_quantity > 40")
 
 
+@query("""WITH r AS (SELECT * FROM lineitem WHERE l_orderkey BETWEEN 100 AND 20000), m AS (SELECT * FROM r WHERE l_quantity > 40)
+SELECT l_orderkey, l_linenumber, l_quantity, (SELECT count(*) FROM r) AS scanned, (SELECT count(*) FROM m) AS matched FROM m ORDER BY l_orderkey, l_linenumber LIMIT 25""")
+def pushdown_query(spark, d):
+    return log.pushdown_query(t(spark, d, "lineitem"), "l_orderkey BETWEEN 100 AND 20000", "l_quantity > 40", ["l_orderkey", "l_linenumber", "l_quantity"], 25, ["l_orderkey", "l_linenumber"])
+
+
 @query("SELECT event_type AS stream_id, count(*) AS ingested, count(*) AS stored, count(*) AS in_chunks FROM events GROUP BY 1")
 def count_reconcile(spark, d):
     """What was taken in, what the log has when it is read back, and what its manifest says."""
@@ -972,7 +1079,7 @@ def schema_modes(spark, d):
 SELECT delivery_id, coalesce(gap <= 600000000, false) AS duplicate FROM g""")
 def content_dedup(spark, d):
     m = t(spark, d, "sqs_messages").select("delivery_id", "queue_url", F.md5("message_body").alias("h"), "received_at")
-    return producer.window_duplicates(m, ["queue_url", "h"], "received_at", 600, ["delivery_id"]).select("delivery_id", "duplicate")
+    return producer.window_duplicates(m, ["queue_url", "h"], "received_at", 600, ["delivery_id"], block=F.to_date("received_at")).select("delivery_id", "duplicate")
 
 
 @query(_HIST + "SELECT committed, snapshot_id FROM h WHERE snapshot_id > (SELECT max(snapshot_id) FROM h) - 3 OR (committed >= DATE '2024-03-06' AND snapshot_id > (SELECT max(snapshot_id) FROM h) - 1000)")

@@ -135,3 +135,11 @@ def pushdown(table: DataFrame, predicate: str, columns: Sequence[str], max_recor
 def pushdown_report(table: DataFrame, predicate: str) -> DataFrame:
     """(scanned, matched): the rows a predicate is put to, and those that meet it."""
     return table.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.expr(predicate)).alias("matched"))
+
+
+def pushdown_query(table: DataFrame, within: str, predicate: str, columns: Sequence[str], max_records: int, order: Sequence[str]) -> DataFrame:
+    """A bounded range with a predicate: at most ``max_records`` rows in order, each with how many the range has (scanned) and how many meet the predicate (matched)."""
+    ranged = table.where(within)
+    counts = pushdown_report(ranged, predicate)
+    page = ranged.where(predicate).orderBy(*order).limit(max_records).select(*columns)
+    return page.withColumn("scanned", counts.select("scanned").scalar()).withColumn("matched", counts.select("matched").scalar())
