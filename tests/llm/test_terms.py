@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tideline.llm.terms import _names_deep, member_names, radix_aggregate, term_frequencies
+from tideline.llm.terms import _names_deep, member_names, radix_aggregate, sum_folder, term_frequencies
 
 S = "payload_id bigint, payload string"
 
@@ -81,3 +81,20 @@ def test_radix_aggregate_of_many_terms(spark):
 def test_like_brute_force(spark, pairs):
     rows = list(dict(pairs).items())
     assert {tuple(r) for r in term_frequencies(spark.createDataFrame(rows, S)).collect()} == brute(rows)
+
+
+def test_what_cant_spill_is_summed_in_passes(spark, tmp_path):
+    spark.range(400_000, numPartitions=2).selectExpr("concat(repeat('x', 60), id % 150000) AS term", "1L AS occurrences", "1L AS records").write.parquet(f"{tmp_path}/radix=3")
+    for spill in (None, str(tmp_path)):
+        got = [r for b in sum_folder(f"file://{tmp_path}/radix=3", "24MB", spill) for r in b.to_pylist()]
+        assert len(got) == len({r["term"] for r in got}) == 150_000 and sum(r["occurrences"] for r in got) == 400_000
+
+
+def test_files_and_jobs_dont_grow_with_the_tasks(spark):
+    seen = []
+    for tasks in (3, 60):
+        partial = spark.range(6000, numPartitions=tasks).selectExpr("CAST(id % 500 AS string) AS term", "1L AS occurrences", "1L AS records")
+        spark.sparkContext.setJobGroup(f"g{tasks}", "")
+        assert radix_aggregate(partial).count() == 500
+        seen.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"g{tasks}")))
+    assert seen[0] == seen[1]
