@@ -258,7 +258,7 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
     lies in one container, at a position counted from 0; ``fill`` is the number of tokens in that container.
 
     Sizes, histogram and runs are made once and written to the shared folder. Items are ranked inside groups of about 20,000 and join their runs by blocks of
-    as many ranks, so equal sizes, even a third of all rows, never meet in one task, and no side of a join is broadcast but where Spark finds it small.
+    as many ranks, so equal sizes, even a third of all rows, never meet in one task, and no side of a join is broadcast but the few sizes that are ranked in groups, where Spark finds them small.
     Which of the items of one size gets which of its places is arbitrary.
 
     Defined cases: null or empty texts have 0 tokens and are spread over the containers; a null doc_id is an item like any
@@ -286,7 +286,8 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
     ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("doc_id", "piece", "no")).cast("bigint") - 1).join(offsets, key, "left").withColumn("r", F.col("r") + F.coalesce("before", F.lit(0)))
     blocks = F.sequence(F.floor(F.col("rank_from") / RANK_GROUP), F.floor((F.col("rank_to") - 1) / RANK_GROUP))
     plan = runs.withColumn("block", F.explode(blocks))
-    placed = ranked.withColumn("block", F.floor(F.col("r") / RANK_GROUP)).join(plan, ["container_class", "size", "block"]).where((F.col("r") >= F.col("rank_from")) & (F.col("r") < F.col("rank_to")))
+    # merged, as runs grow with sizes and patterns; a broadcast of them would be bounded by the capacity only
+    placed = ranked.withColumn("block", F.floor(F.col("r") / RANK_GROUP)).join(plan.hint("merge"), ["container_class", "size", "block"]).where((F.col("r") >= F.col("rank_from")) & (F.col("r") < F.col("rank_to")))
     at = F.col("r") - F.col("rank_from")
     return placed.select(
         "container_class", "doc_id", "piece", "n_pieces", F.col("size").alias("tokens"),
