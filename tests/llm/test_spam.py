@@ -90,7 +90,7 @@ def test_very_short_pages(spark, commits):
     got = found(spark, commits, [(i, p, "en") for i, p in enumerate(pages)])
     assert len(got) >= 9
     # a subject line of a commit isn't such a page, nor is a short text in a language nothing is known of
-    assert not found(spark, commits, [(1, doc("Expose coupon price under load"), "en"), (2, "popraw licznik ramek dziennika", "pl")])
+    assert not found(spark, commits, [(1, doc("Expose coupon price under load"), "en"), (2, "popraw licznik ramek dziennika", "pl"), (3, "Merge pull request #7341 from rasyev/feature/encoder-segment\n\nFlush shared shipping", "en")])
 
 
 def test_work_is_not(spark, commits):

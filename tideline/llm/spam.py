@@ -230,7 +230,8 @@ def marked_lines(lines: list[Line], lang: str, part: str, usual: Usual) -> list[
     if n_links < LINKS or len({x.host for x, k in zip(lines, link, strict=True) if k}) < HOSTS * n_links or not linked:
         link = [False] * len(lines)
     # a page of a few words that is no commit, in a language that is known, with hardly a word that is usual there
-    short = part == "page" and lang in usual.of and SHORT[0] <= n < SHORT[1] and not any(x.code or x.links for x in lines) and _share((w for x in prose for w in x.words), usual.common) <= 0.2
+    plain = [w for x in prose for w in x.words if w.isalpha()]  # numbers and names of branches tell nothing
+    short = part == "page" and lang in usual.of and SHORT[0] <= len(plain) <= n < SHORT[1] and not any(x.code or x.links for x in lines) and _share(plain, usual.common) <= 0.2
     out = []
     for x, f, c, k in zip(lines, function, common, link, strict=True):
         w, why = x.words, ""
